@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import mixing, packing
+from pagemill.llm import mixing, packing, pii
 
-QUERIES = {"op9_packing": packing.op9_packing, "op10_mixing": mixing.op10_mixing}
+QUERIES = {"op1_pii": pii.op1_pii, "op9_packing": packing.op9_packing, "op10_mixing": mixing.op10_mixing}
 ORACLES = {"op10_mixing": mixing.ORACLE}
