@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import mixing, packing, pii
+from pagemill.llm import licenses, mixing, neighbours, packing, pii
 
-QUERIES = {"op1_pii": pii.op1_pii, "op9_packing": packing.op9_packing, "op10_mixing": mixing.op10_mixing}
-ORACLES = {"op10_mixing": mixing.ORACLE}
+QUERIES = {"op1_pii": pii.op1_pii, "op5_neighbours": neighbours.op5_neighbours, "op8_licenses": licenses.op8_licenses, "op9_packing": packing.op9_packing, "op10_mixing": mixing.op10_mixing}
+ORACLES = {"op8_licenses": licenses.ORACLE, "op5_neighbours": neighbours.ORACLE, "op10_mixing": mixing.ORACLE}
