@@ -1,17 +1,19 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import fingerprints, licenses, mixing, neighbours, packing, pii
+from pagemill.llm import anchors, fingerprints, licenses, mixing, neighbours, packing, pii
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_repeats": anchors.op7_repeats,
     "op8_licenses": licenses.op8_licenses,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op5_neighbours": neighbours.ORACLE,
+    "op7_repeats": anchors.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
