@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import anchors, fingerprints, licenses, mixing, neighbours, packing, pii, quality
+from pagemill.llm import anchors, chosenpath, fingerprints, licenses, mixing, neighbours, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_quality": quality.op3_quality,
+    "op4_jaccard": chosenpath.op4_jaccard,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_repeats": anchors.op7_repeats,
