@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import anchors, chosenpath, fingerprints, licenses, mixing, neighbours, packing, pii, quality
+from pagemill.llm import anchors, chosenpath, fingerprints, licenses, lines, mixing, neighbours, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_lines": lines.op2_lines,
     "op3_quality": quality.op3_quality,
     "op4_jaccard": chosenpath.op4_jaccard,
     "op5_neighbours": neighbours.op5_neighbours,
