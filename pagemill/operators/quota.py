@@ -18,7 +18,8 @@ def sliding(events: DataFrame, seconds: float = 60.0) -> DataFrame:
     """Requests and tokens of the trailing window at each event, itself and one just `seconds` old included.
 
     A bucket is a user's calls to one provider, so windows stay small; buckets spread over tasks."""
-    w = Window.partitionBy(*BUCKET).orderBy("ts").rangeBetween(-seconds, 0)
+    micros = F.round(F.col("ts") * 1_000_000).cast("long")  # range frames need whole numbers
+    w = Window.partitionBy(*BUCKET).orderBy(micros).rangeBetween(-int(seconds * 1_000_000), 0)
     return events.withColumns({"rpm_used": F.count("*").over(w), "tpm_used": F.sum("tokens").over(w)})
 
 
