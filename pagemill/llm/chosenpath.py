@@ -405,9 +405,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, buckets=None) -> DataFrame:
     """doc_id, key (of doc_id and text), class_id (the smallest doc_id of the class), n_links (other shingle sets at
-    least `threshold` alike), n_copies (rows of the same set) and first (true for one row of each class)."""
+    least `threshold` alike), n_copies (rows of the same set) and first (true for one row of each class).
+
+    buckets, a function as _visit takes, gives other (path, place) rows than the chosen paths' to search."""
     spark = docs.sparkSession
     parts = partitions(spark)
     key = F.xxhash64("doc_id", "text")
@@ -416,7 +418,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     copies = written(every.groupBy("h1", "h2", "n").agg(F.min(rank).alias("r"), F.count("*").alias("n_copies")).select("h1", "h2", "n", F.col("r.place").alias("rep"), F.col("r.doc_id").alias("rep_id"), "n_copies"), "copies")
     alone = every.select("place", "paths").join(copies.select(F.col("rep").alias("_rep"), "n"), F.col("place") == F.col("_rep")).filter("n > 0")
-    small, alike = _leaves(texts, alone.select(F.explode(F.array_distinct("paths")).alias("path"), "place"))
+    if buckets is not None:
+        paths = _visit(texts, alone.select("place"), [], buckets, _fields("path:long place:long"))
+        small, alike = _leaves(texts, paths)
+    else:
+        small, alike = _leaves(texts, alone.select(F.explode(F.array_distinct("paths")).alias("path"), "place"))
     sizes = copies.select(F.col("rep").alias("_rep"), "n")
     groups = _sketched(texts, small, parts).unionByName(alike).distinct()
     groups = written(groups.join(sizes, F.col("place") == F.col("_rep")).select("first", "place", "n"), "groups")

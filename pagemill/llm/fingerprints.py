@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import WordHasher, partitions, shingles, text_of, written
+from pagemill.llm.shared import WordHasher, mixed, partitions, shingles, text_of
 
 PERMS, SHINGLE = 128, 5
 
@@ -144,45 +144,21 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def signatures(docs: DataFrame, perms: int = PERMS) -> DataFrame:
-    """doc_id, n_shingles, signature (binary, perms x 4 bytes) and shingles (binary, sorted distinct hashes)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.IntegerType()), T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
-
-    def scan(batches):
-        import pyarrow as pa
-
-        hasher = MinHasher(perms)
-        for b in batches:
-            sets = [np.unique(hasher.shingles(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([hasher.of_shingles(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(scan, schema)
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = 32) -> DataFrame:
-    """(a, b, jaccard): pairs of different texts, each by its smallest doc_id, that share a band and whose
-    shingle sets are at least `threshold` alike. Texts of equal shingle sets count as one; see `members`."""
-    sigs = written(signatures(docs, perms), "signatures")
-    reps = sigs.groupBy(F.sha2("shingles", 256).alias("same")).agg(F.min("doc_id").alias("doc_id"))
-    one = written(sigs.filter("n_shingles > 0").join(reps, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "signature", "shingles"), "representatives")
-    width = perms * 4 // bands
-    banded = one.select("doc_id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(signature, {i * width + 1}, {width})")) for i in range(bands)])).alias("band"))
-    left, right = banded.select(F.col("doc_id").alias("a"), "band"), banded.select(F.col("doc_id").alias("b"), "band")
-    pairs = left.join(right, "band").filter("a < b").select("a", "b").distinct()
-    sets = one.select("doc_id", "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def verify(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            keep, score = [], []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                score.append(n / (len(s) + len(t) - n))
-                keep.append(score[-1] >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(score, pa.float64())], names=["a", "b", "jaccard"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = docs.schema["doc_id"].dataType
-    return both.mapInArrow(verify, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("jaccard", T.DoubleType())]))
+    """doc_id, class_id, n_links, n_copies, first and key of each row, as chosenpath.join gives them, with bands of
+    the MinHash signature as buckets: texts that meet in a band are verified by whole shingle sets, in blocks, so
+    no pair is ever written. Texts of equal shingle sets are copies, of which one takes part."""
+    from pagemill.llm import chosenpath
+
+    rows = perms // bands
+
+    def banded(place, tokens, items, tools):
+        if "hasher" not in tools:
+            tools["hasher"] = MinHasher(perms)
+        sig = tools["hasher"].of_shingles(tokens).reshape(bands, rows).astype(np.uint64)
+        out = np.arange(1, bands + 1, dtype=np.uint64)
+        for j in range(rows):
+            out = mixed(out * np.uint64(0x9FB21C651E98DF25) + sig[:, j])
+        return [(int(x), place) for x in out.view(np.int64)]
+
+    return chosenpath.join(docs, threshold, buckets=banded)

@@ -71,7 +71,7 @@ RULES = [
     ("Unlicense", ["unlicense-free"]),
 ]
 # Every known sentence holds one of these.
-HINTS = ("licen", "permi", "redistribut", "endorse", "warrant", "free software")
+HINTS = ("licen", "permi", "redistribut", "endorse", "warrant", "free software", "public domain")
 
 
 def normal(text: str) -> str:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.llm.shared import running_total, text_of, written
 
@@ -69,21 +70,22 @@ def mixed_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents as often as the mix takes them; the one that the budget cuts is cut there.
 
     A repeated row is matched with its own decision by its place among the rows that equal it."""
-    from pyspark.sql.window import Window
-
     key = F.xxhash64("doc_id", "source", "text")
-    same = Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))
     sized = docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key"))
-    taken = mix(sized).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "size", "taken")
-    taken = taken.withColumn("_at", F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.desc("taken"))))
-    full = docs.withColumn("_key", key).withColumn("_at2", F.row_number().over(same))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_at") == F.col("_at2"))
-    joined = full.join(taken.filter("taken > 0"), on)
-    parts = F.expr("CASE WHEN taken % size = 0 THEN array_repeat(size, cast(taken div size as int)) ELSE concat(array_repeat(size, cast(taken div size as int)), array(taken % size)) END")
+    taken = mix(sized).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = taken.withColumn("_at", F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.desc("_taken"))))
+    full = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), key.alias("_key"))
+    full = full.withColumn("_at2", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
+    on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_at") == F.col("_at2"))
+    joined = full.join(taken.filter("_taken > 0"), on)
+    parts = F.expr("CASE WHEN _taken % _size = 0 THEN array_repeat(_size, cast(_taken div _size as int)) ELSE concat(array_repeat(_size, cast(_taken div _size as int)), array(_taken % _size)) END")
     rows = joined.withColumn("_words", F.explode(parts))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
+    whole = F.col("_words") == F.col("_size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(f"({WORD})"), 1), F.lit(1), F.col("_words").cast("int")), " ")
+    new = {"text": F.when(whole, F.col("_doc.text")).otherwise(cut)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("_doc.n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = """
