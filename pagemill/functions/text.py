@@ -166,7 +166,8 @@ def secure_cookie(site: Column, configured: Column) -> Column:
 
 def retry_delay(header: Column, attempt: Column) -> Column:
     """Seconds to wait: the server's wish, not below 0, or the schedule of attempts (from 0)."""
-    return F.coalesce(F.greatest(header.try_cast("double"), F.lit(0.0)), F.get(F.array(F.lit(1.0), F.lit(3.0), F.lit(8.0)), attempt))
+    asked = header.try_cast("double")
+    return F.when(asked.isNotNull(), F.greatest(asked, F.lit(0.0))).otherwise(F.get(F.array(F.lit(1.0), F.lit(3.0), F.lit(8.0)), attempt))
 
 
 def database_url(c: Column) -> Column:

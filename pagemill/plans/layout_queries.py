@@ -50,7 +50,7 @@ def page_blocks(spark, d: str) -> DataFrame:
 
 def block_texts(spark, d: str) -> DataFrame:
     b = page_blocks(spark, d)
-    return b.select("doc_id", "page_index", "block_no", "kind", "text", "line_count", "align")
+    return b.select("doc_id", "page_index", "block_no", "kind", "text", "line_count")
 
 
 def block_boxes(spark, d: str) -> DataFrame:
@@ -174,4 +174,13 @@ ORACLES = {
         greatest(least(792 * 0.97::DOUBLE, coalesce(min(by0 - 2) FILTER (WHERE share >= 0.15::DOUBLE AND by0 >= y1 - 1), 792 * 0.97::DOUBLE)), any_value(y1))::DOUBLE AS free_bottom,
         greatest(0, coalesce(max(bx1 + 3) FILTER (WHERE by1 > y0 AND by0 < y1 AND bx1 <= x0), 0))::DOUBLE AS left_limit,
         least(600, coalesce(min(bx0 - 3) FILTER (WHERE by1 > y0 AND by0 < y1 AND bx1 > x0 AND bx0 >= x1), 600))::DOUBLE AS right_limit FROM o GROUP BY doc_id, line_no""",
+    "block_texts": f"""WITH {_GROUPS}, w AS (SELECT doc_id, page_index, size, sum(length(text)) AS n, min(line_no) AS s FROM lines GROUP BY ALL), body AS (SELECT doc_id, page_index, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n DESC, s) AS k FROM w) WHERE k = 1),
+        b AS (SELECT doc_id, page_index, group_no, arg_min(text, read_no) AS head, arg_max(text, read_no) AS tail, arg_min(size, read_no) AS size, count(*) AS n, string_agg(text, ' ' ORDER BY read_no) AS text FROM groups GROUP BY ALL)
+        SELECT doc_id, page_index, group_no::BIGINT AS block_no, CASE WHEN regexp_matches(head, '^{_W}*([•▪◦‣∙·–—*]|\\p{{Nd}}{{1,2}}[.)]|[a-z][.)]){_W}+') THEN 'list_item' WHEN size >= body_size * 1.12::DOUBLE AND n <= 3 THEN 'heading' ELSE 'paragraph' END AS kind, text, n::INTEGER AS line_count FROM b JOIN body USING (doc_id, page_index)""",
+    "classified_lines": f"""WITH {I.GEOMETRY_SQL}{_SHAPES}, hit AS (SELECT l.doc_id, l.page_index, l.line_no, text, y0, y1, bool_or(coalesce(shape = 'head' AND share >= 0.6::DOUBLE, false)) AS in_table, bool_or(coalesce(shape = 'left' AND share >= 0.75::DOUBLE, false)) AS in_box, bool_or(coalesce(shape = 'right' AND share >= 0.55::DOUBLE, false)) AS in_figure
+          FROM (SELECT l.*, s.shape, greatest(least(x1, a1) - greatest(x0, a0), 0) * greatest(least(y1, b1) - greatest(y0, b0), 0) / ((x1 - x0) * (y1 - y0)) AS share FROM lines l JOIN shapes s ON l.doc_id = s.doc_id AND l.page_index = s.page_index) l GROUP BY ALL),
+        k AS (SELECT *, CASE WHEN in_table THEN 'table_cell' WHEN in_box OR in_figure THEN 'figure_label' WHEN page_index = 0 AND y0 >= 300 THEN 'footnote' WHEN regexp_matches(text, '(?i)^{_W}*(table|box|bảng){_W}*\\p{{Nd}}') THEN 'table_title' WHEN regexp_matches(text, '(?i)^{_W}*(figure|fig\\.?|table|box|chart|plate|bảng|hình){_W}*\\p{{Nd}}+') THEN 'caption' ELSE 'paragraph' END AS kind,
+          lower({I.sql_strip(f"regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '{I.WS}+', ' ', 'g')")}) AS key, y0 < 792 * 0.12::DOUBLE OR y1 > 792 * 0.88::DOUBLE AS margin FROM hit),
+        often AS (SELECT doc_id, key FROM k WHERE margin AND key <> '' GROUP BY ALL HAVING count(DISTINCT page_index) >= 3)
+        SELECT k.doc_id, k.line_no, CASE WHEN margin AND o.key IS NOT NULL THEN 'page_furniture' ELSE kind END AS kind, CASE WHEN in_table THEN 'head' END AS table_id, CASE WHEN in_box AND NOT in_table THEN 'left' END AS box_id FROM k LEFT JOIN often o ON o.doc_id = k.doc_id AND o.key = k.key""",
 }
