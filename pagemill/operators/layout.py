@@ -19,6 +19,7 @@ KINDS = ("paragraph", "heading", "list_item", "caption", "table_title", "table_c
 FLOWING = ("paragraph", "list_item", "footnote")
 BORROWING = ("paragraph", "list_item", "caption", "heading", "table_title", "table_cell", "footnote")
 NOT_BODY = ("table_cell", "figure_label")
+STYLE = ("size", "bold", "italic", "serif", "color")
 SPAN_SHARE, BOX_SHARE, FIGURE_SHARE, TABLE_SHARE = 0.72, 0.75, 0.55, 0.6
 
 
@@ -116,9 +117,16 @@ def dominant_size(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return best.select(*keys, F.when(F.col("n").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("body_size"))
 
 
+def main_style(lines: Column) -> Column:
+    """Of an array of lines (style, text, ...) the style that most text has, the first seen of equals."""
+    styles = F.array_distinct(F.transform(lines, lambda x: x["style"]))
+    weight = lambda s: F.aggregate(F.filter(lines, lambda x: x["style"] == s), F.lit(0), lambda a, x: a + F.length(x["text"]))
+    return F.array_max(F.transform(styles, lambda s, i: F.struct(weight(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
+
+
 def dominant_style(lines: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    w = lines.groupBy(*keys, "size", "bold", "italic", "serif", "color").agg(F.sum(F.length("text")).alias("n"), F.min(seq).alias("seq"))
-    return w.groupBy(*keys).agg(F.max_by(F.struct("size", "bold", "italic", "serif", "color"), F.struct("n", -F.col("seq"))).alias("style"))
+    w = lines.groupBy(*keys, *STYLE).agg(F.sum(F.length("text")).alias("n"), F.min(seq).alias("seq"))
+    return w.groupBy(*keys).agg(F.max_by(F.struct(*STYLE), F.struct("n", -F.col("seq"))).alias("style"))
 
 
 # ---- columns and reading order ------------------------------------------------------------------
@@ -203,36 +211,43 @@ def alignment(kind: Column, lines: Column, left: Column, right: Column) -> Colum
     return F.when(kind.isin(*NOT_BODY), ALIGN_LEFT).when((n >= 2) & flush & kind.isin(*FLOWING), ALIGN_JUSTIFY).when(center, ALIGN_CENTER).otherwise(ALIGN_LEFT)
 
 
-def _near(blocks: DataFrame, occupied: DataFrame) -> DataFrame:
-    """Each block (keys, block_no, rect, own) with what else stands on its page (owner, rect)."""
-    o = occupied.select(*[F.col(c).alias(f"_{c}") for c in PAGE], F.col("owner"), F.col("rect").alias("other"))
-    return blocks.join(o, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & ~F.array_contains("own", F.col("other")), "left")
+def with_occupied(blocks: DataFrame, occupied: DataFrame) -> DataFrame:
+    """blocks with occ: what else stands on the page (owner, rect), as an array; one join for all that asks it."""
+    if "occ" in blocks.columns:
+        return blocks
+    page = occupied.groupBy(*PAGE).agg(F.collect_list(F.struct("owner", "rect")).alias("occ"))
+    none = F.array().cast(page.schema["occ"].dataType)
+    joined = blocks.join(page, PAGE, "left")
+    return joined.withColumn("occ", F.filter(F.coalesce("occ", none), lambda o: ~F.array_contains(F.col("own"), o["rect"])))
+
+
+def _edge(rects: Column, side: str, least: bool) -> Column:
+    values = F.transform(rects, lambda o: o["rect"][side])
+    return F.array_min(values) if least else F.array_max(values)
 
 
 def horizontal_room(blocks: DataFrame, occupied: DataFrame) -> DataFrame:
     """left_limit and right_limit of blocks (…, block_no, own: the lines' rectangles, page_width): 3 from the
     nearest text at the same height on each side."""
-    top, bottom = F.array_min(F.transform("own", lambda r: r["y0"])), F.array_max(F.transform("own", lambda r: r["y1"]))
-    x0, x1 = F.array_min(F.transform("own", lambda r: r["x0"])), F.array_max(F.transform("own", lambda r: r["x1"]))
-    o = F.col("other")
-    level = F.col("owner").startswith("line") & (o["y1"] > top) & (o["y0"] < bottom)
-    left = F.max(F.when(level & (o["x1"] <= x0), o["x1"] + 3.0))
-    right = F.min(F.when(level & (o["x1"] > x0) & (o["x0"] >= x1), o["x0"] - 3.0))
-    room = _near(blocks, occupied).groupBy(*PAGE, "block_no").agg(F.greatest(F.lit(0.0), left).alias("left_limit"), right.alias("_right"))
-    return blocks.join(room, [*PAGE, "block_no"]).withColumn("right_limit", F.least(F.col("page_width"), F.coalesce("_right", "page_width"))).drop("_right")
+    of = lambda c, least: F.array_min(F.transform("own", lambda r: r[c])) if least else F.array_max(F.transform("own", lambda r: r[c]))
+    b = with_occupied(blocks, occupied).withColumns({"_x0": of("x0", True), "_x1": of("x1", False), "_top": of("y0", True), "_bottom": of("y1", False)})
+    level = F.filter("occ", lambda o: o["owner"].startswith("line") & (o["rect"]["y1"] > F.col("_top")) & (o["rect"]["y0"] < F.col("_bottom")))
+    b = b.withColumn("_level", level)
+    left = _edge(F.filter("_level", lambda o: o["rect"]["x1"] <= F.col("_x0")), "x1", False) + 3.0
+    right = _edge(F.filter("_level", lambda o: (o["rect"]["x1"] > F.col("_x0")) & (o["rect"]["x0"] >= F.col("_x1"))), "x0", True) - 3.0
+    return b.withColumns({"left_limit": F.greatest(F.lit(0.0), left), "right_limit": F.least(F.col("page_width"), right)}).drop("_x0", "_x1", "_top", "_bottom", "_level")
 
 
 def free_space(blocks: DataFrame, occupied: DataFrame, least: float = 0.15, pad: float = 2.0) -> DataFrame:
     """free_top and free_bottom of blocks (…, block_no, rect, own, page_height): up to what stands above and below
     in at least 15 % of the narrower width, with 2 to spare."""
-    o, r = F.col("other"), F.col("rect")
-    shares = G.horizontal_share(r, o) >= least
-    below = F.min(F.when(shares & (o["y0"] >= r["y1"] - 1.0), o["y0"] - pad))
-    above = F.max(F.when(shares & (o["y1"] <= r["y0"] + 1.0), o["y1"] + pad))
-    room = _near(blocks, occupied).groupBy(*PAGE, "block_no").agg(below.alias("_below"), above.alias("_above"))
-    out = blocks.join(room, [*PAGE, "block_no"])
+    r = F.col("rect")
+    b = with_occupied(blocks, occupied)
+    b = b.withColumn("_near", F.filter("occ", lambda o: G.horizontal_share(F.col("rect"), o["rect"]) >= least))
+    below = _edge(F.filter("_near", lambda o: o["rect"]["y0"] >= F.col("rect.y1") - 1.0), "y0", True) - pad
+    above = _edge(F.filter("_near", lambda o: o["rect"]["y1"] <= F.col("rect.y0") + 1.0), "y1", False) + pad
     limit = F.col("page_height") * 0.97
-    return out.withColumns({"free_bottom": F.greatest(F.least(limit, F.coalesce("_below", limit)), r["y1"]), "free_top": F.least(F.greatest(F.lit(0.0), F.coalesce("_above", F.lit(0.0))), r["y0"])}).drop("_below", "_above")
+    return b.withColumns({"free_bottom": F.greatest(F.least(limit, below), r["y1"]), "free_top": F.least(F.greatest(F.lit(0.0), above), r["y0"])}).drop("_near")
 
 
 def line_boxes(lines: DataFrame) -> DataFrame:
@@ -242,10 +257,10 @@ def line_boxes(lines: DataFrame) -> DataFrame:
 
 def make_blocks(grouped: DataFrame, pages: DataFrame, body_sizes: DataFrame, occupied: DataFrame) -> DataFrame:
     """Blocks of grouped lines (group_no, left, right): kind, text, style, flow rectangle, alignment, free bottom."""
-    row = F.struct("read_no", "text", box().alias("rect"), "size", "bold")
+    row = F.struct("read_no", "text", box().alias("rect"), "size", "bold", F.struct(*STYLE).alias("style"))
     keys = [*PAGE, "group_no"]
     g = grouped.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("l"), F.min_by("kind", "read_no").alias("kind0"), F.min_by("left", "read_no").alias("left"), F.min_by("right", "read_no").alias("right"))
-    g = g.join(dominant_style(grouped, keys, "read_no"), keys).join(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE).join(body_sizes, PAGE, "left")
+    g = g.withColumn("style", main_style(F.col("l"))).join(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE).join(body_sizes, PAGE, "left")
     rects = F.transform("l", lambda x: x["rect"])
     first, last = F.element_at("l", 1), F.element_at("l", -1)
     b = g.withColumns({"block_no": F.col("group_no"), "own": rects, "n": F.size("l"), "text": X.join_lines(F.transform("l", lambda x: x["text"])), "size0": first["size"], "left": F.coalesce("left", first["rect"]["x0"]), "right": F.coalesce("right", first["rect"]["x1"])})

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
-from pagemill.operators.layout import ALIGN_LEFT, PAGE, TABLE_SHARE, _inside, box, dominant_style, free_space
+from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, free_space, main_style
 
 THIN, COLUMN_GAP = 2.5, 18.0
 RECTS = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
@@ -113,15 +113,15 @@ def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") ->
     c = table_columns(lines, region).join(rules, keys, "left")
     w = Window.partitionBy(*keys, "col_no").orderBy("y0", "x0", "line_no")
     prev = lambda x: F.lag(x).over(w)
-    style = F.struct("size", "bold", "italic", "serif", "color")
+    style = F.struct(*STYLE)
     c = c.withColumns({"_style": style, "_py1": prev("y1"), "_psize": prev("size")}).withColumn("_pstyle", prev("_style"))
     between = F.exists(F.coalesce("row_rules", F.array().cast("array<double>")), lambda y: (y >= F.col("_py1")) & (y <= F.col("y0")))
     ends = (F.col("y0") - F.col("_py1") > 1.8 * F.greatest(F.col("_psize"), F.lit(1.0))) | ~G.style_matches(F.col("_pstyle"), F.col("_style")) | between
     c = c.withColumn("_new", F.when(F.col("_py1").isNull(), 0).otherwise(ends.cast("int"))).withColumn("_cell", F.sum("_new").over(w))
-    row = F.struct("y0", "x0", "line_no", "text", box().alias("rect"), "size")
+    row = F.struct("y0", "x0", "line_no", "text", box().alias("rect"), "size", F.struct(*STYLE).alias("style"))
     own = [*keys, "col_no", "_cell"]
     g = c.groupBy(*own).agg(F.array_sort(F.collect_list(row)).alias("l"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("col_x0").alias("col_x0"), F.first("col_x1").alias("col_x1"), F.first("row_rules").alias("row_rules"), F.first("region_rect").alias("region_rect"))
-    g = g.join(dominant_style(c, own, "line_no"), own)
+    g = g.withColumn("style", main_style(F.col("l")))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.bround("top", 1), "col_x0", "_cell")) - 1
     first, last = F.element_at("l", 1), F.element_at("l", -1)
     rect = F.struct(F.col("col_x0").alias("x0"), F.col("top").alias("y0"), F.col("col_x1").alias("x1"), F.col("bottom").alias("y1"))
