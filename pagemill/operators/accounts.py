@@ -174,6 +174,14 @@ def usable_providers(keys: DataFrame, default_base_url: str = "") -> DataFrame:
     return provider_keys(keys).join(o, ["user_id", "provider"], "left").select("user_id", "provider", (F.col("api_key").isNotNull() & ((F.col("provider") != "qwen") | (base != ""))).alias("usable"))
 
 
+def default_provider(usable: DataFrame, order: list[str]) -> DataFrame:
+    """provider of each user (user_id, provider, usable, chosen): the chosen one if it is usable, else the first
+    usable one in display order, else empty."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("provider"))
+    best = F.min_by("provider", F.when(F.col("usable"), F.when(F.col("provider") == F.col("chosen"), 0).otherwise(rank)))
+    return usable.groupBy("user_id").agg(F.coalesce(best, F.lit("")).alias("provider"))
+
+
 def admins_only(users: DataFrame) -> DataFrame:
     return users.filter(F.col("is_admin") == 1)
 

@@ -324,3 +324,15 @@ def merge_linked(linked: DataFrame) -> DataFrame:
     part = F.struct("page_index", "block_no", "text", "rect", "max_bottom", "line_count")
     g = linked.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min_by("kind", F.struct("page_index", "block_no")).alias("kind"), F.min_by("style", F.struct("page_index", "block_no")).alias("style"))
     return g.select("doc_id", F.col("head.page_index").alias("page_index"), F.col("head.block_no").alias("block_no"), "kind", "style", X.join_lines(F.transform("p", lambda x: x["text"])).alias("text"), F.transform("p", lambda x: F.struct(x["page_index"].alias("page_index"), x["rect"].alias("rect"), x["max_bottom"].alias("max_bottom"))).alias("areas"), F.aggregate("p", F.lit(0), lambda a, x: a + x["line_count"]).alias("line_count"))
+
+
+def document_blocks(linked: DataFrame, *others: DataFrame) -> DataFrame:
+    """The units of a document: linked body text in reading order, then what stands outside it (cells, labels), each
+    with doc_id, page_index, block_id, kind and text; seq is their order."""
+    parts = [linked.select("doc_id", "page_index", F.col("block_no").cast("string").alias("block_id"), "kind", "text", F.lit(0).alias("_part"), F.col("block_no").cast("long").alias("_n"))]
+    parts += [o.select("doc_id", "page_index", "block_id", "kind", "text", F.lit(i + 1).alias("_part"), F.lit(0).cast("long").alias("_n")) for i, o in enumerate(others)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    w = Window.partitionBy("doc_id").orderBy(F.least("_part", F.lit(1)), "page_index", "_part", "_n", "block_id")
+    return out.withColumn("seq", F.row_number().over(w)).drop("_part", "_n")

@@ -86,6 +86,24 @@ class BatchFailed(Exception):
 
 
 Provider = Callable[[list[str]], Reply]
+def stand_in(prefix: str = "vi:", most: int = 4) -> Provider:
+    """A provider for tests: replies with prefix and text, and fails for batches of more than `most` texts."""
+
+    def reply(texts: list[str]) -> Reply:
+        if len(texts) > most:
+            raise BatchFailed(f"{len(texts)} texts")
+        return Reply([prefix + t for t in texts])
+
+    return reply
+
+
+def provider_of(registry: dict[str, Provider], name: str) -> Provider:
+    """The provider of that name; the registry's order is that of display."""
+    if name not in registry:
+        raise KeyError(f"no provider {name}; there are {', '.join(registry)}")
+    return registry[name]
+
+
 RESULT = T.StructType([T.StructField("seq", T.LongType()), T.StructField("text", T.StringType()), T.StructField("translated_text", T.StringType()), T.StructField("requests", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("error", T.StringType())])
 
 

@@ -64,6 +64,12 @@ def batch_totals(spark, d: str) -> DataFrame:
     return P.batch_totals(_batched(spark, d), ["doc_id"])
 
 
+def translated_batches(spark, d: str) -> DataFrame:
+    """Batches sent through a stand-in provider that fails for large ones, so these are halved."""
+    t = P.translate(_batched(spark, d), ["doc_id"], P.stand_in(most=3))
+    return t.select("doc_id", F.col("seq").cast("int").alias("first_seen"), "batch_no", "translated_text")
+
+
 def translation_plan(spark, d: str) -> DataFrame:
     """Of each document: units, texts, those cached, and batches and tokens for the rest."""
     texts = P.cache_lookup(_hashed(spark, d), I.cache(spark, d))
@@ -106,7 +112,7 @@ def colors(spark, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c["red"].alias("red"), c["green"].alias("green"), c["blue"].alias("blue"))
 
 
-QUERIES = {f.__name__: f for f in (segment_lines, segment_unique, unique_count, segment_hash, token_estimates, cache_hits, cache_misses, translation_fallback, batch_packing, batch_totals, translation_plan, line_kinds, sentence_endings, dehyphenate, furniture_lines, masked_keys, colors)}
+QUERIES = {f.__name__: f for f in (segment_lines, segment_unique, unique_count, segment_hash, token_estimates, cache_hits, cache_misses, translation_fallback, batch_packing, batch_totals, translated_batches, translation_plan, line_kinds, sentence_endings, dehyphenate, furniture_lines, masked_keys, colors)}
 
 _SOURCE = f"greatest(length(text) / 4.0::DOUBLE, (CASE WHEN length({I.sql_squeeze('text')}) = 0 THEN 0 ELSE len(string_split({I.sql_squeeze('text')}, ' ')) END) * 1.3::DOUBLE, 1.0::DOUBLE)"
 _TEXTS = "texts AS (SELECT doc_id, text, min(line_no) AS first_seen, count(*) AS uses FROM units GROUP BY doc_id, text)"
@@ -131,6 +137,7 @@ ORACLES = {
     "translation_fallback": f"WITH {I.LINES_SQL} SELECT doc_id, line_no, CASE WHEN length(text) % 3 = 0 THEN 'vi:' || text ELSE text END AS translation FROM units",
     "batch_packing": f"WITH RECURSIVE {I.LINES_SQL}, {_TEXTS}, {_SIZED % 'texts'}, {_FOLD} SELECT doc_id, first_seen, input_tokens, output_tokens, batch_no FROM fold",
     "batch_totals": f"WITH RECURSIVE {I.LINES_SQL}, {_TEXTS}, {_SIZED % 'texts'}, {_FOLD} SELECT doc_id, batch_no, count(*) AS items, (sum(input_tokens + output_tokens) + 512)::BIGINT AS total_tokens FROM fold GROUP BY doc_id, batch_no",
+    "translated_batches": f"WITH RECURSIVE {I.LINES_SQL}, {_TEXTS}, {_SIZED % 'texts'}, {_FOLD} SELECT doc_id, first_seen, batch_no, 'vi:' || text AS translated_text FROM fold JOIN texts USING (doc_id, first_seen)",
     "translation_plan": f"""WITH RECURSIVE {I.LINES_SQL}, {_TEXTS}, {I.CACHE_SQL}, known AS (SELECT t.*, c.hash IS NOT NULL AS hit FROM texts t LEFT JOIN cache c ON c.hash = sha256('global|' || {I.sql_squeeze('text')} || '|vi')),
         miss AS (SELECT doc_id, text, first_seen FROM known WHERE NOT hit), {_SIZED % 'miss'}, {_FOLD}, sums AS (SELECT doc_id, count(DISTINCT batch_no) AS batches, sum(input_tokens + output_tokens) + 512 * count(DISTINCT batch_no) AS total_tokens FROM fold GROUP BY doc_id)
         SELECT k.doc_id, sum(uses)::BIGINT AS units, count(*) AS texts, count(*) FILTER (WHERE hit) AS cached, coalesce(any_value(s.batches), 0) AS batches, coalesce(any_value(s.total_tokens), 0)::BIGINT AS total_tokens FROM known k LEFT JOIN sums s USING (doc_id) GROUP BY k.doc_id""",

@@ -68,6 +68,13 @@ def test_lockouts(spark):
     assert [x["failures"] for x in got] == [1, 2, 0, 1, 2, 3, 3, 3, 1, 0] and [x["ts"] for x in got if x["locked"]] == [6.0, 7.0]
 
 
+def test_default_provider(spark):
+    rows = [("1", "a", True, "b"), ("1", "b", True, "b"), ("2", "a", False, "a"), ("2", "b", True, "a"), ("3", "a", False, "a")]
+    df = spark.createDataFrame(rows, "user_id string, provider string, usable boolean, chosen string")
+    assert {r["user_id"]: r["provider"] for r in A.default_provider(df, ["a", "b"]).collect()} == {"1": "b", "2": "b", "3": ""}
+    assert P.provider_of({"x": P.stand_in()}, "x")(["t"]).texts == ["vi:t"]
+
+
 USERS = "id string, username string, username_norm string, password_hash string, is_admin int, created_at double"
 
 
