@@ -37,6 +37,8 @@ TAKEN = 1 / 0.6
 SMALL, DEPTH, ALIKE = 128, 10, 0.6
 #: Sketch places that must agree, of 64: four standard deviations below the threshold's mean.
 AGREE = 38
+#: Bytes of texts in a batch, and of rows that a pass holds before it hands them on.
+BATCH, FLUSH = 2 << 20, 2 << 20
 #: A block of a large group: so many documents, so many shingles at most.
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 500_000
 
@@ -112,7 +114,7 @@ def _visit(texts: DataFrame, rows: DataFrame, columns: list[str], fn, schema: T.
                     for row in fn(_place(no.as_py(), i), tokens, [tuple(c[k] for c in cols) for k in of[i]], tools):
                         out.append(row)
                         size += sum(len(v) for v in row if isinstance(v, bytes)) + 64
-                    if size > 8 << 20:
+                    if size > FLUSH:
                         yield _batch_of(out, schema)
                         out, size = [], 0
                 if out:
@@ -315,7 +317,7 @@ def _common(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     who, column = who[shared], column[shared]
     if len(column):
         column = np.unique(column, return_inverse=True)[1]
-        width = 4096
+        width = 1024
         for a in range(0, int(column[-1]) + 1, width):
             lo, hi = np.searchsorted(column, [a, a + width])
             x = np.zeros((len(tokens), width), np.float32)
@@ -413,7 +415,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     spark = docs.sparkSession
     parts = partitions(spark)
     key = F.xxhash64("doc_id", "text")
-    texts = packed(docs.select(text_of().cast("binary").alias("text"), "doc_id", key.alias("key")), ["doc_id", "key"], "sets")
+    texts = packed(docs.select(text_of().cast("binary").alias("text"), "doc_id", key.alias("key")), ["doc_id", "key"], "sets", BATCH)
     every = written(_first_step(texts, docs.schema["doc_id"].dataType, runs_needed(threshold, recall)), "documents")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     copies = written(every.groupBy("h1", "h2", "n").agg(F.min(rank).alias("r"), F.count("*").alias("n_copies")).select("h1", "h2", "n", F.col("r.place").alias("rep"), F.col("r.doc_id").alias("rep_id"), "n_copies"), "copies")

@@ -4,6 +4,7 @@ distributed running totals, packed text batches and vectorised word hashes."""
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _WRITTEN: list[str] = []
+_OWN: list[str] = []
 
 
 def partitions(spark: SparkSession) -> int:
@@ -28,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             found = tempfile.mkdtemp(prefix="pagemill-")
+            _OWN.append(found)
         else:
             found = spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -35,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _forget() -> None:
+    for folder in _OWN:
+        shutil.rmtree(folder, ignore_errors=True)
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
@@ -213,7 +218,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 text, many words at a time."""
 
-    STEP = 1 << 20
+    STEP = 1 << 18
 
     def __init__(self) -> None:
         self.up = _powers(self.STEP, int(_B))
