@@ -34,7 +34,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Tokens that a set takes at each step, on average.
 TAKEN = 1 / 0.6
 #: Largest node that is searched at once; deepest path; likeness within a node from which it isn't split.
-SMALL, DEPTH, ALIKE = 128, 10, 0.6
+SMALL, DEPTH, ALIKE = 256, 10, 0.4
 #: Sketch places that must agree, of 64: four standard deviations below the threshold's mean.
 AGREE = 38
 #: Bytes of texts in a batch, and of rows that a pass holds before it hands them on.
