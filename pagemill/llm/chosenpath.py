@@ -34,7 +34,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Tokens that a set takes at each step, on average.
 TAKEN = 1 / 0.6
 #: Largest node that is searched at once; deepest path; likeness within a node from which it isn't split.
-SMALL, DEPTH, ALIKE = 256, 10, 0.4
+SMALL, DEPTH, ALIKE = 1024, 10, 0.4
 #: Sketch places that must agree, of 64: four standard deviations below the threshold's mean.
 AGREE = 38
 #: Bytes of texts in a batch, and of rows that a pass holds before it hands them on.
@@ -232,7 +232,8 @@ def _leaves(texts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         kind = next_step.groupBy(F.col("path").alias("_path")).agg((2 * agree - 1).alias("_alike"))
         judged = next_step.join(kind, F.col("path") == F.col("_path"))
         alike.append(judged.filter(F.col("_alike") >= ALIKE).select("first", "place"))
-        rows = judged.filter(F.col("_alike") < ALIKE).select(F.explode("next").alias("path"), "place")
+        # Written, as the sizes and the join with them would each make the rows anew.
+        rows = written(judged.filter(F.col("_alike") < ALIKE).select(F.explode("next").alias("path"), "place"), f"next{depth}")
     return _union(texts, small, "path long, place long"), _union(texts, alike, "first long, place long")
 
 
