@@ -109,6 +109,8 @@ def decide(docs: DataFrame) -> DataFrame:
     long_lines = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "lengths"), lambda x: x["lengths"] >= MIN_CHARS), lambda x: x["hashes"]))
     each = seqs.select("pos", F.explode(long_lines).alias("h"))
     owners = each.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n"), F.min("pos").alias("owner")).filter((F.col("n") > 1) & ((F.col("n") <= 16) | (F.col("n") <= RARE_SHARE * total)))
+    # Written, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    owners = written(owners, "owners")
     pairs = written(each.join(owners, F.col("h") == F.col("_h")).filter("owner <> pos").select("pos", "owner").distinct(), "pairs")
     later = pairs.join(seqs.select(F.col("pos").alias("_p"), "hashes", "lengths"), F.col("pos") == F.col("_p")).drop("_p")
     both = later.join(seqs.select(F.col("pos").alias("_o"), F.col("hashes").alias("other")), F.col("owner") == F.col("_o")).select("pos", "hashes", "lengths", "other")
@@ -139,7 +141,7 @@ def decide(docs: DataFrame) -> DataFrame:
     named = gone.join(seqs.select(F.col("pos").alias("_p"), "doc_id", "key"), F.col("pos") == F.col("_p")).drop("_p")
     # Of equal rows the first keeps its lines unless an earlier document takes them, and then all lose the same
     # or more; so the ranks among equal rows tell them apart.
-    same = Window.partitionBy("doc_id", "key").orderBy(F.desc("pos"))
+    same = Window.partitionBy("key").orderBy(F.desc("pos"))
     return named.select("doc_id", "key", F.row_number().over(same).alias("copy"), "gone")
 
 
@@ -147,9 +149,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated blocks of lines deleted, and _n_lines and _n_removed."""
     gone = written(decide(docs.select("doc_id", "text")), "gone")
     own = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))))
-    g = gone.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("copy").alias("_c"), "gone")
-    out = own.join(g.withColumnRenamed("gone", "_gone"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_copy") == F.col("_c")), "left")
+    # Numbered and joined by key alone, so the texts are shuffled once; the places are compared within a key.
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    g = gone.select(F.col("key").alias("_k"), F.col("copy").alias("_c"), F.col("gone").alias("_gone"))
+    out = own.join(g, (F.col("_key") == F.col("_k")) & (F.col("_copy") >= F.col("_c")) & (F.col("_copy") <= F.col("_c")), "left")
     cut = F.split("text", "\n")
     kept = F.array_join(F.filter(F.zip_with(cut, "_gone", lambda x, g: F.when(~F.coalesce(g, F.lit(False)), x)), lambda x: x.isNotNull()), "\n")
     out = out.withColumns({"_n_lines": F.coalesce(F.size(F.split(text_of(), "\n")), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size(F.filter("_gone", lambda g: g)), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)})
