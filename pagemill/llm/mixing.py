@@ -72,11 +72,12 @@ def mixed_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A repeated row is matched with its own decision by its place among the rows that equal it."""
     key = F.xxhash64("doc_id", "source", "text")
     sized = docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key"))
-    taken = mix(sized).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.withColumn("_at", F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.desc("_taken"))))
-    full = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), key.alias("_key"))
-    full = full.withColumn("_at2", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
-    on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_at") == F.col("_at2"))
+    taken = mix(sized).select(F.col("_key").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = taken.withColumn("_at", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("_taken"))))
+    # Numbered and joined by key alone, so the texts are shuffled once; the places are compared within a key.
+    full = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_key"))
+    full = full.withColumn("_at2", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    on = (F.col("_key") == F.col("_k")) & (F.col("_at") >= F.col("_at2")) & (F.col("_at") <= F.col("_at2"))
     joined = full.join(taken.filter("_taken > 0"), on)
     parts = F.expr("CASE WHEN _taken % _size = 0 THEN array_repeat(_size, cast(_taken div _size as int)) ELSE concat(array_repeat(_size, cast(_taken div _size as int)), array(_taken % _size)) END")
     rows = joined.withColumn("_words", F.explode(parts))
