@@ -3,7 +3,10 @@
 Lines are hashed; of each line hash that several documents hold, the first document (by doc_id) is its owner.
 A document is paired with the owners of its rare lines: one row a line at most, however many documents hold
 it. Patience diff aligns each pair, anchored on lines that occur once in both; blocks of aligned lines are
-deleted from the later document. Decisions look at the input, not at what is left of it.
+deleted from the later document. Lines that stay though earlier documents hold them are tried with the next
+holders, one of each form (see _holders), till they go or none is left: what goes is what an alignment with
+every earlier document that holds a rare line of it would delete. Decisions look at the input, not at what is
+left of it.
 
 A line is rare unless more than RARE_SHARE of all documents hold it; lines of fewer than MIN_CHARS
 characters pair nothing, and an aligned block of fewer is left.
@@ -15,13 +18,15 @@ n_chars, which follows the text."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagemill.llm.shared import running_total, text_of, written
+from pagemill.llm.shared import _B, _inverse, _powers, mixed, running_total, text_of, written
 
 RARE_SHARE, MIN_CHARS = 0.5, 20
 
@@ -97,6 +102,145 @@ def common_blocks(a: list[int], b: list[int], lengths: list[int], least: int = M
     return out
 
 
+def _windows(hashes, lengths, ends):
+    """Runs of lines that reach MIN_CHARS, of the documents laid end to end (ends: where each ends): start, end
+    (inclusive), key, and whether the run is told by its start, by its end, or both: then no shorter run is in it.
+
+    A block that deletes a line holds the shortest run from that line on, or the shortest up to it, or a run
+    around it that has no shorter one in it; so whoever can delete a line holds one of these keys."""
+    n = len(hashes)
+    doc = np.searchsorted(ends, np.arange(n), "right")
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    first = np.concatenate([[0], ends])[doc]
+    right = np.searchsorted(total, total[:-1] + MIN_CHARS, "left") - 1
+    left = np.searchsorted(total, total[1:] - MIN_CHARS, "right") - 1
+    s = np.concatenate([np.arange(n), left])
+    e = np.concatenate([right, np.arange(n)])
+    by_start = np.repeat([True, False], n)
+    both = np.concatenate([right < ends[doc], left >= first])
+    s, e, by_start = s[both], e[both], by_start[both]
+    tight = (left[e] == s) & (right[s] == e)
+    keep = by_start | ~tight  # a tight run is found both ways
+    s, e, by_start, tight = s[keep], e[keep], by_start[keep], tight[keep]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * _powers(n, int(_B)), dtype=np.uint64)])
+        key = mixed((sums[e + 1] - sums[s]) * _powers(n, _inverse(int(_B)))[s] + (e - s + 1).astype(np.uint64)).view(np.int64)
+    return doc[s], s, e, key, by_start, tight
+
+
+def _flat(column):
+    """Values of a list column end to end, and where each row ends."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _keys(batches):
+    """pos, h: the keys by which documents meet."""
+    import pyarrow as pa
+
+    for b in batches:
+        (hashes, ends), (lengths, _) = _flat(b.column("hashes")), _flat(b.column("lengths"))
+        doc, s, e, key, _, _ = _windows(hashes, lengths, ends)
+        alone = s == e
+        doc, key = doc[alone], key[alone]
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[: len(doc)]
+        yield pa.RecordBatch.from_arrays([b.column("pos").take(pa.array(doc[new])), pa.array(key[new])], names=["pos", "h"])
+
+
+def _left(batches):
+    """pos, keys: those of each row's keys by which a line that is not gone yet could go."""
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for hashes, lengths, keys, lists in zip(*(b.column(c).to_pylist() for c in ("hashes", "lengths", "keys", "lists")), strict=True):
+            stays = np.ones(len(hashes), bool)
+            for x in lists or ():
+                stays[x] = False
+            count = np.concatenate([[0], np.cumsum(stays)])
+            _, s, e, key, by_start, tight = _windows(np.array(hashes, np.int64), np.array(lengths, np.int64), np.array([len(hashes)]))
+            open_ = np.where(tight, count[e + 1] > count[s], stays[np.where(by_start, s, e)])
+            out.append(sorted(set(key[open_].tolist()) & set(keys)))
+        yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array(out, pa.list_(pa.int64()))], names=["pos", "keys"])
+
+
+def _align(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        rows = zip(*(b.column(c).to_pylist() for c in ("hashes", "lengths", "other")), strict=True)
+        gone = [common_blocks(x, y, n) for x, n, y in rows]
+        yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array([len(x) for x in b.column("hashes").to_pylist()], pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["pos", "n", "gone"])
+
+
+def _forms(batches):
+    """pos, form: a hash of the lines, where runs of lines that no other document holds are all alike."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for hashes, shared in zip(b.column("hashes").to_pylist(), b.column("shared").to_pylist(), strict=True):
+            known, form = set(shared or ()), []
+            for x in hashes:
+                y = x if x in known else None
+                if y is not None or not form or form[-1] is not None:
+                    form.append(y)
+            out.append(int.from_bytes(hashlib.blake2b(repr(form).encode(), digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array(out, pa.int64())], names=["pos", "form"])
+
+
+def _flags(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for n, lists in zip(b.column("n").to_pylist(), b.column("lists").to_pylist(), strict=True):
+            x = np.zeros(n, bool)
+            for y in lists:
+                x[y] = True
+            out.append(x)
+        yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array(out, pa.list_(pa.bool_()))], names=["pos", "gone"])
+
+
+def _aligned(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """pos, n, gone: what goes by each pair (pos, owner); written."""
+    later = pairs.join(seqs.select(F.col("pos").alias("_p"), "hashes", "lengths"), F.col("pos") == F.col("_p")).drop("_p")
+    both = later.join(seqs.select(F.col("pos").alias("_o"), F.col("hashes").alias("other")), F.col("owner") == F.col("_o")).select("pos", "hashes", "lengths", "other")
+    return written(both.mapInArrow(_align, "pos long, n int, gone array<int>").filter("size(gone) > 0"), "aligned")
+
+
+def _together(aligned: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, aligned).groupBy("pos").agg(F.max("n").alias("n"), F.collect_list("gone").alias("lists"))
+
+
+def _unsettled(keys: DataFrame, seqs: DataFrame, aligned: list[DataFrame]) -> DataFrame:
+    """pos, keys: what may still delete lines, of keys (pos, keys); written."""
+    gone = _together(aligned).select(F.col("pos").alias("_g"), "lists")
+    rows = keys.join(seqs.select(F.col("pos").alias("_p"), "hashes", "lengths"), F.col("pos") == F.col("_p")).join(gone, F.col("pos") == F.col("_g"), "left")
+    return written(rows.select("pos", "hashes", "lengths", "keys", "lists").mapInArrow(_left, "pos long, keys array<long>").filter("size(keys) > 0"), "unsettled")
+
+
+def _holders(keys: DataFrame, each: DataFrame, seqs: DataFrame) -> DataFrame:
+    """h, owner, rank: of each key in keys (pos, keys) its holders in order, the first one of each form; written.
+
+    Documents that differ only in lines which no other holder of these keys has align alike with all of them."""
+    wanted = written(keys.select(F.explode("keys").alias("_h")).distinct(), "wanted")
+    holders = written(each.join(wanted, F.col("h") == F.col("_h")).select("h", "pos"), "holders")
+    some = holders.select(F.col("pos").alias("_p")).distinct()
+    own = written(seqs.join(some, F.col("pos") == F.col("_p")).select("pos", "hashes"), "holding")
+    lines = own.select("pos", F.explode(F.array_distinct("hashes")).alias("x"))
+    several = written(lines.groupBy(F.col("x").alias("_x")).agg(F.count("*").alias("n")).filter("n > 1").select("_x"), "several")
+    shared = lines.join(several, F.col("x") == F.col("_x")).groupBy(F.col("pos").alias("_p")).agg(F.collect_list("x").alias("shared"))
+    forms = own.join(shared, F.col("pos") == F.col("_p"), "left").select("pos", "hashes", "shared").mapInArrow(_forms, "pos long, form long")
+    first = holders.join(forms.withColumnRenamed("pos", "_p"), F.col("pos") == F.col("_p")).groupBy("h", "form").agg(F.min("pos").alias("owner"))
+    ranked = running_total(written(first.select("h", "owner", F.lit(1).cast("long").alias("one")), "first"), ["h"], ["owner"], "one", "rank")
+    return written(ranked.select("h", "owner", "rank"), "ranked")
+
+
 def decide(docs: DataFrame) -> DataFrame:
     """doc_id, key, copy (which of the rows equal in both) and gone (array<boolean>: lines to delete), of each
     row that loses a line; docs has doc_id and text."""
@@ -106,38 +250,28 @@ def decide(docs: DataFrame) -> DataFrame:
     ranked = running_total(written(base, "lines"), ["all"], ["none", "doc_id", "key"], "one", "pos")
     seqs = written(ranked.select("pos", "doc_id", "key", "hashes", "lengths"), "sequences")
     total = seqs.count()
-    long_lines = F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "lengths"), lambda x: x["lengths"] >= MIN_CHARS), lambda x: x["hashes"]))
-    each = seqs.select("pos", F.explode(long_lines).alias("h"))
+    each = written(seqs.select("pos", "hashes", "lengths").mapInArrow(_keys, "pos long, h long"), "keys")
     owners = each.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n"), F.min("pos").alias("owner")).filter((F.col("n") > 1) & ((F.col("n") <= 16) | (F.col("n") <= RARE_SHARE * total)))
     # Written, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
     owners = written(owners, "owners")
-    pairs = written(each.join(owners, F.col("h") == F.col("_h")).filter("owner <> pos").select("pos", "owner").distinct(), "pairs")
-    later = pairs.join(seqs.select(F.col("pos").alias("_p"), "hashes", "lengths"), F.col("pos") == F.col("_p")).drop("_p")
-    both = later.join(seqs.select(F.col("pos").alias("_o"), F.col("hashes").alias("other")), F.col("owner") == F.col("_o")).select("pos", "hashes", "lengths", "other")
-
-    def align(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            gone = [common_blocks(x, y, n) for x, n, y in zip(*(b.column(c).to_pylist() for c in ("hashes", "lengths", "other")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array([len(x) for x in b.column("hashes").to_pylist()], pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["pos", "n", "gone"])
-
-    aligned = both.mapInArrow(align, "pos long, n int, gone array<int>").filter("size(gone) > 0")
-    whole = aligned.groupBy("pos").agg(F.max("n").alias("n"), F.collect_list("gone").alias("lists"))
-
-    def flags(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for n, lists in zip(b.column("n").to_pylist(), b.column("lists").to_pylist(), strict=True):
-                x = np.zeros(n, bool)
-                for y in lists:
-                    x[y] = True
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array(out, pa.list_(pa.bool_()))], names=["pos", "gone"])
-
-    gone = whole.mapInArrow(flags, "pos long, gone array<boolean>")
+    held = written(each.join(owners, F.col("h") == F.col("_h")).filter("owner <> pos").select("pos", "h", "owner"), "held")
+    aligned = [_aligned(held.select("pos", "owner").distinct(), seqs)]
+    keys = _unsettled(held.groupBy("pos").agg(F.collect_list("h").alias("keys")), seqs, aligned)
+    if not keys.isEmpty():
+        # Lines that the first holder leaves are tried with the next ones, more of them each time, till they go
+        # or no holder is left.
+        holders = _holders(keys, each, seqs)
+        done, last = 1, holders.agg(F.max("rank")).first()[0]
+        while done < last:
+            some = holders.filter((F.col("rank") > done) & (F.col("rank") <= 4 * done)).select(F.col("h").alias("_h"), "owner")
+            pairs = keys.select("pos", F.explode("keys").alias("h")).join(some, F.col("h") == F.col("_h")).filter("owner < pos").select("pos", "owner").distinct()
+            aligned.append(_aligned(pairs, seqs))
+            done *= 4
+            if done < last:
+                keys = _unsettled(keys, seqs, aligned)
+                if keys.isEmpty():
+                    break
+    gone = _together(aligned).mapInArrow(_flags, "pos long, gone array<boolean>")
     named = gone.join(seqs.select(F.col("pos").alias("_p"), "doc_id", "key"), F.col("pos") == F.col("_p")).drop("_p")
     # Of equal rows the first keeps its lines unless an earlier document takes them, and then all lose the same
     # or more; so the ranks among equal rows tell them apart.

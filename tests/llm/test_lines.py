@@ -60,3 +60,28 @@ def test_odd_rows_and_stage(spark, docs_of, odd_rows):
     assert L.deduplicated_lines(spark, docs.filter("false"), "").count() == 0
     twice = docs_of([(4, odd_rows[3][1]), (4, odd_rows[3][1])])
     assert sorted(r["text"] for r in L.deduplicated_lines(spark, twice, "").collect()) == ["", odd_rows[3][1]]
+
+
+def all_earlier(rows):
+    """doc_id -> kept text, each document aligned with every earlier one."""
+    split = [[x.replace("\r", " ").replace("\t", " ").strip(" ") for x in (t or "").split("\n")] for _, t in rows]
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        ls, gone = split[k], set()
+        for e in range(k):
+            gone |= set(L.common_blocks(ls, split[e], [len(x) for x in ls]))
+        out[i] = "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in gone)
+    return out
+
+
+def test_lines_that_the_first_holder_leaves_go_by_the_next(spark, docs_of):
+    hot, other = "a line that many documents hold", "another line that several hold"
+    own = [f"a line of document {i} and no other" for i in range(60)]
+    # The first holders have the line twice, or the two lines in the other order.
+    rows = [(i, "\n".join([own[i], hot, own[i] + "x", hot, own[i] + "y"])) for i in range(5)]
+    rows += [(5, "\n".join([own[5], other, own[5] + "x", hot, own[5] + "y"]))]
+    rows += [(i, "\n".join([own[i], hot, own[i] + "x", other, own[i] + "y"])) for i in range(6, 40)]
+    rows += [(i, "\n".join([own[i], own[i] + "x"])) for i in range(40, 60)] + [(i, f"a line of its own for document {i}") for i in range(60, 100)]
+    got = {x["doc_id"]: x["text"] for x in L.without_repeats(docs_of(rows)).collect()}
+    assert got == all_earlier(rows)
+    assert all(hot not in got[i] and other not in got[i] for i in range(7, 40)) and hot in got[4]
