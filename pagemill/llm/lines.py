@@ -1,18 +1,19 @@
 """Line dedup by pairwise alignment.
 
 Lines are hashed; of each line hash that several documents hold, the first document (by doc_id) is its owner.
-A document is paired with the owners of its rare lines: one row a line at most, however many documents hold
+So it is of each run of lines that has MIN_CHARS characters and none to spare, and of texts of fewer, as a whole.
+A document is paired with the owners of its rare runs: two rows a line at most, however many documents hold
 it. Patience diff aligns each pair, anchored on lines that occur once in both; blocks of aligned lines are
 deleted from the later document. Lines that stay though earlier documents hold them are tried with the next
 holders, one of each form (see _holders), till they go or none is left: what goes is what an alignment with
-every earlier document that holds a rare line of it would delete. Decisions look at the input, not at what is
+every earlier document that holds a rare run of it would delete. Decisions look at the input, not at what is
 left of it.
 
-A line is rare unless more than RARE_SHARE of all documents hold it; lines of fewer than MIN_CHARS
-characters pair nothing, and an aligned block of fewer is left.
+A run is rare unless more than RARE_SHARE of all documents hold it; an aligned block of fewer than MIN_CHARS
+characters is left, unless it is the whole of both texts.
 
 Defined cases: null text is empty (and stays null); blank lines are aligned within blocks only; equal texts,
-repeated rows too, lose all lines but in the first; a text that loses all is empty, its row stays; rows
+repeated rows too, lose all lines but in the first, unless all of them are blank; a text that loses all is empty, its row stays; rows
 without doc_id come after all others; an empty table gives an empty result; other columns are unchanged but
 n_chars, which follows the text."""
 
@@ -128,6 +129,16 @@ def _windows(hashes, lengths, ends):
     return doc[s], s, e, key, by_start, tight
 
 
+def _short_texts(hashes, lengths, ends) -> dict[int, int]:
+    """Keys of whole documents that have characters, but fewer than MIN_CHARS."""
+    import hashlib
+
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    size = total[ends] - total[starts]
+    return {int(i): int.from_bytes(hashlib.blake2b(hashes[starts[i] : ends[i]].tobytes(), digest_size=8, person=b"whole").digest(), "little", signed=True) for i in np.flatnonzero((size > 0) & (size < MIN_CHARS))}
+
+
 def _flat(column):
     """Values of a list column end to end, and where each row ends."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -141,8 +152,8 @@ def _keys(batches):
     for b in batches:
         (hashes, ends), (lengths, _) = _flat(b.column("hashes")), _flat(b.column("lengths"))
         doc, s, e, key, _, _ = _windows(hashes, lengths, ends)
-        alone = s == e
-        doc, key = doc[alone], key[alone]
+        short = _short_texts(hashes, lengths, ends)
+        doc, key = (np.concatenate([x, np.array(list(y), np.int64)]) for x, y in ((doc, short), (key, short.values())))
         order = np.lexsort((key, doc))
         doc, key = doc[order], key[order]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[: len(doc)]
@@ -162,7 +173,7 @@ def _left(batches):
             count = np.concatenate([[0], np.cumsum(stays)])
             _, s, e, key, by_start, tight = _windows(np.array(hashes, np.int64), np.array(lengths, np.int64), np.array([len(hashes)]))
             open_ = np.where(tight, count[e + 1] > count[s], stays[np.where(by_start, s, e)])
-            out.append(sorted(set(key[open_].tolist()) & set(keys)))
+            out.append(sorted(set(key[open_].tolist()) & set(keys)))  # short texts went whole with their first holder
         yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array(out, pa.list_(pa.int64()))], names=["pos", "keys"])
 
 
@@ -171,7 +182,7 @@ def _align(batches):
 
     for b in batches:
         rows = zip(*(b.column(c).to_pylist() for c in ("hashes", "lengths", "other")), strict=True)
-        gone = [common_blocks(x, y, n) for x, n, y in rows]
+        gone = [list(range(len(x))) if x == y and sum(n) else common_blocks(x, y, n) for x, n, y in rows]
         yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array([len(x) for x in b.column("hashes").to_pylist()], pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["pos", "n", "gone"])
 
 

@@ -85,3 +85,21 @@ def test_lines_that_the_first_holder_leaves_go_by_the_next(spark, docs_of):
     got = {x["doc_id"]: x["text"] for x in L.without_repeats(docs_of(rows)).collect()}
     assert got == all_earlier(rows)
     assert all(hot not in got[i] and other not in got[i] for i in range(7, 40)) and hot in got[4]
+
+
+def test_runs_of_short_lines_and_short_texts_meet(spark, docs_of):
+    verse = "\n".join(f"verse {k}" for k in range(30))
+    rows = [(i, f"a line of its own for document {i}\n{verse}\nand one more for document {i}") for i in range(4)]
+    rows += [(4, verse), (5, verse), (6, "tiny"), (7, "tiny"), (8, "tiny\n"), (9, "a\n\nb"), (10, "a\n\nb"), (11, " "), (12, " ")]
+    rows += [(i, f"a line of its own for document {i}") for i in range(13, 40)]
+    got = {x["doc_id"]: x["text"] for x in L.without_repeats(docs_of(rows)).collect()}
+    assert [("verse" in got[i]) for i in range(6)] == [True, False, False, False, False, False]
+    assert [got[i] for i in range(6, 13)] == ["tiny", "", "tiny\n", "a\n\nb", "", " ", " "]
+
+
+def test_short_lines_against_all_earlier_documents(spark, docs_of):
+    r = random.Random(8)
+    words = ["ab", "", "cdefg", "hijklmnop", "qrstuvwxyz abc", "a line of more than twenty", "another line of more than twenty"]
+    rows = [(i, "\n".join([f"id {i} {r.random()}", *(r.choice(words) for _ in range(r.randint(3, 12)))])) for i in range(60)]
+    rows += [(i, f"a line of its own for document {i}") for i in range(60, 200)]
+    assert {x["doc_id"]: x["text"] for x in L.without_repeats(docs_of(rows)).collect()} == all_earlier(rows)
