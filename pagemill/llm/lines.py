@@ -2,15 +2,15 @@
 
 Lines are hashed; of each line hash that several documents hold, the first document (by doc_id) is its owner.
 So it is of each run of lines that has MIN_CHARS characters and none to spare, and of texts of fewer, as a whole.
-A document is paired with the owners of its rare runs: two rows a line at most, however many documents hold
+A document is paired with the owners of its runs: two rows a line at most, however many documents hold
 it. Patience diff aligns each pair, anchored on lines that occur once in both; blocks of aligned lines are
 deleted from the later document. Lines that stay though earlier documents hold them are tried with the next
 holders, one of each form (see _holders), till they go or none is left: what goes is what an alignment with
-every earlier document that holds a rare run of it would delete. Decisions look at the input, not at what is
+every earlier document would delete. Decisions look at the input, not at what is
 left of it.
 
-A run is rare unless more than RARE_SHARE of all documents hold it; an aligned block of fewer than MIN_CHARS
-characters is left, unless it is the whole of both texts.
+An aligned block of fewer than MIN_CHARS characters is left, unless it is the whole of both texts. Runs count
+however many documents hold them.
 
 Defined cases: null text is empty (and stays null); blank lines are aligned within blocks only; equal texts,
 repeated rows too, lose all lines but in the first, unless all of them are blank; a text that loses all is empty, its row stays; rows
@@ -29,7 +29,9 @@ from pyspark.sql.window import Window
 
 from pagemill.llm.shared import _B, _inverse, _powers, mixed, running_total, text_of, written
 
-RARE_SHARE, MIN_CHARS = 0.5, 20
+MIN_CHARS = 20
+# No longer a limit here: only the test of the former rule reads it.
+RARE_SHARE = 0.5
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -260,9 +262,8 @@ def decide(docs: DataFrame) -> DataFrame:
     base = base.select(F.col("doc_id").isNull().cast("int").alias("none"), "doc_id", "key", F.transform("l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("l", lambda x: F.length(x)).alias("lengths"), F.lit(1).cast("long").alias("one"), F.lit(0).alias("all"))
     ranked = running_total(written(base, "lines"), ["all"], ["none", "doc_id", "key"], "one", "pos")
     seqs = written(ranked.select("pos", "doc_id", "key", "hashes", "lengths"), "sequences")
-    total = seqs.count()
     each = written(seqs.select("pos", "hashes", "lengths").mapInArrow(_keys, "pos long, h long"), "keys")
-    owners = each.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n"), F.min("pos").alias("owner")).filter((F.col("n") > 1) & ((F.col("n") <= 16) | (F.col("n") <= RARE_SHARE * total)))
+    owners = each.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n"), F.min("pos").alias("owner")).filter("n > 1")
     # Written, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
     owners = written(owners, "owners")
     held = written(each.join(owners, F.col("h") == F.col("_h")).filter("owner <> pos").select("pos", "h", "owner"), "held")

@@ -103,3 +103,10 @@ def test_short_lines_against_all_earlier_documents(spark, docs_of):
     rows = [(i, "\n".join([f"id {i} {r.random()}", *(r.choice(words) for _ in range(r.randint(3, 12)))])) for i in range(60)]
     rows += [(i, f"a line of its own for document {i}") for i in range(60, 200)]
     assert {x["doc_id"]: x["text"] for x in L.without_repeats(docs_of(rows)).collect()} == all_earlier(rows)
+
+
+def test_lines_of_most_documents_go(spark, docs_of):
+    rows = [(i, f"a line of its own for document {i}\nthe same line in nearly all of them\nthe end of document {i}, its own") for i in range(40)]
+    rows += [(i, f"a line of its own for document {i}") for i in range(40, 44)]
+    got = {x["doc_id"]: x["text"] for x in L.without_repeats(docs_of(rows)).collect()}
+    assert got == all_earlier(rows) and [i for i in got if "the same line" in got[i]] == [0]
