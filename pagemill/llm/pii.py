@@ -36,9 +36,12 @@ LOOKS |= dict.fromkeys("‐‑‒–—−﹣－", "-")
 LOOKS |= dict.fromkeys("․。．｡", ".")
 
 
-# Top-level names that end an address written in words.
+# Top-level names that end an address of bare words where its words may be prose, as in "at this point we".
 TOPS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "ai", "app", "dev", "me", "eu", "us", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "ca", "au", "mx", "ar", "br", "pl", "pt", "se", "no", "jp", "cn", "in", "ru", "test", "example")
 
+# What stands before a dot in prose, as in "at the dot here".
+BEFORE = ("a", "an", "the", "this", "that", "these", "those", "one", "some", "any", "each", "every", "which", "what", "no", "my", "your", "his", "her", "its", "our", "their")
+
 
 class Finder:
     def __init__(self) -> None:
@@ -53,15 +56,19 @@ class Finder:
         sep = r"[\s,.\-]{1,3}"
         one = rf"(?:{names}|[0-9])"
         at, dot = r"(?:at|arroba|arobase|klammeraffe|ät)", r"(?:dot|point|punkt|punto)"
-        label, tld = r"[a-z0-9][a-z0-9-]*", rf"(?:{'|'.join(TOPS)})(?![a-z0-9-])"
+        label, tld = r"[a-z0-9][a-z0-9-]*+", r"[a-z][a-z]++(?![\w-])"
+        around = lambda x: rf"\s*+[\[({{<]\s*+(?:{x})\s*+[\])}}>]\s*+"
+        said_at, said_dot = rf"\s++{at}\s++|{around(at + '|@')}", rf"\s++{dot}\s++|{around(dot + '|dt|[.]')}"
         self.near = re.compile(rf"(?:^|[\s,.\-(:])(?:{names}){sep}{one}(?!\w)").search
         self.near_digit = re.compile(rf"[0-9]{sep}(?:{names})(?!\w)").search
         self.spelled = re.compile(rf"(?<!\w)(?:plus\s+)?(?:\+\s*)?{one}(?:(?:{sep}|(?<=[0-9])|(?<=[0-9])\s*[()]\s*){one})+(?!\w)").finditer
         self.each = re.compile(rf"{names}|[0-9]|\.").finditer
         # In brackets, either sign may stand alone; bare words count only as a whole address or between numbers.
         self.bracketed = re.compile(rf"\s*[\[({{<]\s*(?:({at}|@)|(?:{dot}|dt|\.))\s*[\])}}>]\s*").finditer
-        self.address = re.compile(rf"(?<![\w.%+-])[a-z0-9._%+-]+(\s+{at}\s+){label}(?:(?:\s+{dot}\s+|\.){label})*(?:\s+{dot}\s+){tld}").finditer
-        self.bare_dot = re.compile(rf"\s+{dot}\s+").finditer
+        # Each sign is a bare word, in brackets or itself; after a plain "@" or dots alone there is nothing to rewrite.
+        self.address = re.compile(rf"(?<![\w.%+-])[a-z0-9._%+-]++({said_at}|@){label}(?:(?:{said_dot}|\.){label})*?(?:{said_dot}){tld}(?!(?:{said_dot}){label})").finditer
+        self.any_dot = re.compile(said_dot).finditer
+        self.prose = re.compile(rf"[^\[({{<@]*\s(?:(?:{'|'.join(BEFORE)})\s+{dot}|\S+\s+point)\s+(?!(?:{'|'.join(TOPS)})\Z)\S+").fullmatch
         self.number_dot = re.compile(rf"(?<=[0-9])\s+{dot}\s+(?=[0-9])|(?:(?<=[a-z]))\s+{dot}\s+(?=(?:{names})(?!\w))").finditer
         self.looks = re.compile("[" + "".join(map(re.escape, LOOKS)) + "！-～①-⒛⁰-ₜ²³¹٠-٩۰-۹०-९\U0001d400-\U0001d7ff]").search
 
@@ -106,10 +113,15 @@ class Finder:
         marks: list[tuple[int, int, str]] = []
         if any(x in low for x in "[({<"):
             marks = [(m.start(), m.end(), "@" if m[1] else ".") for m in self.bracketed(low)]
-        if any(x in low for x in (" dot", " point", " punkt", " punto", "\ndot", "\npunkt")):
+        words = any(x in low for x in ("dot", "point", "punkt", "punto"))
+        if words or marks:
             for m in self.address(low):
-                marks.append((*m.span(1), "@"))
-                marks += [(m.end(1) + x.start(), m.end(1) + x.end(), ".") for x in self.bare_dot(low[m.end(1) : m.end()])]
+                if self.prose(m[0]):
+                    continue
+                if m[1] != "@":
+                    marks.append((*m.span(1), "@"))
+                marks += [(m.end(1) + x.start(), m.end(1) + x.end(), ".") for x in self.any_dot(low[m.end(1) : m.end()])]
+        if words:
             marks += [(m.start(), m.end(), ".") for m in self.number_dot(low)]
         if marks:
             kept, last = [], 0

@@ -68,3 +68,13 @@ def test_odd_rows(spark, docs_of, odd_rows):
     got = pii.find_pii(docs_of(odd_rows)).toPandas()
     assert len(got) == len(odd_rows) and (got[got.doc_id == 1].spans == "").all()
     assert pii.find_pii(docs_of(odd_rows).filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["jane [at] example dot com", "jane at example [dot] com", "jane@example dot com", "jane at example dot xyz", "jane at mail.example (dot) dk", "jane at example dot online", "jane <@> mail dot example [.] kr"])
+def test_signs_of_an_address_each_in_its_own_way(text):
+    assert said(text) == [("email", text)] and said(f"mail {text}, now") == [("email", text)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot here", "we were at this point we knew", "she came at some point later", "jane at example"])
+def test_prose_with_the_words_is_no_address(text):
+    assert said(text) == []
