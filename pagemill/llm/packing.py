@@ -1,17 +1,22 @@
-"""Best-fit packing of tokenised documents into sequences of at most `capacity` tokens.
+"""Packing of tokenised documents into sequences of at most `capacity` tokens.
 
 The lengths' histogram (at most `capacity` bins, whatever the number of documents) gives a configuration
-linear program: a configuration is a multiset of lengths that fits one sequence. Multiplicative weights
-hold a price for each length; a knapsack dynamic program finds the configurations of largest price; the
-counts are rounded down, and what is left is packed best fit on the histogram. The plan is a table of runs
-(length, first place, configuration), so each piece finds its sequence from its own place among the pieces
-of its length.
+linear program: a configuration is a multiset of lengths that fits one sequence, and uses of configurations
+cover the count of each length. Multiplicative weights solve it over the configurations known so far and give
+prices of lengths; a knapsack dynamic program over the prices finds new ones and a lower bound; both go on in
+turn until uses and bound are within `gap`. The uses are rounded down, and what is left is packed best fit, on
+the histogram too. The plan is a table of runs (length, first place, configuration), so each piece finds its
+sequence from its own place among the pieces of its length.
 
-Defined cases: null text is empty (one token: the end id); repeated rows are packed each; an empty table
-gives an empty result; other columns are ignored."""
+Defined cases: null text is empty (one token: the end id); repeated rows are packed each; pieces of equal length
+are placed by checksum, then doc_id and piece, so reruns agree; an empty table gives an empty result; texts of any
+length are read whole; other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -132,81 +137,207 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, schema)
 
 
-def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value and last length taken, for each capacity up to `capacity`; price[l] of length l, -inf if absent."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        values = best[c - 1 :: -1] + price[1 : c + 1] if c > 1 else best[:1] + price[1:2]
-        at = int(values.argmax())
-        if values[at] > best[c - 1]:
-            best[c], take[c] = values[at], at + 1
-        else:
-            best[c], take[c] = best[c - 1], 0
-    return best, take
-
-
-def _read(take: np.ndarray, c: int) -> dict[int, int]:
+def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to capacity the best total price of lengths (sorted) that fit, and the place in lengths of
+    one that such a filling holds (-1: none more than a room of one less)."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int32)
+    if (capacity // lengths).sum() < 4 * capacity:
+        # Few or long lengths: one length after another, in blocks of its own size.
+        for i, length in enumerate(lengths.tolist()):
+            for lo in range(length, capacity + 1, length):
+                hi = min(lo + length, capacity + 1)
+                value = best[lo - length : hi - length] + price[i]
+                better = value > best[lo:hi] + 1e-15
+                best[lo:hi][better] = value[better]
+                last[lo:hi][better] = i
+        return best, last
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for room in range(int(lengths[0]), capacity + 1):
+        value = best[room - lengths[: fit[room]]] + price[: fit[room]]
+        i = int(value.argmax())
+        best[room] = best[room - 1]
+        if value[i] > best[room] + 1e-15:
+            best[room], last[room] = value[i], i
+    return best, last
+
+
+def _filling(lengths: np.ndarray, last: np.ndarray, room: int) -> dict[int, int]:
     out: dict[int, int] = {}
-    while c > 0:
-        if take[c]:
-            out[int(take[c])] = out.get(int(take[c]), 0) + 1
-            c -= int(take[c])
+    while room >= lengths[0]:
+        i = int(last[room])
+        if i < 0:
+            room -= 1
         else:
-            c -= 1
+            out[i] = out.get(i, 0) + 1
+            room -= int(lengths[i])
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = 4096, rounds: int = 60, columns: int = 48, step: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """(configuration, times) that pack counts[length] pieces of each length.
-
-    rounds: knapsacks solved; columns: configurations read from each; step: the share of what its scarcest
-    length still needs that a configuration takes, and the rate of the price update."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    whole = left.copy()
-    price = np.arange(capacity + 1) / capacity
-    out: list[tuple[dict[int, int], int]] = []
+def best_fit(left: dict[int, int], capacity: int, opened: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """(configuration, times): left[length] pieces packed best fit, longest first, into opened sequences and new
+    ones. Sequences of equal configuration move together, so the work grows with distinct lengths."""
+    groups: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def put(config: dict[int, int], times: int) -> None:
+        room = capacity - sum(k * v for k, v in config.items())
+        groups.setdefault(room, []).append((config, times))
+        if len(groups[room]) == 1:
+            insort(rooms, room)
+
+    rooms: list[int] = []
+    for config, times in opened:
+        put(config, times)
+    for length in sorted(left, reverse=True):
+        n = left[length]
+        while n:
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
+                v = min(capacity // length, n)
+                put({length: v}, n // v)
+                n %= v
+                continue
+            room = rooms[at]
+            config, times = groups[room].pop()
+            if not groups[room]:
+                rooms.pop(at)
+            k = min(times, n)
+            if k < times:
+                put(config, times - k)
+            put({**config, length: config.get(length, 0) + 1}, k)
+            n -= k
+    return [x for g in groups.values() for x in g]
+
+
+def _weighed(entries: tuple[np.ndarray, np.ndarray, np.ndarray], m: int, x: np.ndarray, steps: int, end: float):
+    """Multiplicative weights over known configurations: columns x cover every length; a length's weight falls
+    exponentially with its cover, and a column grows or shrinks by what it is worth at these weights.
+
+    entries: column, length and share of the length's pieces that one sequence of the column holds. Gives the best
+    cover, its sum, the weights' average, their value, and the last columns. Ends when both values meet."""
+    col, row, share = entries
+    k = len(x)
+    cover = lambda x: np.bincount(row, share * x[col], m)
+    least, best, value, weights, spread = np.inf, x, 0.0, np.full(m, 1 / m), 0.2
+    while True:
+        eta, w_sum, x_sum = np.log(m + 1) / spread, np.zeros(m), np.zeros(k)
+        for step in range(1, steps + 1):
+            c = cover(x)
+            x, c = x / c.min(), c / c.min()
+            total = x.sum()
+            if total < least:
+                least, best = total, x
+            w = np.exp(-eta * (c - 1))
+            w /= w.sum()
+            w_sum += w
+            x_sum += x / total
+            worth = np.bincount(col, share * w[row], k)
+            x = x * np.exp(0.7 / eta * np.clip(worth * total - 1, -3, 3))
+            if step % 50 == 0:
+                mean = w_sum / w_sum.sum()
+                bound = 1 / np.bincount(col, share * mean[row], k).max()
+                if bound > value:
+                    value, weights = bound, mean
+                even = x_sum / cover(x_sum).min()
+                if even.sum() < least:
+                    least, best = even.sum(), even
+                if least <= value * (1 + spread / 2):
+                    break
+                if step % 200 == 0:
+                    w_sum *= 0.3
+                    x_sum *= 0.3
+        x = np.maximum(x, 1e-7 * x.max() / k)
+        if spread <= end or least <= value * (1 + end):
+            return best, least, weights, value, x
+        spread /= 2.5
+
+
+def linear_program(counts: dict[int, int], capacity: int = 4096, gap: float = 0.003, rounds: int = 40, columns: int = 512, steps: int = 1500) -> tuple[list[dict[int, int]], np.ndarray, float]:
+    """Configurations, how often each is used (fractions) and a lower bound on the number of sequences.
+
+    Minimises the sum of uses that cover every length's count. Rounds of multiplicative weights over the known
+    configurations give prices of lengths; a knapsack over the prices finds better configurations and proves a
+    bound: prices at which no configuration is worth more than 1 sum up to no more than the least number. Ends when
+    cover and bound differ by less than `gap`, or after `rounds`. The first configurations are best fit's."""
+    if not counts:
+        return [], np.zeros(0), 0.0
+    lengths = np.asarray(sorted(counts), np.int64)
+    n = np.asarray([counts[x] for x in lengths.tolist()], float)
+    place = {x: i for i, x in enumerate(lengths.tolist())}
+    configs: list[dict[int, int]] = []
+    seen: set[tuple] = set()
+    parts: list[list] = [[], [], []]
+
+    def add(config: dict[int, int]) -> bool:
+        key = tuple(sorted(config.items()))
+        if key in seen:
+            return False
+        seen.add(key)
+        for i, v in key:
+            for p, y in zip(parts, (len(configs), i, v / n[i]), strict=True):
+                p.append(y)
+        configs.append(config)
+        return True
+
+    uses: list[float] = []
+    for config, times in best_fit(counts, capacity):
+        if add({place[k]: v for k, v in config.items()}):
+            uses.append(float(times))
+    x, price, bound = np.asarray(uses), lengths / capacity, 0.0
+    least, best = float(x.sum()), x  # best fit covers each length as often as it has to
+    whole, marks = int(x.sum()), []
     for _ in range(rounds):
-        if left.sum() < 64:
+        worth, last = knapsack(lengths, price, capacity)
+        bound = max(bound, float(price @ n) / worth[capacity])
+        if least <= bound * (1 + gap) or whole <= math.ceil(bound - 1e-6):
             break
-        best, take = _knapsack(np.where(left > 0, price, -np.inf), capacity)
-        have = np.flatnonzero(left)
-        worth = price[have] + best[capacity - have]
-        used = 0
-        for length in have[np.argsort(-(worth + 1e-9 * have), kind="stable")][:columns]:
-            config = _read(take, capacity - int(length))
-            config[int(length)] = config.get(int(length), 0) + 1
-            if sum(k * v for k, v in config.items()) < 0.999 * capacity:
-                continue
-            fits = min(int(left[k]) // v for k, v in config.items())
-            times = max(int(fits * step), min(fits, 1))
-            if times:
-                used += 1
-                out.append((config, times))
-                for k, v in config.items():
-                    left[k] -= times * v
-                    price[k] *= np.exp(-step * times * v / whole[k])
-        if not used:
+        marks.append((least, bound))
+        if len(marks) > 5 and marks[-6][0] - least + bound - marks[-6][1] < 1e-4 * least:
             break
-    # What rounding left over: best fit, many sequences of one configuration at a time.
-    while left.any():
-        have = np.flatnonzero(left)
-        config, room, rest = {}, capacity, left.copy()
-        while room > 0:
-            some = have[: np.searchsorted(have, room, "right")]
-            some = some[rest[some] > 0]
-            if not len(some):
+        value = price + worth[capacity - lengths]
+        fresh = 0
+        for i in np.argsort(-value, kind="stable")[:columns].tolist():
+            config = _filling(lengths, last, capacity - int(lengths[i]))
+            config[i] = config.get(i, 0) + 1
+            fresh += add(config)
+        x = np.concatenate([x, np.full(fresh, max(x.sum(), 1.0) * 0.2 / max(fresh, 1))])
+        entries = tuple(np.asarray(p) for p in parts)
+        some, total, weights, known, x = _weighed(entries, len(lengths), x, steps, gap / 2)
+        price = weights / n * known
+        if total < least:
+            least, best = total, some
+    uses = np.zeros(len(configs))
+    uses[: len(best)] = best
+    named = [{int(lengths[i]): v for i, v in c.items()} for c in configs]
+    return named, uses, bound
+
+
+def rounded(counts: dict[int, int], configs: list[dict[int, int]], uses: np.ndarray, capacity: int, up: float) -> list[tuple[dict[int, int], int]]:
+    """Uses rounded down (after adding `up`), the most used first, each as far as pieces are left; then best fit."""
+    left, out = dict(counts), []
+    for c in np.argsort(-uses, kind="stable").tolist():
+        times = int(uses[c] + up)
+        if not times:
+            break
+        config = configs[c]
+        while times:
+            # What is covered more than once runs out: the configuration goes on without it.
+            config = {k: min(v, left[k]) for k, v in config.items() if left[k]}
+            if not config:
                 break
-            length = int(some[-1])
-            config[length] = config.get(length, 0) + 1
-            rest[length] -= 1
-            room -= length
-        times = max(1, min(int(left[k]) // v for k, v in config.items()))
-        out.append((config, times))
-        for k, v in config.items():
-            left[k] -= times * v
-    return out
+            now = min(times, *(left[k] // v for k, v in config.items()))
+            out.append((config, now))
+            for k, v in config.items():
+                left[k] -= now * v
+            times -= now
+    return best_fit({k: v for k, v in left.items() if v}, capacity, out)
+
+
+def plan(counts: dict[int, int], capacity: int = 4096, **how) -> list[tuple[dict[int, int], int]]:
+    """(configuration, times) that pack counts[length] pieces of each length: the linear program's uses, rounded
+    down; of a few ways of rounding the one with the fewest sequences."""
+    configs, uses, _ = linear_program(counts, capacity, **how)
+    tries = [rounded(counts, configs, uses, capacity, up) for up in (0.0, 0.02, 0.25, 0.5, 0.75)]
+    return min([*tries, best_fit(counts, capacity)], key=lambda x: sum(n for _, n in x)) if counts else []
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, **how) -> DataFrame:

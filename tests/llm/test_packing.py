@@ -23,13 +23,54 @@ def test_plan_packs_every_piece(counts):
     assert seen == counts
 
 
-def test_plan_is_near_the_bound():
+def sequences(counts, capacity=4096):
+    return sum(t for _, t in packing.plan(counts, capacity))
+
+
+@pytest.mark.parametrize("counts, least", [({2067: 600, 1040: 600, 1015: 600, 992: 1200}, 900), ({2040: 1000, 1360: 1000, 690: 1000}, 1000), ({4096: 10, 1: 1}, 11), ({1366: 90, 1365: 180}, 90), ({2049: 7}, 7)])
+def test_plan_reaches_known_optima(counts, least):
+    assert least <= sequences(counts) <= least + 3
+
+
+def test_plan_is_near_the_programs_bound():
     r = np.random.default_rng(0)
-    counts = {int(k): int(v) for k, v in zip(range(50, 4097), r.integers(0, 60, 4047), strict=True) if v}
-    n = sum(t for _, t in packing.plan(counts))
-    assert n <= 1.35 * -(-sum(k * v for k, v in counts.items()) // 4096)
+    wide = {int(k): int(v) for k, v in zip(range(50, 4097), r.integers(0, 60, 4047), strict=True) if v}
+    few = {int(k): int(v) for k, v in zip(r.choice(range(200, 3000), 25, False), r.integers(50, 500, 25), strict=True)}
     small = {int(k): int(v) for k, v in zip(range(20, 1500), r.integers(1, 60, 1480), strict=True)}
-    assert sum(t for _, t in packing.plan(small)) <= -(-sum(k * v for k, v in small.items()) // 4096) + 3
+    for counts in (wide, few, small):
+        configs, uses, bound = packing.linear_program(counts)
+        for k, n in counts.items():
+            assert sum(u * c.get(k, 0) for c, u in zip(configs, uses, strict=True)) >= n * (1 - 1e-6)
+        assert bound <= uses.sum() <= bound * 1.01 and bound <= sequences(counts) <= bound * 1.01 + 1
+        assert bound >= sum(k * v for k, v in counts.items()) / 4096 - 1e-6
+
+
+def exact(items, capacity):
+    """Fewest sequences by search over every placement."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for r in sorted({x for x in rooms if x >= items[i]}):
+            j = rooms.index(r)
+            place(i + 1, [*rooms[:j], r - items[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_plan_against_exact_search(items):
+    counts = {k: items.count(k) for k in items}
+    n = exact(items, 20)
+    assert n <= sequences(counts, 20) <= n + 1
+    assert packing.linear_program(counts, 20)[2] <= n + 1e-6
 
 
 @pytest.mark.parametrize("text", ["", "Hello, World's 12 tests.", "á É́ \x1cb c", "<|endoftext|>x y", "ΑΣ ΟΔΟΣ. İx", "a\x85b\xa0c", "x" * 5000, "l'été DON'T 're"])
