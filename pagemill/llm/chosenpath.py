@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.fingerprints import MinHasher
-from pagemill.llm.shared import WordHasher, mixed, packed, partitions, shingles, text_of, unpack, written
+from pagemill.llm.shared import WordHasher, as_struct, mixed, packed, partitions, rest_of, row_key, shingles, text_of, unpack, written
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Tokens that a set takes at each step, on average.
@@ -178,7 +178,7 @@ def _fields(text: str) -> T.StructType:
 def _first_step(texts: DataFrame, doc_type, runs: int) -> DataFrame:
     """place, doc_id, key, h1, h2 (of the set), n and the paths of all runs, of every document."""
     seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64))
-    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("doc_id", doc_type), T.StructField("key", T.LongType()), *_fields("h1:long h2:long n:int paths:longs").fields])
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("doc_id", doc_type), T.StructField("key", T.StringType()), *_fields("h1:long h2:long n:int paths:longs").fields])
 
     def scan(batches):
         import pyarrow as pa
@@ -195,7 +195,7 @@ def _first_step(texts: DataFrame, doc_type, runs: int) -> DataFrame:
                     n.append(len(s))
                     paths.append(_signed(np.concatenate([_take(s, x) for x in seeds])) if len(s) else np.zeros(0, np.int64))
                 kind = b.schema.field("doc_id").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(ids, kind), pa.array(keys, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(ids, kind), pa.array(keys, pa.string()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], names=schema.names)
 
     return texts.select("batch", "ends", "text", "doc_id", "key").mapInArrow(scan, schema)
 
@@ -415,7 +415,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     buckets, a function as _visit takes, gives other (path, place) rows than the chosen paths' to search."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    key = F.xxhash64("doc_id", "text")
+    key = row_key("doc_id", "text")
     texts = packed(docs.select(text_of().cast("binary").alias("text"), "doc_id", key.alias("key")), ["doc_id", "key"], "sets", BATCH)
     every = written(_first_step(texts, docs.schema["doc_id"].dataType, runs_needed(threshold, recall)), "documents")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
@@ -448,5 +448,6 @@ def op4_jaccard(spark, sf_dir: str) -> DataFrame:
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, the one with the smallest doc_id; of repeated rows one."""
     stay = join(docs.select("doc_id", "text")).filter("first").select(F.col("key").alias("_stay"))
-    kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(stay, F.col("_key") == F.col("_stay"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    own = docs.select(as_struct(docs).alias("_doc"), row_key("doc_id", "text").alias("_key"), rest_of(docs, "doc_id", "text").alias("_order"))
+    kept = own.join(stay, F.col("_key") == F.col("_stay"), "left_semi")
+    return kept.groupBy("_key").agg(F.min_by("_doc", "_order").alias("_doc")).select("_doc.*")

@@ -27,15 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagemill.llm.shared import _B, _inverse, _powers, mixed, running_total, text_of, written
+from pagemill.llm.shared import _B, _inverse, _powers, as_struct, changed, mixed, rest_of, row_key, running_total, text_of, written
 
 MIN_CHARS = 20
-# No longer a limit here: only the test of the former rule reads it.
-RARE_SHARE = 0.5
 
 
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs that rises in both; pairs come sorted by their first."""
+    """The longest run of pairs that rises in both, of equals the one that ends earlier in the second; pairs come
+    sorted by their first."""
     from bisect import bisect_left
 
     tops: list[int] = []
@@ -255,10 +254,10 @@ def _holders(keys: DataFrame, each: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def decide(docs: DataFrame) -> DataFrame:
-    """doc_id, key, copy (which of the rows equal in both) and gone (array<boolean>: lines to delete), of each
-    row that loses a line; docs has doc_id and text."""
+    """key (of doc_id and text), n, own and rest of all rows of that key that lose lines: of rows equal in both, n lose
+    lines; the first of those loses own (array<boolean>: which lines go), the others rest. docs has doc_id and text."""
     lines = F.transform(F.split(text_of(), "\n"), lambda x: F.trim(F.regexp_replace(x, "[\r\t]", " ")))
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), lines.alias("l"))
+    base = docs.select("doc_id", row_key("doc_id", "text").alias("key"), lines.alias("l"))
     base = base.select(F.col("doc_id").isNull().cast("int").alias("none"), "doc_id", "key", F.transform("l", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("l", lambda x: F.length(x)).alias("lengths"), F.lit(1).cast("long").alias("one"), F.lit(0).alias("all"))
     ranked = running_total(written(base, "lines"), ["all"], ["none", "doc_id", "key"], "one", "pos")
     seqs = written(ranked.select("pos", "doc_id", "key", "hashes", "lengths"), "sequences")
@@ -284,34 +283,38 @@ def decide(docs: DataFrame) -> DataFrame:
                 if keys.isEmpty():
                     break
     gone = _together(aligned).mapInArrow(_flags, "pos long, gone array<boolean>")
-    named = gone.join(seqs.select(F.col("pos").alias("_p"), "doc_id", "key"), F.col("pos") == F.col("_p")).drop("_p")
-    # Of equal rows the first keeps its lines unless an earlier document takes them, and then all lose the same
-    # or more; so the ranks among equal rows tell them apart.
-    same = Window.partitionBy("key").orderBy(F.desc("pos"))
-    return named.select("doc_id", "key", F.row_number().over(same).alias("copy"), "gone")
+    named = gone.join(seqs.select(F.col("pos").alias("_p"), "key"), F.col("pos") == F.col("_p")).drop("_p")
+    # Of equal rows the first keeps its lines unless an earlier document takes them; the others lose all of them.
+    return named.groupBy("key").agg(F.count("*").alias("n"), F.min_by("gone", "pos").alias("own"), F.max_by("gone", "pos").alias("rest"))
+
+
+def cut_rows(docs: DataFrame) -> DataFrame:
+    """_doc (struct of docs' columns, repeated blocks of lines deleted), n_lines and n_removed."""
+    decided = written(decide(docs.select("doc_id", "text")), "gone").select(F.col("key").alias("_k"), "n", "own", "rest")
+    own = docs.select(as_struct(docs).alias("_doc"), row_key("doc_id", "text").alias("_key"), rest_of(docs, "doc_id", "text").alias("_order"))
+    # Numbered and joined by key alone, so the texts are shuffled once. Rows beyond the n that lose lines keep them.
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_order"))))
+    out = own.join(decided, F.col("_key") == F.col("_k"), "left")
+    out = out.withColumn("_gone", F.when(F.col("_copy") < F.col("n"), F.col("rest")).when(F.col("_copy") == F.col("n"), F.col("own")))
+    text = F.col("_doc.text")
+    kept = F.array_join(F.filter(F.zip_with(F.split(text, "\n"), "_gone", lambda x, g: F.when(~F.coalesce(g, F.lit(False)), x)), lambda x: x.isNotNull()), "\n")
+    new = {"text": F.when(F.col("_gone").isNull(), text).otherwise(kept)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_doc.n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    removed = F.coalesce(F.size(F.filter("_gone", lambda g: g)), F.lit(0))
+    return out.select(F.struct(*changed(docs, "_doc", new)).alias("_doc"), F.size(F.split(text_of(text), "\n")).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated blocks of lines deleted, and _n_lines and _n_removed."""
-    gone = written(decide(docs.select("doc_id", "text")), "gone")
-    own = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    # Numbered and joined by key alone, so the texts are shuffled once; the places are compared within a key.
-    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    g = gone.select(F.col("key").alias("_k"), F.col("copy").alias("_c"), F.col("gone").alias("_gone"))
-    out = own.join(g, (F.col("_key") == F.col("_k")) & (F.col("_copy") >= F.col("_c")) & (F.col("_copy") <= F.col("_c")), "left")
-    cut = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.zip_with(cut, "_gone", lambda x, g: F.when(~F.coalesce(g, F.lit(False)), x)), lambda x: x.isNotNull()), "\n")
-    out = out.withColumns({"_n_lines": F.coalesce(F.size(F.split(text_of(), "\n")), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size(F.filter("_gone", lambda g: g)), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns, "_n_lines", "_n_removed")
+    """docs with repeated blocks of lines deleted."""
+    return cut_rows(docs).select("_doc.*")
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.greatest("_n_removed", F.lit(0)).alias("n_removed"), F.sha2(text_of(), 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
+    return cut_rows(docs).select("_doc.doc_id", "n_lines", "n_removed", F.sha2(text_of(F.col("_doc.text")), 256).alias("kept_sha256"), F.col("_doc.text").alias("kept_text"))
 
 
 def deduplicated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without the blocks of lines that an earlier one holds."""
-    return without_repeats(docs).select(*docs.columns)
+    return without_repeats(docs)

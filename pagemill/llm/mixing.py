@@ -6,7 +6,9 @@ and cut at the budget, the sources advance together, so each ends near its targe
 above its size is passed over again, at most `cap` times in all.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; repeated rows count once each; an empty table gives an empty result; other columns are ignored."""
+order; documents of equal place in the shuffled order (equal doc_id) come by size, and finish times that tie by
+source, place and pass; repeated rows count once each; texts of any length count whole; an empty table gives an
+empty result; other columns are ignored, whatever their names, and the stage keeps them."""
 
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.shared import running_total, text_of, written
+from pagemill.llm.shared import as_struct, changed, rest_of, row_key, running_total, text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,16 +71,19 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents as often as the mix takes them; the one that the budget cuts is cut there.
 
-    A repeated row is matched with its own decision by its place among the rows that equal it."""
-    key = F.xxhash64("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key"))
-    taken = mix(sized).select(F.col("_key").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.withColumn("_at", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("_taken"))))
-    # Numbered and joined by key alone, so the texts are shuffled once; the places are compared within a key.
-    full = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_key"))
-    full = full.withColumn("_at2", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    on = (F.col("_key") == F.col("_k")) & (F.col("_at") >= F.col("_at2")) & (F.col("_at") <= F.col("_at2"))
-    joined = full.join(taken.filter("_taken > 0"), on)
+    Rows equal in doc_id, source and text are numbered, and so are their decisions, the larger ones first."""
+    equal = ("doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", word_count().alias("size"), row_key(*equal).alias("_key"))
+    n = mix(sized).filter("taken > 0").groupBy("_key", "size", "taken").agg(F.count("*").alias("n"))
+    # How often each number of words is taken of equal rows: a few numbers a key, as passes are few.
+    steps = n.groupBy(F.col("_key").alias("_k"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("_steps"))
+    full = docs.select(as_struct(docs).alias("_doc"), row_key(*equal).alias("_key"), rest_of(docs, *equal).alias("_order"))
+    # Numbered and joined by key alone, so the texts are shuffled once.
+    full = full.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_order")).cast("long"))
+    joined = full.join(steps, F.col("_key") == F.col("_k"))
+    start = F.struct(F.col("_at").alias("left"), F.lit(0).cast("long").alias("taken"))
+    pick = F.aggregate("_steps", start, lambda s, x: F.struct((s["left"] - x["n"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["n"]), x["taken"]).otherwise(s["taken"]).alias("taken")), lambda s: s["taken"])
+    joined = joined.withColumn("_taken", pick).filter("_taken > 0")
     parts = F.expr("CASE WHEN _taken % _size = 0 THEN array_repeat(_size, cast(_taken div _size as int)) ELSE concat(array_repeat(_size, cast(_taken div _size as int)), array(_taken % _size)) END")
     rows = joined.withColumn("_words", F.explode(parts))
     whole = F.col("_words") == F.col("_size")
@@ -86,7 +91,7 @@ def mixed_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = {"text": F.when(whole, F.col("_doc.text")).otherwise(cut)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(whole, F.col("_doc.n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    return rows.select(*changed(docs, "_doc", new))
 
 
 ORACLE = """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import mixed, packed, partitions, text_of, unpack, written
+from pagemill.llm.shared import as_struct, mixed, packed, partitions, row_key, text_of, unpack, written
 
 ORDER = 5
 #: Scores are sent as -ln p in steps of 1/2048, up to 32.
@@ -140,11 +140,11 @@ def pair_table(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """key (long, of doc_id, lang and text), doc_id, lang, n_bytes, nll (sum of -ln p; double) and held_out
+    """key (of doc_id, lang and text), doc_id, lang, n_bytes, nll (sum of -ln p; double) and held_out
     (trusted, but not in training) of each row of docs (doc_id, text, lang); trusted has doc_id."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    key = F.xxhash64("doc_id", "lang", "text")
+    key = row_key("doc_id", "lang", "text")
     texts = packed(docs.select(text_of().cast("binary").alias("text"), "doc_id", "lang", key.alias("key")), ["doc_id", "lang", "key"], "lm")
     ids = trusted.select(F.col("doc_id").alias("_trusted")).dropna().distinct()
     each = texts.select("batch", F.posexplode("doc_id").alias("_pos", "_id")).join(ids, F.col("_id") == F.col("_trusted"))
@@ -277,7 +277,7 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 apart[held or []] = True
                 yield pa.RecordBatch.from_arrays([pa.array(keys, kinds[2]), pa.array(ids, kinds[0]), pa.array(langs, kinds[1]), pa.array([len(t) for t in own], pa.int64()), pa.array(np.round(sums, 6)), pa.array(apart)], names=["key", "doc_id", "lang", "n_bytes", "nll", "held_out"])
 
-    out = T.StructType([T.StructField("key", T.LongType()), docs.schema["doc_id"], docs.schema["lang"], T.StructField("n_bytes", T.LongType()), T.StructField("nll", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
+    out = T.StructType([T.StructField("key", T.StringType()), docs.schema["doc_id"], docs.schema["lang"], T.StructField("n_bytes", T.LongType()), T.StructField("nll", T.DoubleType()), T.StructField("held_out", T.BooleanType())])
     return written(scored.select("ends", "text", "doc_id", "lang", "key", "held", "a_lang", "a_scores").mapInArrow(total, out), "scores")
 
 
@@ -325,4 +325,5 @@ def good_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier keeps, unchanged."""
     judged = classify(docs.select("doc_id", "text", "lang"), _trusted(spark, sf_dir))
     bad = judged.filter("not keep").select(F.col("key").alias("_bad")).distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "lang", "text")).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    own = docs.select(as_struct(docs).alias("_doc"), row_key("doc_id", "lang", "text").alias("_key"))
+    return own.join(bad, F.col("_key") == F.col("_bad"), "left_anti").select("_doc.*")

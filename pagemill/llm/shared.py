@@ -4,6 +4,7 @@ distributed running totals, packed text batches and vectorised word hashes."""
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _WRITTEN: list[str] = []
-_OWN: list[str] = []
+_TABLES: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def partitions(spark: SparkSession) -> int:
@@ -23,36 +25,40 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local session gets a temporary folder and a cluster its warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary folder; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
     if not found:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = tempfile.mkdtemp(prefix="pagemill-")
-            _OWN.append(found)
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/pagemill-{spark.sparkContext.applicationId}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="pagemill-")
+        found = _OWN[app]
+    return f"{found.rstrip('/')}/pagemill-{app}"
 
 
-def _forget() -> None:
-    for folder in _OWN:
-        shutil.rmtree(folder, ignore_errors=True)
+def forget(spark: SparkSession) -> None:
+    """Removes the tables that the operators wrote in this session; their results can't be read after that.
+
+    Called at exit too, for a session that still runs then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _at_exit() -> None:
     spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _WRITTEN:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-    except Exception:  # the session may have ended already
-        return
+    if spark is not None and spark.sparkContext._jsc is not None:
+        forget(spark)
+    for folder in _OWN.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
-atexit.register(_forget)
+atexit.register(_at_exit)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -70,6 +76,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"pagemill_{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{table}"
     _WRITTEN.append(path)
+    _TABLES.append(table)
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
     return spark.table(table)
 
@@ -79,6 +86,31 @@ def text_of(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_struct(docs: DataFrame) -> Column:
+    """A row's own columns as one struct, so that columns added beside it clash with none of them."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns])
+
+
+def changed(docs: DataFrame, doc: str, new: dict[str, Column]) -> list[Column]:
+    """The columns of docs out of their struct `doc`, those named in new replaced."""
+    return [new.get(c, F.col(f"{doc}.{quoted(c)}")).alias(c) for c in docs.columns]
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits of a row's columns, as text: rows are matched by it with what was decided for them."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), *columns)))
+
+
+def rest_of(docs: DataFrame, *columns: str) -> Column:
+    """An order of rows that are equal in columns, by all their other ones, so that reruns agree."""
+    others = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in columns]
+    return F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """df with `out`: the sum of `value` (long) up to and with the row, in `order` within `group`, and
     `_row`: a unique long.
@@ -134,6 +166,8 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
 # ---- text batches -------------------------------------------------------------------------------
 
 BATCH_BYTES = 4 << 20
+#: Texts in a batch, for those that have few bytes or none.
+BATCH_TEXTS = 1 << 16
 
 
 def packed(docs: DataFrame, columns: list[str], name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -142,7 +176,8 @@ def packed(docs: DataFrame, columns: list[str], name: str, batch_bytes: int = BA
 
     docs has a binary `text` (UTF-8) and `columns`. Rows: batch long, n int, ends binary (int64 end of each
     text in bytes), text binary (zstd), columns as arrays. One row is one batch, so a batch is the same
-    whichever task reads it. A text longer than batch_bytes is a batch of its own."""
+    whichever task reads it. A text longer than batch_bytes is a batch of its own; a batch has BATCH_TEXTS texts at
+    most."""
     spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("ends", T.BinaryType()), T.StructField("text", T.BinaryType()), *[T.StructField(c, T.ArrayType(kinds[c])) for c in columns]])
@@ -167,7 +202,7 @@ def packed(docs: DataFrame, columns: list[str], name: str, batch_bytes: int = BA
             types = {c: b.schema.field(c).type for c in columns}
             own = {c: b.column(c).to_pylist() for c in columns}
             for i, t in enumerate(b.column("text").to_pylist()):
-                if texts and size + len(t) > batch_bytes:
+                if texts and (size + len(t) > batch_bytes or len(texts) == BATCH_TEXTS):
                     yield row()
                     seq, size, texts = seq + 1, 0, []
                     rest = {c: [] for c in columns}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, key string, gone string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, key string, gone string, _key string, _gone string, _copy string, _doc string, `a.b` string"
 
 
 def prose(seed: int, n: int) -> str:
@@ -17,7 +17,7 @@ def docs_of(spark):
     """Documents from (doc_id, text) or (doc_id, text, lang, source), with columns whose names may clash."""
 
     def make(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "a", None, "r", "s", "k", "g") for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "a", None, "r", "s", "k", "g", "_k", "_g", "_c", "_d", "a.b") for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

@@ -21,32 +21,13 @@ def test_patience_finds_moved_and_inserted_blocks():
     assert L.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)] and L.patience([], [1]) == []
 
 
-def plain(rows):
-    """doc_id -> kept text, one document after the other."""
-    strip = lambda x: x.replace("\r", " ").replace("\t", " ").strip(" ")
-    split = [(i, [strip(x) for x in (t or "").split("\n")]) for i, t in rows]
-    owner, n = {}, {}
-    for k, (_, ls) in enumerate(split):
-        for x in set(ls):
-            if len(x) >= L.MIN_CHARS:
-                owner.setdefault(x, k)
-                n[x] = n.get(x, 0) + 1
-    out = {}
-    for k, (i, ls) in enumerate(split):
-        gone = set()
-        for e in {owner[x] for x in ls if x in owner and 1 < n[x] and (n[x] <= 16 or n[x] <= L.RARE_SHARE * len(split))} - {k}:
-            gone |= set(L.common_blocks(ls, split[e][1], [len(x) for x in ls]))
-        out[i] = "\n".join(x for j, x in enumerate((rows[k][1] or "").split("\n")) if j not in gone)
-    return out
-
-
 def test_against_brute_force(spark, docs_of):
     r = random.Random(4)
     pool = [prose(i, 8).replace("\n", " ") for i in range(25)]
     rows = [(i, "\n".join(r.choice([r.choice(pool), prose(1000 + i * 50 + j, 8).replace("\n", " "), "short", ""]) for j in range(r.randint(0, 12)))) for i in range(50)]
     rows += [(100 + i, rows[5][1]) for i in range(5)] + [(200 + i, pool[0]) for i in range(30)]
     out = L.without_repeats(docs_of(rows))
-    assert {x["doc_id"]: x["text"] for x in out.collect()} == plain(rows)
+    assert {x["doc_id"]: x["text"] for x in out.collect()} == all_earlier(rows)
 
 
 def test_odd_rows_and_stage(spark, docs_of, odd_rows):
@@ -62,6 +43,45 @@ def test_odd_rows_and_stage(spark, docs_of, odd_rows):
     assert sorted(r["text"] for r in L.deduplicated_lines(spark, twice, "").collect()) == ["", odd_rows[3][1]]
 
 
+def patience_by_hand(a, b):
+    """Aligned positions, from the definition: equal ends, then the lines that occur once in both."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in patience_by_hand(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return patience_by_hand(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(a.index(x), b.index(x)) for x in a if a.count(x) == 1 and b.count(x) == 1]
+    best = [[] for _ in once]  # the longest rising run that ends at each; of equals the one that leaves b earlier
+    for k, (_, j) in enumerate(once):
+        before = [best[m] for m in range(k) if once[m][1] < j]
+        best[k] = [*max(before, key=lambda r: (len(r), -r[-1][1]), default=[]), once[k]]
+    run = max(best, key=lambda r: (len(r), -r[-1][1]), default=[])
+    if not run:
+        return []
+    out, i0, j0 = [], 0, 0
+    for i, j in [*run, (len(a), len(b))]:
+        out += [(x + i0, y + j0) for x, y in patience_by_hand(a[i0:i], b[j0:j])]
+        if i < len(a):
+            out.append((i, j))
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def blocks_by_hand(a, b):
+    out, pairs = set(), patience_by_hand(a, b)
+    blocks = []
+    for i, j in pairs:
+        if blocks and blocks[-1][-1] == (i - 1, j - 1):
+            blocks[-1].append((i, j))
+        else:
+            blocks.append([(i, j)])
+    for x in blocks:
+        if sum(len(a[i]) for i, _ in x) >= L.MIN_CHARS or (a == b and any(a)):
+            out |= {i for i, _ in x}
+    return out
+
+
 def all_earlier(rows):
     """doc_id -> kept text, each document aligned with every earlier one."""
     split = [[x.replace("\r", " ").replace("\t", " ").strip(" ") for x in (t or "").split("\n")] for _, t in rows]
@@ -69,7 +89,7 @@ def all_earlier(rows):
     for k, (i, t) in enumerate(rows):
         ls, gone = split[k], set()
         for e in range(k):
-            gone |= set(L.common_blocks(ls, split[e], [len(x) for x in ls]))
+            gone |= blocks_by_hand(ls, split[e])
         out[i] = "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in gone)
     return out
 
