@@ -5,12 +5,15 @@ Counts are sharded by (language, third and fourth byte): an n-gram of order 3 to
 suffixes then lie in one shard, while orders 1 and 2 are tables of at most 256 x 256 entries a language.
 Each batch of documents asks the shards for its distinct n-grams (a join with the sharded counts), gets one
 probability for each, and sums them by document. A document goes when its mean is above its language's
-threshold, which comes from quantiles over trusted documents held out of training.
+threshold, a high quantile over the language's trusted documents held out of training.
 
 Defined cases: null text is empty; an empty text has no perplexity and is kept; a null language is a language
-of its own; a document in a language without held-out trusted text is kept; repeated rows are treated alike
-(a repeated label counts as trusted if one of its rows says so); an empty table gives an empty result; other
-columns pass through the stage unchanged."""
+of its own; a document in a language of fewer than two trusted documents is kept, as it has no threshold; of
+others at least one is held out; repeated rows are treated alike (a repeated label counts as trusted if one of its
+rows says so); texts of any length are scored whole; an empty table gives an empty result; other columns, whatever
+their names, pass through the stage unchanged.
+
+Tables of fixed size (256 KB) for each language that has trusted text go to the driver and the executors."""
 
 from __future__ import annotations
 
@@ -28,6 +31,9 @@ STEP = 2048
 SHRINK = 64
 #: One trusted document in so many is held out of training, for the thresholds.
 HELD_OUT = 10
+#: The quantile over held-out documents that is a threshold; how many documents' worth all languages together count
+#: beside a language's own, as a quantile of few is vague.
+QUANTILE, POOLED = 0.995, 100
 #: A shard's requests are split among groups of so many batches.
 BATCHES = 2048
 
@@ -147,8 +153,13 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     key = row_key("doc_id", "lang", "text")
     texts = packed(docs.select(text_of().cast("binary").alias("text"), "doc_id", "lang", key.alias("key")), ["doc_id", "lang", "key"], "lm")
     ids = trusted.select(F.col("doc_id").alias("_trusted")).dropna().distinct()
-    each = texts.select("batch", F.posexplode("doc_id").alias("_pos", "_id")).join(ids, F.col("_id") == F.col("_trusted"))
-    held = F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0
+    every = F.posexplode(F.arrays_zip("doc_id", F.transform("lang", lambda x: F.coalesce(x, F.lit(""))).alias("lang"))).alias("_pos", "_x")
+    each = texts.select("batch", every).select("batch", "_pos", F.col("_x.doc_id").alias("_id"), F.col("_x.lang").alias("_l")).join(ids, F.col("_id") == F.col("_trusted"))
+    drawn = F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0
+    # A language of which none is drawn holds out one document.
+    none = each.groupBy(F.col("_l").alias("_l2")).agg(F.count_if(drawn).alias("_n"), F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_n = 0 and _least <> _most").select("_l2", "_least")
+    each = each.join(none, F.col("_l") == F.col("_l2"), "left")
+    held = drawn | F.coalesce(F.col("_id") == F.col("_least"), F.lit(False))
     picked = each.groupBy(F.col("batch").alias("_b")).agg(F.collect_list(F.when(~held, F.col("_pos"))).alias("train"), F.collect_list(F.when(held, F.col("_pos"))).alias("held"))
     flagged = written(picked, "trusted")
     marked = texts.join(flagged, F.col("batch") == F.col("_b"), "left")
@@ -293,19 +304,23 @@ def _widen(b: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-def classify(docs: DataFrame, trusted: DataFrame, high: float = 0.9, reach: float = 6.0) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """key, doc_id, lang, n_bytes, perplexity (by byte), threshold and keep of each row of docs.
 
-    A document's mean -ln p is shrunk towards its language's with SHRINK bytes. The threshold lies `reach`
-    times as far above the held-out trusted median as their quantile `high` does, so it follows the spread of
-    good text without giving up a share of it."""
+    A document's mean -ln p is shrunk towards its language's with SHRINK bytes. A language's threshold is the
+    quantile of its held-out trusted documents. With few of them it leans on all languages' together: their
+    quantile of what lies above the own language's median counts as POOLED more documents."""
     scores = score(docs, trusted)
-    spread = scores.filter("n_bytes > 0 and held_out").groupBy(F.col("lang").alias("_lang")).agg((F.sum("nll") / F.sum("n_bytes")).alias("_mean"))
-    near = scores.join(F.broadcast(spread), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # a row a language
+    good = scores.filter("n_bytes > 0 and held_out")
+    spread = good.groupBy(F.col("lang").alias("_lang")).agg((F.sum("nll") / F.sum("n_bytes")).alias("_mean"))
+    near = scores.join(F.broadcast(spread), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # a row a trusted language
     near = near.withColumn("_shrunk", (F.col("nll") + F.col("_mean") * SHRINK) / (F.col("n_bytes") + SHRINK))
-    cut = near.filter("n_bytes > 0 and held_out").groupBy(F.col("lang").alias("_lang2")).agg(F.percentile("_shrunk", F.lit(0.5)).alias("_mid"), F.percentile("_shrunk", F.lit(high)).alias("_high"), F.max("_mean").alias("_m"))
-    limit = F.col("_mid") + reach * F.greatest(F.col("_high") - F.col("_mid"), F.lit(0.01))
-    cut = cut.select("_lang2", limit.alias("_limit"))
+    own = near.filter("n_bytes > 0 and held_out").select("lang", "_shrunk")
+    at = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(100_000))
+    by_lang = own.groupBy(F.col("lang").alias("_lang2")).agg(at("_shrunk", 0.5).alias("_mid"), at("_shrunk", quantile).alias("_high"), F.count("*").alias("_n"))
+    above = own.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("_lang2"))).agg(at(F.col("_shrunk") - F.col("_mid"), quantile).alias("_above"))
+    limit = (F.col("_n") * F.col("_high") + POOLED * (F.col("_mid") + F.col("_above"))) / (F.col("_n") + POOLED)
+    cut = by_lang.join(F.broadcast(above), F.lit(True)).select("_lang2", limit.alias("_limit"))
     out = near.join(F.broadcast(cut), F.col("lang").eqNullSafe(F.col("_lang2")), "left")
     keep = F.coalesce((F.col("n_bytes") == 0) | (F.col("_shrunk") <= F.col("_limit")), F.lit(True))
     ppl = F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes")))

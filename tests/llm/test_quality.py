@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import quality as Q
 from tests.llm.conftest import prose
@@ -82,3 +83,28 @@ def test_odd_rows(spark, docs_of, odd_rows, tmp_path):
     assert Q.good_documents(spark, docs.filter("false"), d).count() == 0
     none = spark.createDataFrame([], "doc_id long")
     assert Q.classify(docs.select("doc_id", "text", "lang"), none).filter("not keep").count() == 0
+
+
+def test_a_small_language_has_a_threshold(spark, docs_of):
+    rows = [(i, prose(i, 60), "en") for i in range(200)] + [(200 + i, prose(i, 60), f"l{i % 2}") for i in range(8)]
+    rows += [(300 + i, " | ".join(prose(i, 40).upper().split()), ["en", "l0", "l1"][i % 3]) for i in range(12)] + [(400, "x y", "l2"), (401, "Z" * 90, "l2")]
+    out = Q.classify(docs_of(rows).select("doc_id", "text", "lang"), spark.range(401).filter("id < 300 or id = 400").select(F.col("id").alias("doc_id"))).collect()
+    assert {r["doc_id"] for r in out if not r["keep"]} >= set(range(300, 312))
+    assert sum(r["keep"] for r in out if r["doc_id"] < 300) >= 205
+    assert [r["threshold"] for r in out if r["lang"] == "l2"] == [None, None] and all(r["keep"] for r in out if r["lang"] == "l2")
+
+
+def test_threshold_is_the_quantile_of_held_out_documents(spark, docs_of):
+    rows = [(i, prose(i, 20 + i % 50), "en" if i % 4 else "fr") for i in range(400)]
+    docs = docs_of(rows).select("doc_id", "text", "lang")
+    trusted = spark.range(300).select(F.col("id").alias("doc_id"))
+    held = Q.score(docs, trusted).toPandas().query("held_out")
+    got = Q.classify(docs, trusted, 0.75).toPandas()
+    mean = held.groupby("lang").nll.sum() / held.groupby("lang").n_bytes.sum()
+    held["z"] = (held.nll + held.lang.map(mean) * Q.SHRINK) / (held.n_bytes + Q.SHRINK)
+    rank = lambda x, q: sorted(x)[max(math.ceil(q * len(x)), 1) - 1]
+    mid = held.groupby("lang").z.agg(lambda x: rank(x, 0.5))
+    above = rank(held.z - held.lang.map(mid), 0.75)
+    for lang, g in held.groupby("lang"):
+        want = (len(g) * rank(g.z, 0.75) + Q.POOLED * (mid[lang] + above)) / (len(g) + Q.POOLED)
+        assert got[got.lang == lang].threshold.iloc[0] == pytest.approx(math.exp(want))
