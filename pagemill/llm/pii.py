@@ -64,7 +64,7 @@ class Finder:
         self.spelled = re.compile(rf"(?<!\w)(?:plus\s+)?(?:\+\s*)?{one}(?:(?:{sep}|(?<=[0-9])|(?<=[0-9])\s*[()]\s*){one})+(?!\w)").finditer
         self.each = re.compile(rf"{names}|[0-9]|\.").finditer
         # In brackets, either sign may stand alone; bare words count only as a whole address or between numbers.
-        self.bracketed = re.compile(rf"\s*[\[({{<]\s*(?:({at}|@)|(?:{dot}|dt|\.))\s*[\])}}>]\s*").finditer
+        self.bracketed = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+(?:({at}|@)|(?:{dot}|dt|\.))\s*+[\])}}>]\s*+").finditer
         # Each sign is a bare word, in brackets or itself; after a plain "@" or dots alone there is nothing to rewrite.
         self.address = re.compile(rf"(?<![\w.%+-])[a-z0-9._%+-]++({said_at}|@){label}(?:(?:{said_dot}|\.){label})*?(?:{said_dot}){tld}(?!(?:{said_dot}){label})").finditer
         self.any_dot = re.compile(said_dot).finditer
