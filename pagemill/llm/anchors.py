@@ -2,17 +2,22 @@
 
 Every passage of `window` words holds one whole aligned block of `block` = (window + 1) // 2 words of any
 document that repeats it. So (1) the aligned blocks of all documents are indexed and every rolling window of
-`block` words probes the index; (2) where a probe hits a block of another document, the windows of `window`
-words around it are compared exactly, by 64-bit hashes, and give the smallest document that holds each;
-(3) adjoining repeated windows extend to maximal repeats, whose words go from all but the smallest document.
+`block` words probes the index; (2) a hit, where a probe meets a block of another document, extends over the windows
+of `window` words around it: each is compared by 128 bits with all others that hold a hit, and gives the smallest
+document that holds it; (3) adjoining repeated windows make up maximal repeats, whose words go from all but the
+smallest document. A hit is not extended against each of the documents that hold its block, as a passage of a third
+of all documents would make pairs by the square; windows of equal words meet once, however many hold them.
 
 Texts stay in compressed batches. A batch sends each hash once, however often it occurs (so a passage that
 a third of all documents share sends one row a batch), as sorted arrays for a range of hashes; what comes
-back is one bit for each hash.
+back is one bit for each hash. The number of ranges follows the bytes of text.
+
+At 128 bits, two of 10**13 different windows are taken for one with a probability under 10**-12.
 
 Defined cases: null text has no words; repeated rows of one doc_id do not count against each other; rows
-without a doc_id count as smaller than none and lose to any document; texts of any length are read whole;
-an empty table gives an empty result; other columns are ignored."""
+without a doc_id count as smaller than none and lose to any document; of ties (several smaller documents) any one
+decides alike; texts of any length are read whole; an empty table gives an empty result; other columns are ignored,
+whatever their names."""
 
 from __future__ import annotations
 
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import WordHasher, packed, partitions, text_of, unpack, windows, written
+from pagemill.llm.shared import WordHasher, packed, ranges_for, text_of, unpack, windows, written
 
 WINDOW = 13
 NO_ID = np.iinfo(np.int64).max
@@ -61,6 +66,11 @@ def _cuts(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(_dealt(sorted_hashes, n), np.arange(n + 1))
 
 
+def _first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of sorted pairs is the first of its kind."""
+    return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes by place, so that equal high bytes lie together and compress."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -73,10 +83,10 @@ def _unplanes(b: bytes, kind: str) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed (long) and kept_text: the words kept, joined by one space."""
-    spark = docs.sparkSession
-    block, parts = (window + 1) // 2, partitions(spark)
+    block = (window + 1) // 2
     kind = docs.schema["doc_id"].dataType
     texts = packed(docs.select("doc_id", text_of().cast("binary").alias("text")), ["doc_id"], "texts")
+    parts = ranges_for(texts)
 
     def probe_of(b: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Distinct probes of a batch, sorted: 32 bits within the range; flags: 1 if a block of the index
@@ -141,8 +151,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         size = np.diff(cut)
         return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(a, np.uint8))[:n].astype(bool) for a, n in zip(answers or [], size[size > 0].tolist(), strict=True))])
 
-    def candidates(b: Batch, answers: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows that hold a hit."""
+    def candidates(b: Batch, answers: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and hashes (two of 64 bits) of the windows that hold a hit."""
         at, h = b.windows(block, 1)
         known = np.unique(h)
         hit = joined(answers, _cuts(known, parts))
@@ -152,14 +162,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         total = np.cumsum(alive)
         w, g = b.windows(window, 2)
         keep = total[w + window - block + 1] > total[w] if len(w) else np.zeros(0, bool)
-        return w[keep], g[keep]
-
-    def least(b: Batch, ids: np.ndarray, w: np.ndarray, g: np.ndarray):
-        """Distinct hashes, sorted, the smallest document of each here, and for each window its hash's place."""
-        known, back = np.unique(g, return_inverse=True)
-        low = np.full(len(known), NO_ID)
+        return w[keep], g[keep], b.windows(window, 3)[1][keep]
+
+    def least(b: Batch, ids: np.ndarray, w: np.ndarray, g: np.ndarray, g2: np.ndarray):
+        """Distinct windows by both hashes, sorted, the smallest document of each here, and each window's place."""
+        order = np.lexsort((g2, g))
+        new = _first(g[order], g2[order])
+        back = np.empty(len(g), np.int64)
+        back[order] = np.cumsum(new) - 1
+        low = np.full(int(new.sum()), NO_ID)
         np.minimum.at(low, back, ids[b.doc[w]])
-        return known, low, back
+        return g[order][new], g2[order][new], low, back
 
     def ids_of(x) -> np.ndarray:
         return np.asarray([NO_ID if i is None else i for i in x], np.int64)
@@ -173,27 +186,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for x in batches:
             for no, ends, text, ids, hit in zip(*(x.column(c).to_pylist() for c in COLS), strict=True):
                 b = Batch(hasher, ends, text)
-                known, low, _ = least(b, ids_of(ids), *candidates(b, hit))
+                known, other, low, _ = least(b, ids_of(ids), *candidates(b, hit))
                 cut = _cuts(known, parts)
                 some = [r for r in range(parts) if cut[r + 1] > cut[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([no] * len(some), pa.int64()), pa.array([_planes(known[cut[r] : cut[r + 1]]) for r in some], pa.binary()), pa.array([_planes(low[cut[r] : cut[r + 1]]) for r in some], pa.binary())], names=["range", "batch", "keys", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([no] * len(some), pa.int64()), *(pa.array([_planes(x[cut[r] : cut[r + 1]]) for r in some], pa.binary()) for x in (known, other, low))], names=["range", "batch", "keys", "other", "low"])
 
     def firsts(table):
         """For each batch, a bit for each of its windows: a smaller document elsewhere holds it."""
         import pyarrow as pa
 
         keys = [_unplanes(k, "<u8") for k in table.column("keys").to_pylist()]
+        other = np.concatenate([_unplanes(k, "<u8") for k in table.column("other").to_pylist()])
         low = np.concatenate([_unplanes(k, "<i8") for k in table.column("low").to_pylist()])
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        group = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+        order = np.lexsort((other, every))
+        group = np.flatnonzero(_first(every[order], other[order]))
         size = np.diff(np.append(group, len(every)))
         out = np.zeros(len(every), np.uint8)
         out[order] = np.repeat(np.minimum.reduceat(low[order], group), size) < low[order]
         cut = np.cumsum([0, *map(len, keys)])
         return pa.table({"batch": table.column("batch"), "range": table.column("range"), "bits": pa.array([np.packbits(out[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    sent2 = T.StructType([sent["range"], sent["batch"], sent["keys"], sent["low"]])
+    sent2 = T.StructType([sent["range"], sent["batch"], sent["keys"], T.StructField("other", T.BinaryType()), sent["low"]])
     smaller = written(marked.select(*COLS).mapInArrow(seen, sent2).groupBy("range").applyInArrow(firsts, bits), "firsts")
     decided = marked.join(by_batch(smaller, "first"), F.col("batch") == F.col("first_batch"), "left")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
@@ -206,9 +220,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             idt = x.schema.field("doc_id").type.value_type
             for no, ends, text, ids, hit, first in zip(*(x.column(c).to_pylist() for c in (*COLS, "first")), strict=True):
                 b = Batch(hasher, ends, text)
-                w, g = candidates(b, hit)
+                w, g, g2 = candidates(b, hit)
                 own = ids_of(ids)
-                known, low, back = least(b, own, w, g)
+                known, _, low, back = least(b, own, w, g, g2)
                 less = joined(first, _cuts(known, parts))
                 repeated = w[less[back] | (own[b.doc[w]] > low[back])] if len(w) else w
                 mark = np.zeros(len(b.hash) + 1, np.int64)

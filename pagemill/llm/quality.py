@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import as_struct, mixed, packed, partitions, row_key, text_of, unpack, written
+from pagemill.llm.shared import as_struct, mixed, packed, ranges_for, row_key, text_of, unpack, written
 
 ORDER = 5
 #: Scores are sent as -ln p in steps of 1/2048, up to 32.
@@ -149,9 +149,9 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """key (of doc_id, lang and text), doc_id, lang, n_bytes, nll (sum of -ln p; double) and held_out
     (trusted, but not in training) of each row of docs (doc_id, text, lang); trusted has doc_id."""
     spark = docs.sparkSession
-    parts = partitions(spark)
     key = row_key("doc_id", "lang", "text")
     texts = packed(docs.select(text_of().cast("binary").alias("text"), "doc_id", "lang", key.alias("key")), ["doc_id", "lang", "key"], "lm")
+    parts = ranges_for(texts)
     ids = trusted.select(F.col("doc_id").alias("_trusted")).dropna().distinct()
     every = F.posexplode(F.arrays_zip("doc_id", F.transform("lang", lambda x: F.coalesce(x, F.lit(""))).alias("lang"))).alias("_pos", "_x")
     each = texts.select("batch", every).select("batch", "_pos", F.col("_x.doc_id").alias("_id"), F.col("_x.lang").alias("_l")).join(ids, F.col("_id") == F.col("_trusted"))

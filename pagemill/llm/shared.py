@@ -174,13 +174,13 @@ def packed(docs: DataFrame, columns: list[str], name: str, batch_bytes: int = BA
     """Texts in compressed batches of about batch_bytes, bucketed by batch, for operators that pass over
     the texts more than once and send only hashes through shuffles.
 
-    docs has a binary `text` (UTF-8) and `columns`. Rows: batch long, n int, ends binary (int64 end of each
+    docs has a binary `text` (UTF-8) and `columns`. Rows: batch long, n int, bytes long (of its texts), ends binary (int64 end of each
     text in bytes), text binary (zstd), columns as arrays. One row is one batch, so a batch is the same
     whichever task reads it. A text longer than batch_bytes is a batch of its own; a batch has BATCH_TEXTS texts at
     most."""
     spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("ends", T.BinaryType()), T.StructField("text", T.BinaryType()), *[T.StructField(c, T.ArrayType(kinds[c])) for c in columns]])
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bytes", T.LongType()), T.StructField("ends", T.BinaryType()), T.StructField("text", T.BinaryType()), *[T.StructField(c, T.ArrayType(kinds[c])) for c in columns]])
 
     def pack(batches):
         import pyarrow as pa
@@ -189,11 +189,11 @@ def packed(docs: DataFrame, columns: list[str], name: str, batch_bytes: int = BA
 
         part, seq, size, texts, rest = TaskContext.get().partitionId(), 0, 0, [], {c: [] for c in columns}
         squeeze = zstandard.ZstdCompressor(level=6)
-        arrow = pa.schema([("batch", pa.int64()), ("n", pa.int32()), ("ends", pa.binary()), ("text", pa.binary())])
+        arrow = pa.schema([("batch", pa.int64()), ("n", pa.int32()), ("bytes", pa.int64()), ("ends", pa.binary()), ("text", pa.binary())])
 
         def row():
             ends = np.cumsum([len(t) for t in texts]).astype("<i8").tobytes()
-            first = [[(part << 32) + seq], [len(texts)], [ends], [squeeze.compress(b"".join(texts))]]
+            first = [[(part << 32) + seq], [len(texts)], [size], [ends], [squeeze.compress(b"".join(texts))]]
             more = [pa.array([rest[c]], pa.list_(types[c])) for c in columns]
             return pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(first, arrow, strict=True)), *more], names=[*arrow.names, *columns])
 
@@ -216,6 +216,13 @@ def packed(docs: DataFrame, columns: list[str], name: str, batch_bytes: int = BA
     return bucketed(docs.select("text", *columns).mapInArrow(pack, schema), name, "batch")
 
 
+def ranges_for(texts: DataFrame, each: int = 8 << 20, most: int = 1 << 16, whole: int = 256 << 20) -> int:
+    """Into how many ranges of hashes packed texts are dealt: one for `each` bytes up to `most` of them, then so many
+    that none has more than `whole` bytes. A task holds one range at a time, whatever the data's size."""
+    total = texts.agg(F.sum("bytes")).first()[0] or 0
+    return max(partitions(texts.sparkSession), min(-(-total // each), most), -(-total // whole))
+
+
 def unpack(ends: bytes, text: bytes) -> tuple[np.ndarray, bytes]:
     import zstandard
 
