@@ -207,18 +207,21 @@ def _bits(tokens: np.ndarray, tools: dict) -> int:
     return int(((tools["one"].of_shingles(tokens) & 1) << np.arange(32, dtype=np.uint32)).sum())
 
 
-def _leaves(texts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (path, place) to search: small ones, and those of sets too alike to split, each with its first place."""
+def _leaves(texts: DataFrame, rows: DataFrame, depth_most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (path, place) to search: small ones, and those of sets too alike to split, each with its first place.
+
+    With depth_most 1 no node is split: large ones are searched whole, in blocks."""
+    depth_most = DEPTH if depth_most is None else depth_most
     small: list[DataFrame] = []
     alike: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, depth_most + 1):
         sizes = rows.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("_size"), F.min("place").alias("first")).filter("_size > 1")
         sized = written(rows.join(sizes, F.col("path") == F.col("_path")).select("path", "place", "_size", "first"), f"paths{depth}")
         small.append(sized.filter(f"_size <= {SMALL}").select("path", "place"))
         large = sized.filter(f"_size > {SMALL}")
         if large.isEmpty():
             break
-        if depth == DEPTH:
+        if depth == depth_most:
             alike.append(large.select("first", "place"))
             break
 
@@ -412,7 +415,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     """doc_id, key (of doc_id and text), class_id (the smallest doc_id of the class), n_links (other shingle sets at
     least `threshold` alike), n_copies (rows of the same set) and first (true for one row of each class).
 
-    buckets, a function as _visit takes, gives other (path, place) rows than the chosen paths' to search."""
+    buckets, a function as _visit takes, gives other (path, place) rows than the chosen paths' to search; each such
+    bucket is searched whole."""
     spark = docs.sparkSession
     parts = partitions(spark)
     key = row_key("doc_id", "text")
@@ -423,7 +427,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     alone = every.select("place", "paths").join(copies.select(F.col("rep").alias("_rep"), "n"), F.col("place") == F.col("_rep")).filter("n > 0")
     if buckets is not None:
         paths = _visit(texts, alone.select("place"), [], buckets, _fields("path:long place:long"))
-        small, alike = _leaves(texts, paths)
+        small, alike = _leaves(texts, paths, 1)
     else:
         small, alike = _leaves(texts, alone.select(F.explode(F.array_distinct("paths")).alias("path"), "place"))
     sizes = copies.select(F.col("rep").alias("_rep"), "n")

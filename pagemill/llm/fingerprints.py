@@ -5,8 +5,9 @@ five words. The share of equal places of two signatures estimates the Jaccard si
 sets. Signatures are cut in bands, bands are joined in Spark, and what meets in a band is verified.
 
 Defined cases: null text is empty; a text of fewer than five words is one shingle of all its words; empty
-texts share one signature, of no shingle, and are alike; repeated rows are each fingerprinted; texts of any
-length are read whole, in pieces; an empty table gives an empty result; rows without doc_id come last."""
+texts share one signature, of no shingle, and are alike; repeated rows are each fingerprinted; rows of equal doc_id
+come by text; rows without doc_id come last, by a hash of the text, then the text; texts of any length are read
+whole, in pieces; an empty table gives an empty result; other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -48,27 +49,33 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) in ranges by falling doc_id; each range also holds, as ghosts, the first row
-    of the next one (of the first, for the last). Columns: _range, _ghost, then docs'.
+    """docs (doc_id, text, ...) in ranges by falling doc_id, and by a hash of the text where there is none; each range
+    also holds, as ghosts, the first row of the next one (of the first, for the last). Columns: _range, _ghost,
+    _hash, then docs'.
 
-    Only the ranges' borders and first ids come to the driver: a few for each partition."""
+    Only the ranges' borders and first keys come to the driver: a few for each partition."""
     n = partitions(docs.sparkSession) * 4
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c is not None})
-    # Range 0 holds the largest ids; rows without an id come last, after the smallest.
-    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _below(cuts)).cast("int"))
-    heads = {r["_range"]: r["id"] for r in ranged.select("_range", "doc_id").groupBy("_range").agg(F.max("doc_id").alias("id")).collect()}
+    none = F.col("doc_id").isNull()
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0]
+    cuts = sorted({c for c in cuts or [] if c is not None})
+    # Range 0 holds the largest ids; rows without an id come last, in ranges of their hashes.
+    more = len(cuts) + 1
+    # The hash's high bits, as 0 .. 2**31, times n over 2**31.
+    dealt = F.shiftright((F.shiftright("_hash", 33) + F.lit(1 << 30)) * F.lit(n), 31)
+    keyed = docs.withColumn("_hash", F.when(none, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    ranged = keyed.withColumn("_range", F.when(none, dealt + more).otherwise(len(cuts) - _below(cuts)).cast("int"))
+    heads = {r["_range"]: (r["id"], r["h"]) for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("id"), F.min("_hash").alias("h")).collect()}
     full = sorted(heads)
     if not full:
         return ranged.withColumn("_ghost", F.lit(False))
     before = {r: full[i - 1] for i, r in enumerate(full)}  # the first range comes after the last
-    ids, to = ([x.get(r) for r in range(full[-1] + 1)] for x in (heads, before))
-    head = F.get(F.array(*map(F.lit, ids)).cast("array<long>"), F.col("_range"))
-    also = F.get(F.array(*map(F.lit, to)).cast("array<int>"), F.col("_range"))
+    table = F.array(*[F.struct(F.lit(heads.get(r, (None,))[0]).cast("long").alias("id"), F.lit(heads[r][1] if r in heads else None).cast("long").alias("h"), F.lit(before.get(r)).cast("int").alias("to")) for r in range(full[-1] + 1)])
+    ranged = ranged.withColumn("_head", F.get(table, F.col("_range")))
     own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("g"))
-    ghost = F.struct(also.alias("r"), F.lit(True).alias("g"))
-    places = F.when(F.col("doc_id").eqNullSafe(head), F.array(own, ghost)).otherwise(F.array(own))
-    return ranged.withColumn("_to", F.explode(places)).withColumns({"_range": F.col("_to.r"), "_ghost": F.col("_to.g")}).drop("_to")
+    ghost = F.struct(F.col("_head.to").alias("r"), F.lit(True).alias("g"))
+    first = F.col("doc_id").cast("long").eqNullSafe(F.col("_head.id")) & (F.col("_hash") == F.col("_head.h"))
+    places = F.when(first, F.array(own, ghost)).otherwise(F.array(own))
+    return ranged.withColumn("_to", F.explode(places)).withColumns({"_range": F.col("_to.r"), "_ghost": F.col("_to.g")}).drop("_to", "_head")
 
 
 def _below(cuts: list[int]):
@@ -89,12 +96,12 @@ OUT = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerpri
 
 def edited_fingerprints(docs: DataFrame, perms: int = PERMS) -> DataFrame:
     """For each document its fingerprint (hex), that of its text with the last third replaced by the start of
-    the next document's, and their likeness; next is by falling doc_id, then by text; the first follows the last."""
+    the next document's, and their likeness; next is by falling doc_id, then as the module says; the first follows the last."""
     spark = docs.sparkSession
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in OUT]])
     dealt = _in_order(docs.select("doc_id", text_of().alias("text")))
-    # Rows of equal id come by text; a ghost comes after all rows of its range and only the first counts.
-    dealt = dealt.repartition(partitions(spark), "_range").sortWithinPartitions("_range", "_ghost", F.desc_nulls_last("doc_id"), "text")
+    # A ghost comes after all rows of its range and only the first counts.
+    dealt = dealt.repartition(partitions(spark), "_range").sortWithinPartitions("_range", "_ghost", F.desc_nulls_last("doc_id"), "_hash", "text")
 
     def scan(batches):
         import hashlib

@@ -158,8 +158,9 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     drawn = F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0
     # A language of which none is drawn holds out one document.
     none = each.groupBy(F.col("_l").alias("_l2")).agg(F.count_if(drawn).alias("_n"), F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_n = 0 and _least <> _most").select("_l2", "_least")
-    each = each.join(none, F.col("_l") == F.col("_l2"), "left")
-    held = drawn | F.coalesce(F.col("_id") == F.col("_least"), F.lit(False))
+    # Joined by id, as one language may have most documents.
+    each = each.join(none, (F.col("_id") == F.col("_least")) & (F.col("_l") == F.col("_l2")), "left")
+    held = drawn | F.col("_least").isNotNull()
     picked = each.groupBy(F.col("batch").alias("_b")).agg(F.collect_list(F.when(~held, F.col("_pos"))).alias("train"), F.collect_list(F.when(held, F.col("_pos"))).alias("held"))
     flagged = written(picked, "trusted")
     marked = texts.join(flagged, F.col("batch") == F.col("_b"), "left")

@@ -69,3 +69,49 @@ def test_near_duplicates(spark, docs_of):
     for k, v in want.items():
         near += got[k] != v
     assert near <= 1  # bands may miss a pair right at the threshold
+
+
+def true_likeness(a, b):
+    from tests.llm.test_chosenpath import shingle_set
+
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_rows_without_id_are_spread_and_follow_in_order(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(i, 20)) for i in range(30)] + [(None, prose(100 + i % 50, 20)) for i in range(60)] + [(None, None)] * 5
+    docs = docs_of(rows)
+    assert FP._in_order(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).filter("doc_id is null and not _ghost").select("_range").distinct().count() > 4
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted([r for r in keyed if r["doc_id"] is not None], key=lambda r: -r["doc_id"]) + sorted([r for r in keyed if r["doc_id"] is None], key=lambda r: (r["h"], r["t"]))
+    want = []
+    for i, r in enumerate(order):
+        t, after, n = r["t"], order[(i + 1) % len(order)]["t"], len(r["t"]) // 3
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in FP.edited_fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_likeness_is_near_the_jaccard_similarity_of_whole_texts(spark, docs_of):
+    rows = [(i, prose(i // 3, 90 + i % 3)) for i in range(60)]
+    got = {r["doc_id"]: r for r in FP.edited_fingerprints(docs_of(rows)).collect()}
+    off = []
+    for i, (k, t) in enumerate(rows):
+        after = rows[i - 1][1]
+        n = len(t) // 3
+        off += [got[k]["near_next"] - true_likeness(t, after), got[k]["near_edited"] - true_likeness(t, t[: len(t) - n] + after[:n])]
+    # A place agrees with the probability of the similarity: 128 places are off by 0.044 at most, on average.
+    assert max(map(abs, off)) < 0.2 and np.sqrt(np.mean(np.square(off))) < 0.05
+
+
+def test_large_buckets_lose_no_link(spark, docs_of, monkeypatch):
+    from pagemill.llm import chosenpath as C
+    from tests.llm.test_chosenpath import brute
+
+    monkeypatch.setattr(C, "SMALL", 8)
+    base = prose(1, 300).split()
+    rows = [(i, " ".join(base[:60] + prose(50 + i // 2, 240).split()) + (" end" if i % 2 else "")) for i in range(60)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in FP.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute(rows)
