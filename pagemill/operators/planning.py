@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import text as X
+from pagemill.operators.folds import fold
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -44,21 +45,19 @@ def with_tokens(units: DataFrame) -> DataFrame:
 
 def batches(items: DataFrame, keys: list[str], seq: str, tpm: int, max_output: int, max_items: int = 200) -> DataFrame:
     """batch_no (from 0) of each item: items of a job fill a batch in order until it has max_items or one of
-    its token budgets would be passed; an item beyond a budget goes alone. The fold runs within a job, whose
-    items are as many as one document's; jobs are independent."""
-    row = F.struct(seq, "input_tokens", "output_tokens", *[c for c in items.columns if c not in (*keys, seq, "input_tokens", "output_tokens")])
-    grouped = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_items"))
-    into, out = X.input_budget(F.lit(tpm)), X.output_budget(F.lit(max_output))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(max_items).alias("n"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("o"), F.array().cast("array<int>").alias("all"))
+    its token budgets would be passed; an item beyond a budget goes alone. Jobs are independent; a job's items stream
+    through one task."""
+    budgets = items.withColumns({"_into": X.input_budget(F.lit(tpm)).cast("long"), "_out": X.output_budget(F.lit(max_output)).cast("long")})
+    overhead = X.BATCH_OVERHEAD
 
-    def step(s: Column, x: Column) -> Column:
-        flush = (s["n"] >= max_items) | X.exceeds(s["i"], x["input_tokens"], into) | X.exceeds(s["o"], x["output_tokens"], out)
-        batch = s["batch"] + flush.cast("int")
-        return F.struct(batch.alias("batch"), F.when(flush, 1).otherwise(s["n"] + 1).alias("n"), (F.when(flush, X.BATCH_OVERHEAD).otherwise(s["i"]) + x["input_tokens"]).alias("i"), (F.when(flush, 0).otherwise(s["o"]) + x["output_tokens"]).alias("o"), F.concat(s["all"], F.array(batch)).alias("all"))
+    def step(state, i, o, into, out):
+        no, n, i_sum, o_sum = state
+        if n >= max_items or (into is not None and i_sum + i > into) or (out is not None and o_sum + o > out):
+            no, n, i_sum, o_sum = no + 1, 0, overhead, 0
+        return (no, n + 1, i_sum + i, o_sum + o), no
 
-    numbered = grouped.withColumn("_batches", F.aggregate("_items", start, step, lambda s: s["all"]))
-    each = numbered.select(*keys, F.explode(F.arrays_zip("_items", "_batches")).alias("_x"))
-    return each.select(*keys, "_x._items.*", F.col("_x._batches").alias("batch_no"))
+    full = (-1, max_items, 0, 0)
+    return fold(budgets, keys, [seq, "input_tokens", "output_tokens"], ["input_tokens", "output_tokens", "_into", "_out"], full, step, T.StructField("batch_no", T.IntegerType())).drop("_into", "_out")
 
 
 def batch_totals(batched: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,6 +85,8 @@ class BatchFailed(Exception):
 
 
 Provider = Callable[[list[str]], Reply]
+
+
 def stand_in(prefix: str = "vi:", most: int = 4) -> Provider:
     """A provider for tests: replies with prefix and text, and fails for batches of more than `most` texts."""
 
@@ -107,50 +108,35 @@ def provider_of(registry: dict[str, Provider], name: str) -> Provider:
 RESULT = T.StructType([T.StructField("seq", T.LongType()), T.StructField("text", T.StringType()), T.StructField("translated_text", T.StringType()), T.StructField("requests", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("error", T.StringType())])
 
 
-def translate_split(texts: list[str], provider: Provider, estimates: list[int], spend: Callable[[int], None]) -> list[str]:
-    """Translates a batch, halving it whenever its reply fails; a failed request costs its estimate too."""
-    estimate = sum(estimates) + X.BATCH_OVERHEAD
-    try:
-        reply = provider(texts)
-        if len(reply.texts) != len(texts):
-            raise BatchFailed(f"{len(reply.texts)} replies for {len(texts)} texts")
-    except BatchFailed:
-        spend(estimate)
-        if len(texts) == 1:
-            raise
-        half = len(texts) // 2
-        return translate_split(texts[:half], provider, estimates[:half], spend) + translate_split(texts[half:], provider, estimates[half:], spend)
-    used = reply.input_tokens + reply.output_tokens
-    spend(used if used > 0 else estimate)
-    return reply.texts
-
-
 def translate(batched: DataFrame, keys: list[str], provider: Provider) -> DataFrame:
     """Sends every batch (keys, batch_no) through provider on the executors. Finished halves of a failing
     batch are kept: what can't be translated alone carries its error."""
     gathered = batched.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct(F.col("first_seen").cast("long").alias("seq"), "text", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens")))).alias("items"))
     schema = T.StructType([*gathered.select(*keys, "batch_no").schema.fields, *RESULT.fields])
 
-    def one(texts: list[str], estimates: list[int]) -> Iterator[tuple[str | None, int, int, str | None]]:
+    def settle(items: list[dict]) -> tuple[dict[int, tuple[str | None, str | None]], list[int]]:
+        """place -> (translation, error), and the tokens of each request; ranges that fail are cut in two."""
+        done: dict[int, tuple[str | None, str | None]] = {}
         spent: list[int] = []
-
-        def leaf(some: list[str], est: list[int]) -> list[tuple[str | None, str | None]]:
+        ranges = [(0, len(items))]
+        while ranges:
+            lo, hi = ranges.pop()
+            estimate = X.BATCH_OVERHEAD + sum(int(x["tokens"]) for x in items[lo:hi])
             try:
-                reply = provider(some)
-                if len(reply.texts) != len(some):
-                    raise BatchFailed(f"{len(reply.texts)} replies for {len(some)} texts")
-                used = reply.input_tokens + reply.output_tokens
-                spent.append(used if used > 0 else sum(est) + X.BATCH_OVERHEAD)
-                return [(x, None) for x in reply.texts]
+                reply = provider([x["text"] for x in items[lo:hi]])
+                if len(reply.texts) != hi - lo:
+                    raise BatchFailed(f"{len(reply.texts)} replies for {hi - lo} texts")
             except BatchFailed as e:
-                spent.append(sum(est) + X.BATCH_OVERHEAD)
-                if len(some) == 1:
-                    return [(None, str(e))]
-                half = len(some) // 2
-                return leaf(some[:half], est[:half]) + leaf(some[half:], est[half:])
-
-        for out, error in leaf(texts, estimates):
-            yield out, len(spent), sum(spent), error
+                spent.append(estimate)
+                mid = (lo + hi) // 2
+                if hi - lo == 1:
+                    done[lo] = None, str(e)
+                else:
+                    ranges += [(mid, hi), (lo, mid)]
+                continue
+            spent.append(reply.input_tokens + reply.output_tokens or estimate)
+            done |= {lo + k: (x, None) for k, x in enumerate(reply.texts)}
+        return done, spent
 
     def run(parts):
         import pandas as pd
@@ -159,8 +145,8 @@ def translate(batched: DataFrame, keys: list[str], provider: Provider) -> DataFr
             rows = []
             for r in pdf.to_dict("records"):
                 items = list(r["items"])
-                for x, (out, requests, tokens, error) in zip(items, one([x["text"] for x in items], [int(x["tokens"]) for x in items]), strict=True):
-                    rows.append((*(r[k] for k in keys), r["batch_no"], x["seq"], x["text"], out, requests, tokens, error))
+                done, spent = settle(items)
+                rows += [(*(r[k] for k in keys), r["batch_no"], x["seq"], x["text"], done[i][0], len(spent), sum(spent), done[i][1]) for i, x in enumerate(items)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return gathered.mapInPandas(run, schema)
@@ -171,10 +157,23 @@ def progress(done: Column, total: Column, base: Column, batch: Column) -> Column
     return F.least(base + F.greatest(F.lit(0), F.least(done, batch)), total)
 
 
-def system_prompt(glossary: DataFrame, opening: str) -> DataFrame:
-    """One row: the opening and the glossary's terms, in the glossary's order (seq)."""
+def system_prompt(glossary: DataFrame, opening: str, language: str | None = None, batch: bool = False) -> DataFrame:
+    """One row: the opening, the target language, the glossary's terms in its order (seq) and, for a batch, what its
+    reply has to look like."""
     pairs = F.array_sort(F.collect_list(F.when((F.col("mode") == "translate") & (F.col("target") != ""), F.struct("seq", F.concat("source", F.lit(" -> "), "target").alias("t")))))
     kept = F.array_sort(F.collect_list(F.when(F.col("mode") == "keep", F.struct("seq", F.col("source").alias("t")))))
     parts = glossary.agg(F.array_join(F.transform(pairs, lambda x: x["t"]), "; ").alias("pairs"), F.array_join(F.transform(kept, lambda x: x["t"]), "; ").alias("kept"))
-    lines = F.array_compact(F.array(F.lit(opening), F.when(F.col("pairs") != "", F.concat(F.lit("Translate these terms exactly: "), "pairs", F.lit("."))), F.when(F.col("kept") != "", F.concat(F.lit("Keep these terms as they are: "), "kept", F.lit(".")))))
-    return parts.select(F.array_join(lines, "\n").alias("prompt"))
+    lines = [F.lit(opening)]
+    if language:
+        lines.append(F.lit(f"Translate into {language}."))
+    lines += [F.when(F.col("pairs") != "", F.concat(F.lit("Translate these terms exactly: "), "pairs", F.lit("."))), F.when(F.col("kept") != "", F.concat(F.lit("Keep these terms as they are: "), "kept", F.lit(".")))]
+    if batch:
+        lines.append(F.lit('Reply with JSON only: {"translations": [{"id": <the item\'s id>, "text": <its translation>}]}, one item for each id, in any order.'))
+    return parts.select(F.array_join(F.array_compact(F.array(*lines)), "\n").alias("prompt"))
+
+
+def batch_prompts(batched: DataFrame, keys: list[str], seq: str = "first_seen") -> DataFrame:
+    """The user's part of each batch's request: its items as JSON, ids from 0 in order."""
+    items = F.array_sort(F.collect_list(F.struct(seq, "text")))
+    said = F.to_json(F.transform("items", lambda x, i: F.struct(i.alias("id"), x["text"].alias("text"))))
+    return batched.groupBy(*keys, "batch_no").agg(items.alias("items")).select(*keys, "batch_no", F.size("items").alias("items"), said.alias("prompt"))

@@ -58,14 +58,23 @@ def snapshot(events: DataFrame, limits: DataFrame, now: float, seconds: float =
 def waits(events: DataFrame, requests: DataFrame, limits: DataFrame, seconds: float = 60.0, offsets: dict[str, int] = DAY_OFFSETS) -> DataFrame:
     """Seconds until each request (scope, provider, request_id, now, tokens) may go: 0 if at once, null if the
     day's requests are used up. The wait ends when the oldest call leaves the window if the calls are at their
-    limit, and when enough tokens have left it; no limit where it is 0 or below."""
-    e = events.select(*[F.col(k).alias(f"_{k}") for k in BUCKET], F.col("ts").alias("_ts"), F.col("tokens").alias("_tokens"))
-    r = requests.join(F.broadcast(limits), "provider")
-    both = r.join(e, (F.col("scope") == F.col("_scope")) & (F.col("provider") == F.col("_provider")) & (F.col("_ts") <= F.col("now")), "left")
-    recent = F.col("now") - F.col("_ts") <= seconds
-    today = day_of(F.col("_ts"), F.col("provider"), offsets) == day_of(F.col("now"), F.col("provider"), offsets)
-    keys = ["scope", "provider", "request_id", "now", "tokens", "rpm", "tpm", "rpd"]
-    used = both.groupBy(*keys).agg(F.count_if(today).alias("rpd_used"), F.array_sort(F.collect_list(F.when(recent, F.struct(F.col("_ts").alias("ts"), F.col("_tokens").alias("tokens"))))).alias("w"))
+    limit, and when enough tokens have left it; no limit where it is 0 or below. Requests have ids of their own."""
+    r = requests.join(F.broadcast(limits), "provider")  # a row a provider
+    # Calls of the day: one running count over calls and requests of each day.
+    day = lambda ts: day_of(ts, F.col("provider"), offsets).alias("_day")
+    both = events.select(*BUCKET, day(F.col("ts")), F.col("ts").alias("_at"), F.lit(1).alias("_n"), F.lit(None).cast(r.schema["request_id"].dataType).alias("request_id"))
+    both = both.unionByName(r.select(*BUCKET, day(F.col("now")), F.col("now").alias("_at"), F.lit(0).alias("_n"), "request_id"))
+    so_far = Window.partitionBy(*BUCKET, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    daily_use = both.withColumn("rpd_used", F.sum("_n").over(so_far)).filter("request_id IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in BUCKET], F.col("request_id").alias("_request"), F.col("_at").alias("_now"), "rpd_used").distinct()
+    # Calls of the window lie in the request's slot of time or the one before.
+    slot = lambda ts: F.floor(ts / F.lit(float(seconds)))
+    e = events.select(*[F.col(k).alias(f"_{k}") for k in BUCKET], slot(F.col("ts")).alias("_slot"), F.col("ts").alias("_ts"), F.col("tokens").alias("_tokens"))
+    asked = r.select(*BUCKET, "request_id", "now", F.explode(F.array(slot(F.col("now")) - 1, slot(F.col("now")))).alias("slot"))
+    near = asked.join(e, (F.col("scope") == F.col("_scope")) & (F.col("provider") == F.col("_provider")) & (F.col("slot") == F.col("_slot")) & (F.col("_ts") <= F.col("now")) & (F.col("now") - F.col("_ts") <= seconds))
+    calls_near = near.groupBy(*[F.col(k).alias(f"_{k}2") for k in BUCKET], F.col("request_id").alias("_request2"), F.col("now").alias("_now2")).agg(F.array_sort(F.collect_list(F.struct(F.col("_ts").alias("ts"), F.col("_tokens").alias("tokens")))).alias("w"))
+    used = r.join(daily_use, (F.col("scope") == F.col("_scope")) & (F.col("provider") == F.col("_provider")) & (F.col("request_id") == F.col("_request")) & (F.col("now") == F.col("_now")))
+    used = used.join(calls_near, (F.col("scope") == F.col("_scope2")) & (F.col("provider") == F.col("_provider2")) & (F.col("request_id") == F.col("_request2")) & (F.col("now") == F.col("_now2")), "left")
+    used = used.withColumn("w", F.coalesce("w", F.array().cast("array<struct<ts:double,tokens:long>>")))
     used = used.withColumn("tpm_used", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
     need = F.when(F.col("tokens") >= F.col("tpm"), F.col("tpm_used")).otherwise(F.col("tpm_used") + F.greatest(F.col("tokens"), F.lit(0)) - F.col("tpm"))
 

@@ -40,34 +40,28 @@ def pour(words: list[str], rects: list[tuple[float, float]], size: float, pitch:
     return out, at
 
 
+def settings(size: float, line: float, borrows: bool) -> list[tuple[float, float, float, bool]]:
+    """What is tried in turn: font size, line pitch it is set at, line height it is drawn at, and whether room below is
+    borrowed. Sizes down to 85 % come first, within the boxes and then with what may be borrowed; then half a point
+    less at a time, down to LEAST_SIZE."""
+    base, ways = max(size, LEAST_SIZE), [False, True][: 1 + borrows]
+    tight = lambda share: max(LEAST_LINE, line if share >= 0.99 else line * 0.97)
+    near = [(round(base * x, 1), x) for x in SCALES]
+    table = [(s, tight(s / max(size, 1.0)), tight(x), way) for way in ways for s, x in near if s >= LEAST_SIZE]
+    steps = int((base - LEAST_SIZE) * 2) + 1
+    small = sorted({round(max(base - k / 2, LEAST_SIZE), 1) for k in range(1, steps + 1)}, reverse=True)
+    return table + [(s, tight(s / max(size, 1.0)), LEAST_LINE, borrows) for s in small]
+
+
 def fit(text: str, size: float, line: float, areas: list[tuple[float, float, float]], borrows: bool) -> tuple:
-    """The first of these that holds all words: the boxes at sizes down to 85 %, the same in what may be borrowed
-    below, then half a point less at a time down to 5.5; at last 5.5 with the rest in the last box. areas: width,
-    height, height with what may be borrowed."""
-    words, base = text.split(), max(size, LEAST_SIZE)
-
-    def line_at(s: float) -> float:
-        return max(LEAST_LINE, line if s >= 0.99 else line * 0.97)
-
-    for borrow in (False, True) if borrows else (False,):
-        rects = [(w, more if borrow else h) for w, h, more in areas]
-        for scale in SCALES:
-            s = round(base * scale, 1)
-            if s < LEAST_SIZE:
-                break
-            chunks, n = pour(words, rects, s, line_at(s / max(size, 1.0)))
-            if n == len(words):
-                return s, line_at(scale), borrow, chunks, False
-    rects, s = [(w, more if borrows else h) for w, h, more in areas], base
-    while s > LEAST_SIZE:
-        s = round(max(s - 0.5, LEAST_SIZE), 1)
-        chunks, n = pour(words, rects, s, line_at(s / max(size, 1.0)))
+    """The first of settings() that holds all words; the last one, with the rest in the last box, if none does.
+    areas: width, height, height with what may be borrowed."""
+    words = text.split()
+    for s, pitch, drawn, way in settings(size, line, borrows):
+        chunks, n = pour(words, [(w, more if way else h) for w, h, more in areas], s, pitch)
         if n == len(words):
-            return s, LEAST_LINE, borrows, chunks, False
-    chunks, n = pour(words, rects, LEAST_SIZE, line_at(LEAST_SIZE / max(size, 1.0)))
-    if n < len(words):
-        chunks[-1] = " ".join([chunks[-1], *words[n:]]).strip()
-    return LEAST_SIZE, LEAST_LINE, borrows, chunks, n < len(words)
+            return s, drawn, way, chunks, False
+    return s, drawn, way, [*chunks[:-1], " ".join([chunks[-1], *words[n:]]).strip()], True
 
 
 def draw_plan(blocks: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ def quota_snapshot(spark, d: str) -> DataFrame:
 
 
 def quota_wait(spark, d: str) -> DataFrame:
-    """How long a call like each purchase would wait a minute later, with windows of six hours."""
+    """How long a call like each would wait a minute later, with windows of six hours."""
     c = I.calls(spark, d)
-    r = c.filter("event_id % 7 = 0").select("scope", "provider", F.col("event_id").alias("request_id"), (F.col("ts") + 60.0).alias("now"), "tokens")
+    r = c.select("scope", "provider", F.col("event_id").alias("request_id"), (F.col("ts") + 60.0).alias("now"), "tokens")
     return Q.waits(c, r, _limits(spark), 21_600.0, OFFSETS).select("request_id", "rpd_used", "rpm_used", "tpm_used", F.round("wait_seconds", 3).alias("wait_seconds"))
 
 
@@ -73,15 +73,19 @@ def session_renewal(spark, d: str) -> DataFrame:
 
 
 def _stored(spark, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark")
-    return b.select(X.segment_hash(F.col("text"), F.lit("vi"), F.lit("global")).alias("hash"), F.lit("global").alias("user_id"), F.col("text").alias("source_text"), F.concat(F.lit("old:"), F.col("item_id").cast("string")).alias("translated_text"), F.lit("vi").alias("target_lang"), F.lit("a").alias("provider_used"), F.lit(1.0).alias("created_at"), F.lit(1.0).alias("updated_at"))
+    """Cached segments: the benchmark's texts and the documents'."""
+    b = table(spark, d, "benchmark").select("text", F.col("item_id").alias("seq"))
+    t = b.unionByName(table(spark, d, "documents").select("text", (F.col("doc_id") + 1_000_000).alias("seq")))
+    hashed = t.select(X.segment_hash(F.col("text"), F.lit("vi"), F.lit("global")).alias("hash"), "text", "seq")
+    one = hashed.groupBy("hash").agg(F.min_by("text", "seq").alias("source_text"), F.min("seq").alias("seq"))
+    return one.select("hash", F.lit("global").alias("user_id"), "source_text", F.concat(F.lit("old:"), F.col("seq").cast("string")).alias("translated_text"), F.lit("vi").alias("target_lang"), F.lit("a").alias("provider_used"), F.lit(1.0).alias("created_at"), F.lit(1.0).alias("updated_at"))
 
 
 def cache_upsert(spark, d: str) -> DataFrame:
-    """Half of the benchmark and some documents written over the benchmark's cache."""
-    b = table(spark, d, "benchmark").filter("item_id % 2 = 0").select(F.col("text").alias("source_text"), F.col("item_id").alias("seq"))
-    docs = table(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("text").alias("source_text"), (F.col("doc_id") + 1_000_000).alias("seq"))
-    rows = b.unionByName(docs).select("*", F.lit("global").alias("user_id"), F.concat(F.lit("new:"), F.col("seq").cast("string")).alias("translated_text"), F.lit("vi").alias("target_lang"), F.lit("b").alias("provider_used"))
+    """The benchmark and the turns of conversations written over a cache of the benchmark and the documents."""
+    b = table(spark, d, "benchmark").select(F.col("text").alias("source_text"), F.col("item_id").alias("seq"))
+    turns = table(spark, d, "conversations").select(F.col("text").alias("source_text"), (F.col("conv_id") * 1000 + F.col("turn") + 2_000_000).alias("seq"))
+    rows = b.unionByName(turns).select("*", F.lit("global").alias("user_id"), F.concat(F.lit("new:"), F.col("seq").cast("string")).alias("translated_text"), F.lit("vi").alias("target_lang"), F.lit("b").alias("provider_used"))
     return S.cache_upsert(_stored(spark, d), rows, 2.0)
 
 
@@ -200,7 +204,7 @@ ORACLES = {
     "quota_resets": f"WITH {I.CALLS_SQL} SELECT event_id, (({_day('ts')} + 1) * 86400 - {_HOURS} * 3600)::BIGINT AS resets_at FROM calls",
     "quota_snapshot": f"""WITH {I.CALLS_SQL}, {_LIMITS}, u AS (SELECT scope, provider, count(*) FILTER (WHERE ts <= {NOW} AND {NOW} - ts <= 86400) AS rpm_used, coalesce(sum(tokens) FILTER (WHERE ts <= {NOW} AND {NOW} - ts <= 86400), 0)::BIGINT AS tpm_used, count(*) FILTER (WHERE ts <= {NOW} AND {_day('ts')} = {_day(str(NOW))}) AS rpd_used FROM calls GROUP BY ALL)
         SELECT scope, provider, rpm_used, tpm_used, rpd_used, greatest(0, rpm - rpm_used) AS rpm_left, greatest(0, tpm - tpm_used) AS tpm_left, greatest(0, rpd - rpd_used) AS rpd_left, (({_day(str(NOW))} + 1) * 86400 - {_HOURS} * 3600)::BIGINT AS resets_at FROM u JOIN limits USING (provider)""",
-    "quota_wait": f"""WITH {I.CALLS_SQL}, {_LIMITS}, r AS (SELECT scope, provider, event_id AS request_id, ts + 60.0 AS now, tokens, rpm, tpm, rpd FROM calls JOIN limits USING (provider) WHERE event_id % 7 = 0),
+    "quota_wait": f"""WITH {I.CALLS_SQL}, {_LIMITS}, r AS (SELECT scope, provider, event_id AS request_id, ts + 60.0 AS now, tokens, rpm, tpm, rpd FROM calls JOIN limits USING (provider)),
         w AS (SELECT r.*, c.ts AS t, c.tokens AS k, r.now - c.ts <= 21600 AS recent, {_day('c.ts', _HOURS.replace('provider', 'r.provider'))} = {_day('r.now', _HOURS.replace('provider', 'r.provider'))} AS today FROM r LEFT JOIN calls c ON c.scope = r.scope AND c.provider = r.provider AND c.ts <= r.now),
         a AS (SELECT request_id, now, tokens, rpm, tpm, rpd, count(*) FILTER (WHERE today) AS rpd_used, count(*) FILTER (WHERE recent) AS rpm_used, coalesce(sum(k) FILTER (WHERE recent), 0)::BIGINT AS tpm_used, min(t) FILTER (WHERE recent) AS oldest FROM w GROUP BY ALL),
         f AS (SELECT request_id, t, sum(k) OVER (PARTITION BY request_id ORDER BY t) AS freed FROM w WHERE recent),
@@ -217,7 +221,7 @@ ORACLES = {
         SELECT event_id, failures, locked FROM s""",
     "sessions_join": f"SELECT event_id::VARCHAR AS token, c_custkey::VARCHAR AS id, c_name AS username, c_custkey % 100 = 0 AS is_admin FROM events JOIN customer ON c_custkey = user_id WHERE epoch_us(ts) / 1000000 + 432000 > {NOW}",
     "session_renewal": f"SELECT sha256(event_id::VARCHAR) AS token_hash, e > {NOW} AND e < {NOW} + 216000 AS renewed, CASE WHEN e > {NOW} AND e < {NOW} + 216000 THEN {NOW} + 432000 ELSE e END::DOUBLE AS expires_at FROM (SELECT event_id, epoch_us(ts) / 1000000 + 432000 AS e FROM events)",
-    "cache_upsert": f"""WITH old AS (SELECT {_HASH} AS hash, text AS source_text, 'old:' || item_id AS t FROM benchmark), rows AS (SELECT text, item_id AS seq FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT text, doc_id + 1000000 FROM documents WHERE doc_id % 10 = 0),
+    "cache_upsert": f"""WITH stored AS (SELECT text, item_id AS seq FROM benchmark UNION ALL SELECT text, doc_id + 1000000 FROM documents), old AS (SELECT {_HASH} AS hash, arg_min(text, seq) AS source_text, 'old:' || min(seq) AS t FROM stored GROUP BY 1), rows AS (SELECT text, item_id AS seq FROM benchmark UNION ALL SELECT text, conv_id * 1000 + turn + 2000000 FROM conversations),
         new AS (SELECT {_HASH} AS hash, arg_min(text, seq) AS source_text, 'new:' || max(seq) AS t FROM rows GROUP BY 1)
         SELECT coalesce(o.hash, n.hash) AS hash, 'global' AS user_id, coalesce(o.source_text, n.source_text) AS source_text, coalesce(n.t, o.t) AS translated_text, 'vi' AS target_lang, CASE WHEN n.hash IS NULL THEN 'a' ELSE 'b' END AS provider_used, CASE WHEN o.hash IS NULL THEN 2.0 ELSE 1.0 END::DOUBLE AS created_at, CASE WHEN n.hash IS NULL THEN 1.0 ELSE 2.0 END::DOUBLE AS updated_at FROM old o FULL JOIN new n ON o.hash = n.hash""",
     "cache_counts": "SELECT source AS user_id, count(*) AS segments FROM documents GROUP BY source",

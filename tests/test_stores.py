@@ -47,8 +47,14 @@ def test_failing_batches_are_halved(spark):
     df = spark.createDataFrame(rows, "doc_id int, first_seen int, text string, input_tokens long, output_tokens long, batch_no int")
     got = P.translate(df, ["doc_id"], provider).orderBy("seq").collect()
     assert [x["translated_text"] for x in got] == ["A", "B", None, "C", "D"] and got[2]["error"] == "broken"
-    spent = []
-    assert P.translate_split(["a", "b", "c"], provider, [1, 1, 1], spent.append) == ["A", "B", "C"] and spent[0] == 515
+    # Of five: the whole, the first two, the last three, "bad" alone, the last two; each at 512 and its items' estimates.
+    assert {(x["requests"], x["tokens"]) for x in got} == {(5, 5 * 512 + 13 * 20)}
+
+
+def test_batch_prompts_hold_items_in_order(spark):
+    rows = [(1, 7, "b", 0), (1, 3, 'a "x"', 0), (1, 9, "c", 1)]
+    got = P.batch_prompts(spark.createDataFrame(rows, "doc_id int, first_seen int, text string, batch_no int"), ["doc_id"]).orderBy("batch_no").collect()
+    assert [(x["items"], x["prompt"]) for x in got] == [(2, '[{"id":0,"text":"a \\"x\\""},{"id":1,"text":"b"}]'), (1, '[{"id":0,"text":"c"}]')]
 
 
 def test_waits(spark):
@@ -117,20 +123,25 @@ def fold_open(raw):
     return inside or depth > 0
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet='{}[]"\\a,', max_size=25))
-def test_open_json_against_a_fold(raw):
-    assert N.open_json(raw) == fold_open(raw)
+def test_open_json_against_a_fold(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice('{}[]"\\\\a,\n') for _ in range(r.randint(0, 25))) for _ in range(2000)] + ['{"a":"' + "x" * 200_000, '["' + "\\\\n" * 300 + '"']
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string").select("i", N.is_open(F.col("raw")).alias("open")).collect()
+    assert [texts[x["i"]] for x in got if x["open"] != fold_open(texts[x["i"]])] == []
 
 
-def test_batch_replies():
+def test_batch_replies(spark):
     ok = '{"translations":[{"id":1,"text":" b "},{"id":0,"translation":"a"}]}'
-    assert N.batch_reply(ok, 2) == (["a", "b"], None) and N.batch_reply(f"```JSON\n{ok}\n```", 2)[0] == ["a", "b"] and N.batch_reply(f"x {ok} y", 2)[0] == ["a", "b"]
-    assert N.batch_reply('["a "]', 1) == (["a"], None) and N.batch_reply("[1]", 1)[1] == "items" and N.batch_reply("{}", 1)[1] == "shape"
-    assert N.batch_reply(ok[:-4], 2)[1] == "truncated" and N.batch_reply("no", 1)[1] == "invalid" and N.batch_reply(ok, 3)[1] == "count"
-    assert N.batch_reply('[{"id":"x","text":"a"}]', 1)[1] == "id"
-    assert N.batch_reply('{"translations":[{"id": 115, "<2 SD x)a"}]}', 1)[1] == "invalid"
-    assert N.closed_items('{"translations":[{"t":"}{"},{"u":[{}]},{"v"') == 3 and N.closed_items('[{"a":1}') == 1
+    cases = [
+        (ok, 2, ["a", "b"]), (f"```JSON\n{ok}\n```", 2, ["a", "b"]), (f"x {ok} y", 2, ["a", "b"]), ('["a "]', 1, ["a"]), ('[{"text":"p"},{"text":"q"}]', 2, ["p", "q"]),
+        ('[{"id":"2","text":"p"},{"id":1,"text":"q"}]', 2, ["q", "p"]), ("[]", 0, []), ("[1]", 1, "items"), ("{}", 1, "shape"), (ok[:-4], 2, "truncated"), ("no", 1, "invalid"), (None, 1, "invalid"), ("null", 1, "invalid"),
+        (ok, 3, "count"), ('[{"id":"x","text":"a"}]', 1, "id"), ('{"translations":[{"id": 115, "<2 SD x)a"}]}', 1, "invalid"),
+    ]
+    got = N.parse_batches(spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, raw string, expected int")).orderBy("i").collect()
+    assert [r["texts"] if r["error"] is None else r["error"] for r in got] == [c[2] for c in cases]
+    closed = {'{"translations":[{"t":"}{"},{"u":[{}]},{"v"': 3, '[{"a":1}': 1, "": 0, '{"a":{}}': 0, "[{]}": 1}
+    df = spark.createDataFrame([(k,) for k in closed], "raw string").select(N.count_closed(F.col("raw")))
+    assert [r[0] for r in df.collect()] == list(closed.values())
 
 
 def test_reply_shapes(spark):
@@ -168,6 +179,8 @@ def test_sources(spark, tmp_path):
     assert glossary.read_glossary(spark, str(tmp_path / "none.csv")).count() == 0
     prompt = P.system_prompt(g, "Translate.").first()["prompt"]
     assert prompt.splitlines()[1:] == ["Translate these terms exactly: preterm labor -> chuyển dạ sinh non; a, b -> c.", "Keep these terms as they are: oxytocin."]
+    whole = P.system_prompt(g, "Translate.", "Vietnamese", batch=True).first()["prompt"].splitlines()
+    assert whole[1] == "Translate into Vietnamese." and whole[2:4] == prompt.splitlines()[1:] and "translations" in whole[4]
     store.delete_prefix("glossary/u/")
     assert store.count_prefix("glossary/u") == 0
     lines = spark.createDataFrame([(0, "# c"), (1, "GEMINI_RPM_LIMIT = 1"), (2, "X=2")], "line_no int, line string")
