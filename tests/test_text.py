@@ -60,14 +60,29 @@ def test_secrets(spark):
     df = spark.createDataFrame([("pässword", bytearray(b"0123456789abcdef"), " Straße  X ")], "p string, s binary, u string")
     r = df.select(S.hash_password(F.col("p"), F.col("s"), 1000).alias("h"), S.seal(F.col("p"), key).alias("sealed"), S.normal_username(F.col("u")).alias("u"), "p").first()
     assert r["u"] == "strasse x" and r["h"].startswith("pbkdf2_sha256$1000$")
-    assert S.password_matches("pässword", r["h"]) and not S.password_matches("x", r["h"]) and not S.password_matches("x", "broken")
     import base64
     import hashlib
     import hmac
 
-    nonce = b"n" * 16
-    body = b"v1" + nonce + S.keystream("old".encode(), S.derive_key(key, S.OLD_LABEL), nonce)
-    old = base64.urlsafe_b64encode(body + hmac.new(S.derive_key(key, S.OLD_MAC_LABEL), body, hashlib.sha256).digest()).decode()
-    got = spark.createDataFrame([(r["sealed"],), (old,), ("!!",), (r["sealed"][:-8] + "AAAAAAA=",), ("",)], "s string").select(S.unseal(F.col("s"), key)).collect()
-    assert [x[0] for x in got] == ["pässword", "old", "", "", ""]
-    assert S.open_old(body + b"0" * 32, key) == ""
+    checks = [("pässword", r["h"], True), ("x", r["h"], False), ("x", "broken", False), (None, r["h"], False), ("x", None, False), ("pässword", r["h"].replace("sha256$1000", "sha256$0"), False), ("pässword", "md5" + r["h"][13:], False)]
+    salt, digest = (base64.urlsafe_b64decode(x) for x in r["h"].split("$")[2:])
+    assert digest == hashlib.pbkdf2_hmac("sha256", "pässword".encode(), salt, 1000)
+    got = spark.createDataFrame(checks, "p string, h string, want boolean").select(S.verify_password(F.col("p"), F.col("h")), "want").collect()
+    assert [x[0] for x in got] == [x[1] for x in got]
+
+    mac = lambda k, m: hmac.new(k, m, hashlib.sha256).digest()
+
+    def old(text, labels=S.LABELS):
+        nonce, data = b"n" * 16, text.encode()
+        stream = b"".join(mac(mac(key, labels.old_seal), nonce + i.to_bytes(8, "big")) for i in range(9))
+        body = b"v1" + nonce + bytes(x ^ y for x, y in zip(data, stream, strict=False))
+        return base64.urlsafe_b64encode(body + mac(mac(key, labels.old_mac), body)).decode()
+
+    texts = ["old", "", "ü" * 100, "x" * 32, "abcde"]
+    sealed = [r["sealed"], *map(old, texts), "!!", r["sealed"][:-8] + "AAAAAAA=", "", old("old")[:-6] + "AAAAA=", old("x", S.Labels(old_seal=b"a"))]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(sealed)], "i int, s string").orderBy("i").select(S.unseal(F.col("s"), key)).collect()
+    assert [x[0] for x in got][:10] == ["pässword", *texts, "", "", "", ""] and got[10][0] != "x"
+    own = S.Labels(old_seal=b"a", old_mac=b"b")
+    assert spark.createDataFrame([(old("y", own),)], "s string").select(S.unseal(F.col("s"), key, own)).first()[0] == "y"
+    long = b"k" * 100
+    assert spark.createDataFrame([(bytearray(b"m"),)], "m binary").select(S.keyed_digest(long, F.col("m"))).first()[0] == mac(long, b"m")
