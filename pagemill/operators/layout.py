@@ -156,7 +156,9 @@ def column_bounds(lines: DataFrame) -> DataFrame:
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
-    """read_no (from 1): lines across the page cut it into bands; within a band left comes before right."""
+    """read_no (from 1) of body lines: those across the page cut it into bands; within a band left comes before right.
+    What stands outside the body (cells, labels) cuts nothing and is left out."""
+    lines = lines.filter(~F.col("kind").isin(*NOT_BODY))
     across = (F.col("column") == SPAN).cast("int")
     key = [order_y(), F.col("x0"), F.col("line_no")]
     by_place = Window.partitionBy(*PAGE).orderBy(*key)
@@ -277,14 +279,14 @@ def make_blocks(grouped: DataFrame, pages: DataFrame, body_sizes: DataFrame, occ
     return b.select(*PAGE, "block_no", ident.alias("block_id"), "kind", "text", "style", flow.alias("rect"), F.col("free_bottom").alias("max_bottom"), "page_height", alignment(F.col("kind"), F.col("own"), F.col("left"), F.col("right")).alias("align"), F.col("n").alias("line_count"), "line_height", F.col("own").alias("line_rects"))
 
 
-def boxed_labels(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+def boxed_labels(lines: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
     """One label for each box: its lines' text, set within the box; centred if the gaps on both sides are alike."""
     own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNotNull())
-    g = own.groupBy(*PAGE, "box_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_no", "text", "size"))).alias("l"), F.min("x0").alias("lx0"), F.max("x1").alias("lx1"), F.max("y0").alias("last_y0"), F.min("y0").alias("first_y0"))
-    j = g.join(boxes.select(*PAGE, F.col("shape").alias("box_id"), F.col("rect").alias("b")), [*PAGE, "box_id"])
+    g = own.groupBy(*PAGE, "box_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_no", "text", "size", box().alias("rect"), F.struct(*STYLE).alias("style")))).alias("l"), F.min("x0").alias("lx0"), F.max("x1").alias("lx1"), F.max("y0").alias("last_y0"), F.min("y0").alias("first_y0"))
+    j = g.join(boxes.select(*PAGE, F.col("shape").alias("box_id"), F.col("rect").alias("b")), [*PAGE, "box_id"]).join(pages.select(*PAGE, F.col("height").alias("page_height")), PAGE)
     centered = F.abs((F.col("lx0") - F.col("b.x0")) - (F.col("b.x1") - F.col("lx1"))) <= 4.0
     rect = F.struct(F.when(centered, F.col("b.x0") + 1.5).otherwise(F.col("lx0") - 1.0).alias("x0"), (F.col("b.y0") + 1.0).alias("y0"), (F.col("b.x1") - 1.5).alias("x1"), (F.col("b.y1") - 1.0).alias("y1"))
-    return j.select(*PAGE, F.col("box_id").alias("block_id"), F.lit("figure_label").alias("kind"), X.join_lines(F.transform("l", lambda x: x["text"])).alias("text"), rect.alias("rect"), F.when(centered, ALIGN_CENTER).otherwise(ALIGN_LEFT).alias("align"), F.size("l").alias("line_count"), G.line_height(F.col("first_y0"), F.col("last_y0"), F.size("l"), F.element_at("l", 1)["size"]).alias("line_height"))
+    return j.select(*PAGE, F.col("box_id").alias("block_id"), F.lit("figure_label").alias("kind"), X.join_lines(F.transform("l", lambda x: x["text"])).alias("text"), main_style(F.col("l")).alias("style"), rect.alias("rect"), (F.col("b.y1") - 1.0).alias("max_bottom"), "page_height", F.transform("l", lambda x: x["rect"]).alias("line_rects"), F.when(centered, ALIGN_CENTER).otherwise(ALIGN_LEFT).alias("align"), F.size("l").alias("line_count"), G.line_height(F.col("first_y0"), F.col("last_y0"), F.size("l"), F.element_at("l", 1)["size"]).alias("line_height"))
 
 
 def widened(rect: Column, right_limit: Column) -> Column:
@@ -320,19 +322,11 @@ def link_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def merge_linked(linked: DataFrame) -> DataFrame:
-    """One row for each chain: text joined across its parts, areas and line count; in reading order."""
-    part = F.struct("page_index", "block_no", "text", "rect", "max_bottom", "line_count")
-    g = linked.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min_by("kind", F.struct("page_index", "block_no")).alias("kind"), F.min_by("style", F.struct("page_index", "block_no")).alias("style"))
-    return g.select("doc_id", F.col("head.page_index").alias("page_index"), F.col("head.block_no").alias("block_no"), "kind", "style", X.join_lines(F.transform("p", lambda x: x["text"])).alias("text"), F.transform("p", lambda x: F.struct(x["page_index"].alias("page_index"), x["rect"].alias("rect"), x["max_bottom"].alias("max_bottom"))).alias("areas"), F.aggregate("p", F.lit(0), lambda a, x: a + x["line_count"]).alias("line_count"))
-
-
-def document_blocks(linked: DataFrame, *others: DataFrame) -> DataFrame:
-    """The units of a document: linked body text in reading order, then what stands outside it (cells, labels), each
-    with doc_id, page_index, block_id, kind and text; seq is their order."""
-    parts = [linked.select("doc_id", "page_index", F.col("block_no").cast("string").alias("block_id"), "kind", "text", F.lit(0).alias("_part"), F.col("block_no").cast("long").alias("_n"))]
-    parts += [o.select("doc_id", "page_index", "block_id", "kind", "text", F.lit(i + 1).alias("_part"), F.lit(0).cast("long").alias("_n")) for i, o in enumerate(others)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    w = Window.partitionBy("doc_id").orderBy(F.least("_part", F.lit(1)), "page_index", "_part", "_n", "block_id")
-    return out.withColumn("seq", F.row_number().over(w)).drop("_part", "_n")
+    """One row for each chain: text joined across its parts, areas, line_rects and line count; id, kind, style, alignment
+    and line height are the first part's. block_no is the first part's on its page."""
+    part = F.struct("page_index", "block_no", "text", "rect", "max_bottom", "page_height", "line_count", "line_rects", "block_id", "kind", "style", "align", "line_height")
+    g = linked.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    first = lambda c: F.element_at("p", 1)[c].alias(c)
+    areas = F.transform("p", lambda x: F.struct(x["page_index"].alias("page_index"), x["rect"].alias("rect"), x["max_bottom"].alias("max_bottom"), x["page_height"].alias("page_height")))
+    rects = F.flatten(F.transform("p", lambda x: F.transform(x["line_rects"], lambda r: F.struct(x["page_index"].alias("page_index"), r.alias("rect")))))
+    return g.select("doc_id", F.col("head.page_index").alias("page_index"), F.col("head.block_no").alias("block_no"), *map(first, ("block_id", "kind")), X.join_lines(F.transform("p", lambda x: x["text"])).alias("text"), first("style"), areas.alias("areas"), rects.alias("line_rects"), first("align"), F.aggregate("p", F.lit(0), lambda a, x: a + x["line_count"]).alias("line_count"), first("line_height"))

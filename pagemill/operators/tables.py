@@ -142,4 +142,4 @@ def cell_blocks(cells: DataFrame, pages: DataFrame, occupied: DataFrame, region:
     bottom = cell_bottom(F.col("free_bottom"), F.col("rect.y1"), F.col("row_rules"), F.col("region_rect.y1"))
     b = b.withColumn("max_bottom", bottom)
     flow = G.flow_rect(F.col("rect"), F.col("line_count"), F.col("size0"), F.col("line_height"), F.col("free_top"), F.col("max_bottom"))
-    return b.select(*PAGE, F.col("block_no").alias("block_id"), F.lit("table_cell").alias("kind"), "text", "style", flow.alias("rect"), "max_bottom", "page_height", F.lit(ALIGN_LEFT).alias("align"), "line_count", "line_height", F.col("own").alias("line_rects"))
+    return b.select(*PAGE, F.col("block_no").alias("block_id"), region, "cell_no", F.lit("table_cell").alias("kind"), "text", "style", flow.alias("rect"), "max_bottom", "page_height", F.lit(ALIGN_LEFT).alias("align"), "line_count", "line_height", F.col("own").alias("line_rects"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
+from pagemill.operators import document as D
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
 from pagemill.operators import tables as TB
@@ -63,7 +64,7 @@ def test_groups_and_blocks(spark):
 def test_linking_across_columns_and_pages(spark):
     style = (10.0, False, False, True, 0)
     rows = [(1, 0, 1, "paragraph", "an open sen-", style, (50.0, 500.0, 290.0, 700.0)), (1, 0, 2, "caption", "Fig. 1", style, (50.0, 710.0, 290.0, 720.0)), (1, 0, 3, "paragraph", "tence goes on", style, (310.0, 60.0, 540.0, 700.0)), (1, 1, 1, "paragraph", "over the page.", style, (50.0, 60.0, 290.0, 100.0)), (1, 1, 2, "paragraph", "next one", style, (50.0, 110.0, 290.0, 150.0))]
-    df = spark.createDataFrame(rows, "doc_id long, page_index int, block_no long, kind string, text string, style struct<size:double,bold:boolean,italic:boolean,serif:boolean,color:int>, rect struct<x0:double,y0:double,x1:double,y1:double>").withColumns({"page_height": F.lit(792.0), "max_bottom": F.lit(700.0), "line_count": F.lit(1)})
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, block_no long, kind string, text string, style struct<size:double,bold:boolean,italic:boolean,serif:boolean,color:int>, rect struct<x0:double,y0:double,x1:double,y1:double>").withColumns({"page_height": F.lit(792.0), "max_bottom": F.lit(700.0), "line_count": F.lit(1), "line_rects": F.array("rect"), "block_id": F.col("block_no").cast("string"), "align": F.lit(0), "line_height": F.lit(1.15)})
     m = L.merge_linked(L.link_blocks(df)).orderBy("page_index", "block_no").collect()
     assert [x["text"] for x in m] == ["an open sentence goes on over the page.", "Fig. 1", "next one"] and len(m[0]["areas"]) == 3
 
@@ -81,7 +82,7 @@ def test_kinds_and_furniture(spark):
     m = L.mark_furniture(lines(spark, heads), pages(spark, 3)).collect()
     assert sorted((x["line_no"], x["kind"]) for x in m) == [(0, "page_furniture"), (1, "page_furniture"), (2, "page_furniture"), (3, "paragraph")]
     assert all(x["kind"] == "paragraph" for x in L.mark_furniture(lines(spark, heads[:2]), pages(spark, 2)).collect())
-    label = L.boxed_labels(ls.withColumns({"kind": F.lit("figure_label"), "box_id": F.when(F.col("text") == "boxed", "p0_box0")}), boxes).first()
+    label = L.boxed_labels(ls.withColumns({"kind": F.lit("figure_label"), "box_id": F.when(F.col("text") == "boxed", "p0_box0")}), boxes, p).first()
     assert label["align"] == L.ALIGN_CENTER and label["rect"]["x0"] == 296.5
     assert value(spark, L.widened(G.rect(0, 0, 10, 5), F.lit(13.0)))["x1"] == 13.0
 
@@ -126,3 +127,47 @@ def test_draw_plans(spark):
     fonts = spark.createDataFrame([(True, False, False, "Serif", "abc≥", False), (False, False, False, "Sans", "abc", False), (False, False, False, "Last", "abc→", True)], "serif boolean, bold boolean, italic boolean, font string, glyphs string, fallback boolean")
     blocks = spark.createDataFrame([(t, (10.0, False, False, False, 0)) for t in ("ab", "a≥", "a→", "a☃")], "text string, style struct<size:double,bold:boolean,italic:boolean,serif:boolean,color:int>")
     assert [x["font"] for x in R.font_for(blocks, fonts).collect()] == ["Sans", "Serif", "Last", "Sans"]
+
+
+def test_cells_and_labels_cut_no_band(spark):
+    rows = [("left 1", 50, 100, 290, 110), ("right 1", 310, 100, 540, 110), ("a wide cell", 50, 120, 550, 130, 10, "table_cell"), ("left 2", 50, 140, 290, 150), ("right 2", 310, 140, 540, 150)]
+    r = L.reading_order(L.assign_columns(lines(spark, rows))).orderBy("read_no").collect()
+    assert [x["text"] for x in r] == ["left 1", "left 2", "right 1", "right 2"]
+
+
+def document(spark):
+    text = [("Running head", 50, 20, 150, 30), ("An open sentence that goes on in the", 50, 700, 290, 710), ("cell a", 320, 110, 380, 120), ("cell b", 320, 126, 380, 136), ("in a box", 320, 305, 360, 315), ("on the figure", 320, 520, 400, 530)]
+    rows = [(*r, 10, "paragraph", 0) for r in text] + [("Running head", 50, 20, 150, 30, 10, "paragraph", n) for n in (1, 2)]
+    rows += [("next page, where it ends.", 50, 60, 290, 70, 10, "paragraph", 1), ("Another page.", 50, 100, 290, 110, 10, "paragraph", 2)]
+    drawings = [(1, 0, 0, 310.0, 100.0, 560.0, 140.0, "f", 1), (1, 0, 1, 315.0, 300.0, 365.0, 320.0, "f", 1)]
+    d = spark.createDataFrame(drawings, "doc_id long, page_index int, drawing_no int, x0 double, y0 double, x1 double, y1 double, type string, fill int")
+    images = spark.createDataFrame([(1, 0, 310.0, 500.0, 560.0, 600.0)], "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    return D.analyze(lines(spark, rows).drop("kind"), pages(spark, 3), d, images)
+
+
+def test_a_document_from_lines_to_blocks(spark):
+    got = document(spark).orderBy("seq").collect()
+    assert [(x["kind"], x["text"]) for x in got] == [
+        ("page_furniture", "Running head"), ("paragraph", "An open sentence that goes on in the next page, where it ends."), ("page_furniture", "Running head"), ("page_furniture", "Running head"), ("paragraph", "Another page."),
+        ("table_cell", "cell a cell b"), ("figure_label", "on the figure"), ("figure_label", "in a box"),
+    ]
+    chain, cell, loose, boxed = got[1], got[5], got[6], got[7]
+    assert [a["page_index"] for a in chain["areas"]] == [0, 1] and [r["page_index"] for r in chain["line_rects"]] == [0, 1] and chain["line_count"] == 2
+    assert cell["block_id"] == "p0_t0_c0" and cell["areas"][0]["max_bottom"] <= 140.0 and cell["line_count"] == 2
+    assert loose["areas"][0]["rect"]["x0"] == 320.0 and loose["areas"][0]["rect"]["x1"] > 400.0 and boxed["block_id"] == "p0_box1"
+    assert sum(x["line_count"] for x in got) == 10 == sum(len(x["line_rects"]) for x in got)
+
+
+def test_a_document_from_blocks_to_pages(spark):
+    blocks = document(spark)
+    t = spark.createDataFrame([(1, "p0_t0_c0", "Zelle a, Zelle b"), (1, "p0_box1", "")], "doc_id long, block_id string, translated_text string")
+    got = {}
+    for r in D.drawn(blocks, t).collect():
+        got.setdefault((r["page_index"], r["block_id"]), []).append(r)
+    assert got[0, "p0_t0_c0"][0]["text"] == "Zelle a, Zelle b" and got[0, "p0_box1"][0]["text"] == "in a box"
+    chain = [r for k, rs in got.items() for r in rs if "sentence" in r["text"] or "ends" in r["text"]]
+    assert {r["page_index"] for r in chain} <= {0, 1} and " ".join(r["text"] for r in sorted(chain, key=lambda r: r["page_index"])) == "An open sentence that goes on in the next page, where it ends."
+    erased = R.erase_boxes(blocks).collect()
+    assert len(erased) == 10 and all(r["rect"]["x1"] > r["rect"]["x0"] for r in erased)
+    none = blocks.filter("false")
+    assert D.drawn(none, t).count() == 0 and R.erase_boxes(none).count() == 0
