@@ -14,6 +14,7 @@ from pagemill.operators import layout as L
 from pagemill.operators import render as R
 from pagemill.operators import tables as TB
 from pagemill.operators.layout import PAGE
+from pagemill.session import kept
 
 #: Drawings of less area take no room.
 LEAST_DRAWING = 12.0
@@ -58,13 +59,13 @@ def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: Dat
 
     Body text comes first, in reading order, linked across columns and pages; then, page by page, what stands outside
     it: cells of tables, loose labels, labels in boxes. found: tables found elsewhere (page, rect)."""
-    tables = TB.regions(drawings, pages, lines, found)
-    boxes = L.closed_boxes(drawings, pages, lines)
-    placed, marked = classified(lines, pages, tables, boxes, drawings, images)
-    sizes, bounds = L.dominant_size(placed), L.column_bounds(placed)
+    lines, pages = kept(lines, "lines"), kept(pages, "pages")
+    tables, boxes = kept(TB.regions(drawings, pages, lines, found), "tables"), kept(L.closed_boxes(drawings, pages, lines), "boxes")
+    placed, marked = (kept(x, "classified") for x in classified(lines, pages, tables, boxes, drawings, images))
+    sizes, bounds = kept(L.dominant_size(placed), "sizes"), kept(L.column_bounds(placed), "bounds")
     room = occupied(lines, drawings, images)
     body = L.reading_order(marked)
-    linked = L.link_blocks(L.make_blocks(L.group_lines(body, bounds), pages, sizes, room))
+    linked = L.link_blocks(kept(L.make_blocks(L.group_lines(body, bounds), pages, sizes, room), "body"))
     cells = TB.cell_blocks(TB.table_cells(marked.filter("table_id IS NOT NULL"), tables), pages, room)
     loose = loose_labels(marked, bounds, pages, sizes, room)
     boxed = L.boxed_labels(marked, boxes, pages)
@@ -77,6 +78,7 @@ def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: Dat
         _unit(boxed, 3, name("block_id")),
     ]
     every = reduce(DataFrame.unionByName, parts)
+    every = kept(every, "units")
     order = Window.partitionBy("doc_id").orderBy(F.least("_part", F.lit(1)), "page_index", "_part", F.when(F.col("_part") == 1, F.col("_order.s")), "_order.n", "_order.s")
     return every.withColumn("seq", F.row_number().over(order)).drop("_part", "_order")
 

@@ -56,6 +56,17 @@ def pages_of(lines_: DataFrame) -> DataFrame:
     return lines_.select("doc_id", "page_index").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(792.0)})
 
 
+def drawings(lines_: DataFrame) -> DataFrame:
+    """On each page a filled shape over the first five lines of the right column."""
+    shape = {"drawing_no": F.lit(0), "x0": F.lit(305.0), "y0": F.lit(58.0), "x1": F.lit(560.0), "y1": F.lit(142.0), "type": F.lit("f"), "fill": F.lit(1)}
+    return pages_of(lines_).select("doc_id", "page_index").withColumns(shape)
+
+
+def images(lines_: DataFrame) -> DataFrame:
+    """On each page a picture behind the last five lines of the right column."""
+    return pages_of(lines_).select("doc_id", "page_index").withColumns({"x0": F.lit(305.0), "y0": F.lit(298.0), "x1": F.lit(560.0), "y1": F.lit(390.0)})
+
+
 def seconds(c) -> F.Column:
     return F.unix_micros(c.cast("timestamp")) / 1_000_000
 

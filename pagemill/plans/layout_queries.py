@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
+from pagemill.operators import document as D
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
 from pagemill.operators import tables as TB
@@ -126,7 +127,34 @@ def classified_lines(spark, d: str) -> DataFrame:
     return L.mark_furniture(c.select(*lines.columns, "table_id", "box_id"), pages).select("doc_id", "line_no", "kind", "table_id", "box_id")
 
 
-QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, classified_lines)}
+def _document(spark, d: str) -> DataFrame:
+    lines = I.lines(spark, d)
+    return D.analyze(lines.drop("kind"), I.pages_of(lines), I.drawings(lines), I.images(lines))
+
+
+def document_blocks(spark, d: str) -> DataFrame:
+    """The blocks of whole documents: body, cells of tables and labels of figures."""
+    return _document(spark, d).select("doc_id", "seq", "page_index", "block_id", "kind", "text", "line_count", F.size("areas").alias("parts"))
+
+
+def document_lines(spark, d: str) -> DataFrame:
+    """Lines of each kind of unit: none is lost on the way from lines to blocks."""
+    k = F.when(F.col("kind").isin("table_cell", "figure_label"), F.col("kind")).otherwise("body")
+    return _document(spark, d).groupBy("doc_id", k.alias("unit")).agg(F.sum("line_count").alias("lines"))
+
+
+def document_labels(spark, d: str) -> DataFrame:
+    """Labels of figures, loose and in boxes."""
+    b = _document(spark, d).filter("kind = 'figure_label'")
+    return b.select("doc_id", "page_index", "text", "line_count")
+
+
+def erase_boxes(spark, d: str) -> DataFrame:
+    """What is erased of each page before translations are drawn."""
+    return R.erase_boxes(_document(spark, d)).select("doc_id", "page_index", "rect.*").distinct()
+
+
+QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
 
 _W = I.WS
 _COLS = I.GEOMETRY_SQL + """,
@@ -154,7 +182,15 @@ c AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id, page_index ORDER BY x0, l
 g AS (SELECT doc_id, page_index, col_no, min(x0) AS col_x0, max(x1) AS mx FROM c GROUP BY ALL),
 h AS (SELECT *, greatest(mx, coalesce(lead(col_x0) OVER (PARTITION BY doc_id, page_index ORDER BY col_no) - 4.0, mx)) AS col_x1 FROM g)"""
 
+_UNITS = rf""", spot AS (SELECT *, x0 = 310 AND line_no % 20 < 5 AS on_shape, x0 = 310 AND line_no % 20 >= 15 AS on_image,
+    lower({I.sql_strip(f"regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '{I.WS}+', ' ', 'g')")}) AS key, y0 < 792 * 0.12::DOUBLE OR y1 > 792 * 0.88::DOUBLE AS margin FROM lines),
+often AS (SELECT doc_id, key FROM spot WHERE margin AND key <> '' GROUP BY ALL HAVING count(DISTINCT page_index) >= 3),
+kinds AS (SELECT s.*, count(*) FILTER (WHERE on_shape) OVER (PARTITION BY s.doc_id, s.page_index) AS n_shape, margin AND o.key IS NOT NULL AS furniture FROM spot s LEFT JOIN often o ON o.doc_id = s.doc_id AND o.key = s.key)"""
+
 ORACLES = {
+    "document_labels": f"WITH {I.GEOMETRY_SQL}{_UNITS} SELECT doc_id, page_index, text, 1 AS line_count FROM kinds WHERE NOT furniture AND (on_image OR (on_shape AND n_shape = 1))",
+    "document_lines": f"WITH {I.GEOMETRY_SQL}{_UNITS}, u AS (SELECT doc_id, 'body' AS unit FROM kinds WHERE furniture OR NOT (on_image OR on_shape) UNION ALL SELECT doc_id, 'table_cell' FROM kinds WHERE on_shape AND n_shape > 1 UNION ALL SELECT doc_id, 'figure_label' FROM kinds WHERE NOT furniture AND (on_image OR (on_shape AND n_shape = 1))) SELECT doc_id, unit, count(*) AS lines FROM u GROUP BY ALL",
+    "erase_boxes": f"WITH {I.GEOMETRY_SQL} SELECT DISTINCT doc_id, page_index, x0 - 0.7::DOUBLE AS x0, y0::DOUBLE - 0.7::DOUBLE AS y0, x1 + 0.7::DOUBLE AS x1, y1::DOUBLE + 0.7::DOUBLE AS y1 FROM lines",
     "dominant_size": f"WITH {I.GEOMETRY_SQL}, w AS (SELECT doc_id, page_index, size, sum(length(text)) AS n, min(line_no) AS s FROM lines GROUP BY ALL) SELECT doc_id, page_index, size::DOUBLE AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n DESC, s) AS k FROM w) WHERE k = 1",
     "dominant_style": f"WITH {I.GEOMETRY_SQL}, w AS (SELECT doc_id, size, sum(length(text)) AS n, min(line_no) AS s FROM lines GROUP BY ALL) SELECT doc_id, size::DOUBLE AS size, true AS serif, 0 AS color FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) AS k FROM w) WHERE k = 1",
     "column_assign": f'WITH {_COLS} SELECT doc_id, line_no, "column" FROM cols',

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def session(name: str = "pagemill", **conf: str) -> SparkSession:
     """A session with the settings that results depend on: UTC, ANSI and adaptive execution."""
@@ -16,3 +24,28 @@ def session(name: str = "pagemill", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that driver and executors share (spark.checkpoint.dir): what several steps use is
+    computed once, and a lost executor costs no more than reading it again. A local session without that setting
+    gets a temporary folder, removed at exit; a cluster must name one."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="pagemill-kept-")
+        _OWN[app] = shared
+    path = f"{shared.rstrip('/')}/pagemill-kept-{app}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for folder in _OWN.values():
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+atexit.register(_remove)
