@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators import planning as P
 from pagemill.plans import inputs as I
-from pagemill.session import table
+from pagemill.session import kept, table
 
 TPM, MOST, ITEMS = 2000, 1500, 6
 
@@ -72,7 +72,7 @@ def translated_batches(spark, d: str) -> DataFrame:
 
 def translation_plan(spark, d: str) -> DataFrame:
     """Of each document: units, texts, those cached, and batches and tokens for the rest."""
-    texts = P.cache_lookup(_hashed(spark, d), I.cache(spark, d))
+    texts = kept(P.cache_lookup(_hashed(spark, d), I.cache(spark, d)), "texts")
     missing = P.with_tokens(texts.filter("translated_text IS NULL")).drop("uses", "hash", "translated_text")
     batched = P.batch_totals(P.batches(missing, ["doc_id"], "first_seen", TPM, MOST, ITEMS), ["doc_id"])
     sums = batched.groupBy("doc_id").agg(F.count("*").alias("batches"), F.sum("total_tokens").alias("total_tokens"))
@@ -97,7 +97,7 @@ def dehyphenate(spark, d: str) -> DataFrame:
 
 def furniture_lines(spark, d: str) -> DataFrame:
     """Lines whose text without digits recurs in three documents."""
-    u = I.units(spark, d).withColumn("key", X.furniture_key(F.col("text")))
+    u = kept(I.units(spark, d).select("doc_id", "line_no", X.furniture_key(F.col("text")).alias("key")), "keys")
     often = u.filter("key <> ''").groupBy("key").agg(F.countDistinct("doc_id").alias("documents")).filter("documents >= 3")
     return u.join(often, "key").select("doc_id", "line_no", "key", "documents")
 

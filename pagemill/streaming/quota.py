@@ -4,6 +4,7 @@ An extension: the windows by processing time of the batch operators, by event ti
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,18 +21,20 @@ def sliding(events: DataFrame, seconds: float = 60.0) -> DataFrame:
     events that come in order of ts within a bucket; the state holds a bucket's last window only."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, tokens = (list(x) for x in state.get) if state.exists else ([], [])
+        times, tokens = (deque(x) for x in state.get) if state.exists else (deque(), deque())
+        total = sum(tokens)
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         calls, used = [], []
         for ts, n in zip(rows["ts"], rows["tokens"], strict=True):
             times.append(float(ts))
             tokens.append(int(n))
+            total += int(n)
             while ts - times[0] > seconds:
-                times.pop(0)
-                tokens.pop(0)
+                times.popleft()
+                total -= tokens.popleft()
             calls.append(len(times))
-            used.append(sum(tokens))
-        state.update((times, tokens))
+            used.append(total)
+        state.update((list(times), list(tokens)))
         yield rows.assign(scope=key[0], provider=key[1], rpm_used=calls, tpm_used=used)[["scope", "provider", "event_id", "ts", "tokens", "rpm_used", "tpm_used"]]
 
     return events.groupBy("scope", "provider").applyInPandasWithState(step, WINDOW_OUT, "times array<double>, tokens array<long>", "append", GroupStateTimeout.NoTimeout)
