@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -84,6 +85,14 @@ class BatchFailed(Exception):
     """A reply that can't be used; a smaller batch may do."""
 
 
+class Unavailable(Exception):
+    """A provider that can't answer now: its status (0 without any answer), and how long it asks to be left alone."""
+
+    def __init__(self, status: int, wait: float | None = None) -> None:
+        super().__init__(f"status {status}")
+        self.status, self.wait = status, wait
+
+
 Provider = Callable[[list[str]], Reply]
 
 
@@ -98,6 +107,34 @@ def stand_in(prefix: str = "vi:", most: int = 4) -> Provider:
     return reply
 
 
+def retrying(provider: Provider, delays: tuple[float, ...] = (1.0, 3.0, 8.0), passing: tuple[int, ...] = (0, 500, 502, 503, 504), sleep: Callable[[float], None] = time.sleep) -> Provider:
+    """The provider, tried once more after each delay while its status is a passing one; other failures show at once.
+
+    A request is retried within its task: a retried task would send all of its requests again."""
+
+    def reply(texts: list[str]) -> Reply:
+        for delay in (*delays, None):
+            try:
+                return provider(texts)
+            except Unavailable as e:
+                if delay is None or e.status not in passing:
+                    raise
+                sleep(delay if e.wait is None else max(e.wait, 0.0))
+        raise AssertionError("the last try returns or raises")
+
+    return reply
+
+
+def falling_back(first: Provider, second: Provider) -> Provider:
+    """The first provider's reply (say, a streamed one), or the second's where that is empty."""
+
+    def reply(texts: list[str]) -> Reply:
+        got = first(texts)
+        return got if any(got.texts) else second(texts)
+
+    return reply
+
+
 def provider_of(registry: dict[str, Provider], name: str) -> Provider:
     """The provider of that name; the registry's order is that of display."""
     if name not in registry:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def is_missing(error: Exception) -> bool:
+    """Whether a file system's error says that an object isn't there, as stores put it."""
+    return any(x in str(error) for x in ("FileNotFoundException", "NoSuchKey", "NotFound", "Status Code: 404"))
+
+
 class Objects:
     """put, get, exists, delete_prefix, upload, count_prefix and listings of keys under root."""
 
@@ -30,8 +35,13 @@ class Objects:
         path = self._path(key)
         if not self.exists(key):
             return None
-        size = self._fs.getFileStatus(path).getLen()
-        stream = self._fs.open(path)
+        try:
+            size = self._fs.getFileStatus(path).getLen()
+            stream = self._fs.open(path)
+        except Exception as e:  # removed meanwhile
+            if is_missing(e):
+                return None
+            raise
         try:
             return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
         finally:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pagemill.operators import planning as P
 from pagemill.operators import quota as Q
 from pagemill.operators import replies as N
 from pagemill.operators import store as S
-from pagemill.sources import glossary, objects
+from pagemill.sources import catalog, glossary, objects
 from pagemill.sources import settings as env
 
 
@@ -51,6 +52,38 @@ def test_failing_batches_are_halved(spark):
     assert {(x["requests"], x["tokens"]) for x in got} == {(5, 5 * 512 + 13 * 20)}
 
 
+def test_passing_failures_are_tried_again():
+    def failing(*errors):
+        left = list(errors)
+
+        def reply(texts):
+            if left:
+                raise left.pop(0)
+            return P.Reply([t.upper() for t in texts])
+
+        return reply
+
+    slept = []
+    again = lambda *e: P.retrying(failing(*e), sleep=slept.append)(["a"]).texts
+    assert again(P.Unavailable(503), P.Unavailable(0), P.Unavailable(502, 0.5)) == ["A"] and slept == [1.0, 3.0, 0.5]
+    for errors, tries in (([P.Unavailable(503)] * 4, 3), ([P.Unavailable(404)], 0)):
+        slept.clear()
+        with pytest.raises(P.Unavailable):
+            again(*errors)
+        assert len(slept) == tries
+    empty = lambda texts: P.Reply(["" for _ in texts])
+    assert P.falling_back(empty, failing())(["b"]).texts == ["B"] and P.falling_back(failing(), empty)(["b"]).texts == ["B"]
+
+
+def test_stores_of_a_catalog(spark):
+    made = catalog.create_stores(spark, "pagemill_test")
+    made["sessions"].limit(0).unionByName(spark.createDataFrame([("t", "u", 1.0, 2.0)], catalog.STORES["sessions"])).write.insertInto("pagemill_test.sessions")
+    again = catalog.create_stores(spark, "pagemill_test")
+    assert again["sessions"].count() == 1 and again["jobs"].count() == 0 and set(again) == set(catalog.STORES)
+    spark.sql("DROP DATABASE pagemill_test CASCADE")
+    assert objects.is_missing(Exception("java.io.FileNotFoundException: x")) and not objects.is_missing(Exception("AccessDenied"))
+
+
 def test_batch_prompts_hold_items_in_order(spark):
     rows = [(1, 7, "b", 0), (1, 3, 'a "x"', 0), (1, 9, "c", 1)]
     got = P.batch_prompts(spark.createDataFrame(rows, "doc_id int, first_seen int, text string, batch_no int"), ["doc_id"]).orderBy("batch_no").collect()
