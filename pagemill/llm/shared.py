@@ -61,11 +61,16 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which forget() removes."""
+    _WRITTEN.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, computes df once, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
