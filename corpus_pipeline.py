@@ -1,9 +1,12 @@
 """A training-corpus pipeline over `documents`: each stage takes (spark, docs, sf_dir) and returns a DataFrame,
-which is written as Parquet and read again as the next stage's docs."""
+which is written as Parquet and read again as the next stage's docs.
 
-from __future__ import annotations
+Defined cases: each stage states its own. Of the whole: null and empty texts pass the classifier and the line dedup,
+one of them passes the Jaccard join, the mix takes none; rows equal in all columns lose all lines but in one; texts of
+any length are read whole; an empty table gives an empty result; columns beside the documents' own, whatever their
+names, are kept up to the packing, which returns pieces."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +15,7 @@ from pagemill.llm.lines import deduplicated_lines
 from pagemill.llm.mixing import mixed_documents
 from pagemill.llm.packing import packed_stage
 from pagemill.llm.quality import good_documents
-from pagemill.llm.shared import shared_folder
+from pagemill.llm.shared import new_path
 
 STAGES = [
     ("quality_classifier", good_documents),
@@ -28,7 +31,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
