@@ -33,7 +33,7 @@ SHRINK = 64
 HELD_OUT = 10
 #: The quantile over held-out documents that is a threshold; how many documents' worth all languages together count
 #: beside a language's own, as a quantile of few is vague.
-QUANTILE, POOLED = 0.995, 100
+QUANTILE, POOLED = 0.995, 25
 #: A shard's requests are split among groups of so many batches.
 BATCHES = 2048
 
