@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import anchors, chosenpath, fingerprints, licenses, lines, mixing, neighbours, packing, pii, quality
+from pagemill.llm import anchors, chosenpath, codes, fingerprints, licenses, lines, mixing, neighbours, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
+    "op11_codes": codes.op11_codes,
 }
 ORACLES = {
     "op5_neighbours": neighbours.ORACLE,
     "op7_repeats": anchors.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_codes": codes.ORACLE,
 }
