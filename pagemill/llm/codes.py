@@ -69,10 +69,8 @@ def whole(columns: bytes, dim: int, n: int, scale: int, wide: bool) -> np.ndarra
     x = np.frombuffer(columns, "<f8").reshape(dim, n)
     if not wide:
         return np.floor(x * scale).astype(np.int64)
-    out = np.empty(x.shape, object)
     # From 2**52 on a double is a whole number, and its product may be beyond doubles.
-    out[...] = [[int(v) * scale if abs(v) >= 2**52 else math.floor(v * scale) for v in row] for row in x.tolist()]
-    return out
+    return np.array([int(v) * scale if abs(v) >= 2**52 else math.floor(v * scale) for v in x.ravel().tolist()], object).reshape(dim, n)
 
 
 def edges(dim: int, parts: int) -> list[tuple[int, int]]:
