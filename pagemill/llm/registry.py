@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from pagemill.llm import anchors, chosenpath, codes, fingerprints, licenses, lines, mixing, neighbours, packing, pii, quality, turns
+from pagemill.llm import anchors, chosenpath, codes, fingerprints, licenses, lines, mixing, neighbours, packing, pii, quality, turns, urls
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
     "op11_codes": codes.op11_codes,
+    "op12_urls": urls.op12_urls,
     "op13_turns": turns.op13_turns,
 }
 ORACLES = {
@@ -22,5 +23,6 @@ ORACLES = {
     "op8_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_codes": codes.ORACLE,
+    "op12_urls": urls.ORACLE,
     "op13_turns": turns.ORACLE,
 }
