@@ -6,7 +6,7 @@ best lower bound are recomputed in double precision, and heaps of k merge the ti
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 vectors with a null id; of rows that are equal in id and vector one counts; several vectors under one id
-are rows of their own, but no row is compared with its own id; vectors of other lengths than the query's are
+are rows of their own, as queries too (each has a list), but no row is compared with its own id; vectors of other lengths than the query's are
 no candidates of it; ties go to the smaller id; fewer candidates than k give them all."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pagemill.llm.shared import written
 
 BLOCK = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
-FOUND = T.StructType([T.StructField("query_no", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType())])
+FOUND = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("query_no", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("scores", T.BinaryType())])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -123,16 +123,17 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, query_block: int =
         held: dict = {}
 
         def flush():
-            ids, nos, tops, scores = [], [], [], []
-            for (no, _), (q_ids, _, heaps) in held.items():
+            ids, dims, nos, tops, scores = [], [], [], [], []
+            for (no, d), (q_ids, _, heaps) in held.items():
                 for i in range(len(q_ids)):
                     full = heaps.ids[i] != np.iinfo(np.int64).max
                     ids.append(int(q_ids[i]))
-                    nos.append(no)
+                    dims.append(d)
+                    nos.append((no << 32) + i)
                     tops.append(heaps.ids[i][full].tobytes())
                     scores.append(heaps.scores[i][full].tobytes())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(tops, pa.binary()), pa.array(scores, pa.binary())], names=["query_id", "query_no", "ids", "scores"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(nos, pa.int64()), pa.array(tops, pa.binary()), pa.array(scores, pa.binary())], names=["query_id", "dim", "query_no", "ids", "scores"])
 
         for batch in batches:
             for d, no, qi, qv, bi, bv in zip(*(batch.column(c).to_pylist() for c in ("dim", "query_block", "q_ids", "q_vectors", "ids", "vectors")), strict=True):
@@ -161,7 +162,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, query_block: int =
         return pa.table({"query_id": pa.array([key[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([i for _, i in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.float64())})
 
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    return partial.groupBy("query_id").applyInArrow(merge, out)
+    return partial.groupBy("query_id", "dim", "query_no").applyInArrow(merge, out)
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:
@@ -173,8 +174,8 @@ ORACLE = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, b.vec_id, list_reduce(list_transform(list_zip(q.e, b.e), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score
+s AS (SELECT q.vec_id AS query_id, q.e AS query, b.vec_id, list_reduce(list_transform(list_zip(q.e, b.e), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score
       FROM v q JOIN v b ON q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id AND len(b.e) = len(q.e)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
-SELECT * FROM r WHERE rank <= 20
+r AS (SELECT query_id, query, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -41,3 +41,10 @@ def test_bounds_hold():
 def test_empty(spark):
     rows = N.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert N.nearest(rows, rows).count() == 0
+
+
+def test_each_query_vector_of_one_id_has_its_own_list(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 5.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    usable = N.usable(rows, "vec_id", "embedding")
+    got = N.nearest(usable.filter("id = 0"), usable, 2).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 3.0), (1, 2, 5.0), (2, 3, 1.0), (2, 3, 1.0)]
