@@ -106,14 +106,19 @@ def changed(docs: DataFrame, doc: str, new: dict[str, Column]) -> list[Column]:
 
 
 def row_key(*columns: str) -> Column:
-    """128 bits of a row's columns, as text: rows are matched by it with what was decided for them."""
-    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), *columns)))
+    """128 bits of a row's columns, as text: rows are matched by it with what was decided for them.
+
+    It is the first half of the SHA-256 of all values, each behind its length and nulls as a sign of their own, so no two
+    rows are written alike."""
+    values = [F.col(quoted(c)).cast("string") for c in columns]
+    told = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    return F.left(F.sha2(F.concat(*told), 256), F.lit(32))
 
 
 def rest_of(docs: DataFrame, *columns: str) -> Column:
     """An order of rows that are equal in columns, by all their other ones, so that reruns agree."""
     others = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in columns]
-    return F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    return F.xxhash64(F.to_json(F.struct(*others), {"ignoreNullFields": "false"})) if others else F.lit(0).cast("long")
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:

@@ -31,3 +31,10 @@ def test_what_was_written_can_be_removed(spark):
     S.forget(spark)
     assert not spark.catalog.tableExists(name) and not S._WRITTEN
     S._WRITTEN.extend(kept[0]), S._TABLES.extend(kept[1])
+
+
+def test_row_keys_tell_nulls_and_swapped_values(spark):
+    values = [None, "", "-", "a", "1:a", "a b c", "3:-1"]
+    rows = [(a, b, c) for a in values for b in values for c in values]
+    got = spark.createDataFrame(rows, "x string, y string, z string").select(S.row_key("x", "y", "z").alias("k")).collect()
+    assert len({r.k for r in got}) == len(rows)
