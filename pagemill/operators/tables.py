@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
 from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, free_space, main_style
+from pagemill.operators.ruled import ruled_tables
 
 THIN, COLUMN_GAP = 2.5, 18.0
 RECTS = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
@@ -77,7 +78,8 @@ def row_rules(rect: Column, rules: Column) -> Column:
 
 def regions(drawings: DataFrame, pages: DataFrame, lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Table regions: shape (its number counts all merged candidates), ord, rect and row_rules. Candidates are
-    large fills and clusters of rules with two lines in them, and tables found elsewhere (page, rect)."""
+    large fills and clusters of rules with two lines in them, tables that are drawn as grids, and tables found elsewhere
+    (page, rect)."""
     f = drawing_features(drawings, pages).withColumn("rect", box()).join(pages.select(*PAGE, F.col("width").alias("_w")), PAGE)
     big = (F.col("feature") == "fill") & (F.col("x1") - F.col("x0") >= F.greatest(F.col("_w"), F.lit(1.0)) * 0.22) & (F.col("y1") - F.col("y0") >= 22.0)
     fills = f.filter(big).select(*PAGE, F.col("rect"))
@@ -85,7 +87,8 @@ def regions(drawings: DataFrame, pages: DataFrame, lines: DataFrame, found: Data
     clusters = ruled.select(*PAGE, F.explode(rule_clusters(F.col("rules"), F.col("_w"))).alias("rect"))
     some = fills.unionByName(clusters).withColumns({"ord": F.monotonically_increasing_id(), "shape": F.struct("rect.x0", "rect.y0", "rect.x1", "rect.y1").cast("string")}).dropDuplicates([*PAGE, "shape"])
     kept = count_inside(lines, some).filter("lines >= 2").select(*PAGE, "rect")
-    every = kept.unionByName(found.select(*PAGE, "rect")) if found is not None else kept
+    every = kept.unionByName(ruled_tables(drawings).select(*PAGE, "rect"))
+    every = every.unionByName(found.select(*PAGE, "rect")) if found is not None else every
     merged = every.groupBy(*PAGE).agg(merged_rects(F.collect_list("rect")).alias("m")).select(*PAGE, F.posexplode("m").alias("ord", "rect"))
     named = merged.withColumn("shape", F.format_string("p%d_t%d", F.col("page_index").cast("int"), F.col("ord")))
     full = count_inside(lines, named).filter("lines >= 2").drop("lines").join(ruled.drop("_w"), PAGE, "left")

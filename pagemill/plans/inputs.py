@@ -62,6 +62,22 @@ def drawings(lines_: DataFrame) -> DataFrame:
     return pages_of(lines_).select("doc_id", "page_index").withColumns(shape)
 
 
+def grids(lines_: DataFrame) -> DataFrame:
+    """On each page a grid of strokes: a row for each line, up to 20, and 2 to 4 columns by their number. Flat rules are
+    drawn as two halves, a little off, and the second column's left rule begins under the first row."""
+    n = lines_.groupBy("doc_id", "page_index").agg(F.count("*").alias("n"))
+    sized = n.select("doc_id", "page_index", F.least(F.col("n"), F.lit(20)).cast("int").alias("rows"), (F.col("n") % 3 + 2).cast("int").alias("columns"))
+    wide = F.col("columns") * 90
+
+    def stroke(x0, y0, x1, y1):
+        return F.struct(*[c.cast("double").alias(k) for k, c in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
+
+    flat = F.transform(F.sequence(F.lit(0), F.col("rows")), lambda i: F.array(stroke(F.lit(40), 56.5 + 16 * i, F.lit(84), 56.5 + 16 * i), stroke(F.lit(86), 57.5 + 16 * i, 40 + wide, 57.5 + 16 * i)))
+    upright = F.transform(F.sequence(F.lit(0), F.col("columns")), lambda j: stroke(40 + 90 * j, F.when(j == 1, 57 + 16).otherwise(57), 40 + 90 * j, 57 + 16 * F.col("rows")))
+    drawn = sized.select("doc_id", "page_index", F.posexplode(F.concat(F.flatten(flat), upright)).alias("drawing_no", "d"))
+    return drawn.select("doc_id", "page_index", "drawing_no", "d.*", F.lit("s").alias("type"), F.lit(None).cast("int").alias("fill"))
+
+
 def images(lines_: DataFrame) -> DataFrame:
     """On each page a picture behind the last five lines of the right column."""
     return pages_of(lines_).select("doc_id", "page_index").withColumns({"x0": F.lit(305.0), "y0": F.lit(298.0), "x1": F.lit(560.0), "y1": F.lit(390.0)})

@@ -9,6 +9,7 @@ from pagemill.functions import geometry as G
 from pagemill.operators import document as D
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
+from pagemill.operators import ruled as RU
 from pagemill.operators import tables as TB
 from pagemill.plans import inputs as I
 
@@ -117,6 +118,23 @@ def rect_merge(spark, d: str) -> DataFrame:
     return m.select(*L.PAGE, F.posexplode("m").alias("ord", "r")).select(*L.PAGE, "ord", "r.*")
 
 
+def ruled_tables(spark, d: str) -> DataFrame:
+    """Tables of the grids drawn on each page, and their cells."""
+    t = RU.ruled_tables(I.grids(I.lines(spark, d)))
+    return t.select(*L.PAGE, "table_no", "cells", "rect.*")
+
+
+def ruled_cells(spark, d: str) -> DataFrame:
+    """Each cell of the grids drawn on each page."""
+    return RU.cells_of_tables(RU.cells(RU.points(RU.edges(I.grids(I.lines(spark, d))))))
+
+
+def ruled_regions(spark, d: str) -> DataFrame:
+    """Regions of tables where grids are all that shows them: those of two lines."""
+    lines = I.lines(spark, d)
+    return TB.regions(I.grids(lines), I.pages_of(lines), lines).select(*L.PAGE, "shape", "rect.*")
+
+
 def classified_lines(spark, d: str) -> DataFrame:
     """Kinds by tables, boxes, figures and footnotes as well as by text, then page furniture."""
     lines = I.lines(spark, d)
@@ -154,7 +172,7 @@ def erase_boxes(spark, d: str) -> DataFrame:
     return R.erase_boxes(_document(spark, d)).select("doc_id", "page_index", "rect.*").distinct()
 
 
-QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
+QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, ruled_tables, ruled_cells, ruled_regions, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
 
 _W = I.WS
 _COLS = I.GEOMETRY_SQL + """,
@@ -187,7 +205,19 @@ _UNITS = rf""", spot AS (SELECT *, x0 = 310 AND line_no % 20 < 5 AS on_shape, x0
 often AS (SELECT doc_id, key FROM spot WHERE margin AND key <> '' GROUP BY ALL HAVING count(DISTINCT page_index) >= 3),
 kinds AS (SELECT s.*, count(*) FILTER (WHERE on_shape) OVER (PARTITION BY s.doc_id, s.page_index) AS n_shape, margin AND o.key IS NOT NULL AS furniture FROM spot s LEFT JOIN often o ON o.doc_id = s.doc_id AND o.key = s.key)"""
 
+_GRID = """,
+grid AS (SELECT doc_id, page_index, least(count(*), 20)::INTEGER AS r, (count(*) % 3 + 2)::INTEGER AS c FROM lines GROUP BY ALL),
+cell AS (SELECT doc_id, page_index, r, c, i, j, 40 + 90 * j AS x0, 57 + 16 * i AS y0, 40 + 90 * (j + CASE WHEN i = 0 AND j = 0 THEN 2 ELSE 1 END) AS x1, 57 + 16 * (i + 1) AS y1 FROM grid, range(20) a(i), range(4) b(j) WHERE i < r AND j < c AND NOT (i = 0 AND j = 1)),
+tab AS (SELECT doc_id, page_index, count(*) AS n, max(x1) AS x1, max(y1) AS y1, count(DISTINCT cell.x0) AS l, count(DISTINCT cell.x1) AS k FROM cell GROUP BY ALL HAVING l >= 2 AND k >= 2)"""
+
 ORACLES = {
+    "ruled_cells": f"WITH {I.GEOMETRY_SQL}{_GRID} SELECT doc_id, page_index, 0 AS table_no, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM cell",
+    "ruled_tables": f"WITH {I.GEOMETRY_SQL}{_GRID} SELECT doc_id, page_index, 0 AS table_no, n::INTEGER AS cells, 40::DOUBLE AS x0, 57::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM tab",
+    "ruled_regions": f"""WITH {I.GEOMETRY_SQL}{_GRID},
+        clustered AS (SELECT g.doc_id, g.page_index, count(*) AS n FROM grid g JOIN lines l ON l.doc_id = g.doc_id AND l.page_index = g.page_index WHERE r >= 2 AND greatest(least(l.x1, 40 + 90 * c) - greatest(l.x0, 86), 0) * greatest(least(l.y1, 57.5 + 16 * r) - greatest(l.y0, 57.5), 0) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.6::DOUBLE GROUP BY ALL),
+        region AS (SELECT t.doc_id, t.page_index, t.x1, t.y1 + CASE WHEN k.n >= 2 THEN 0.5 ELSE 0 END AS y1 FROM tab t LEFT JOIN clustered k USING (doc_id, page_index))
+        SELECT r.doc_id, r.page_index, 'p' || r.page_index || '_t0' AS shape, 40::DOUBLE AS x0, 57::DOUBLE AS y0, r.x1::DOUBLE AS x1, r.y1::DOUBLE AS y1 FROM region r JOIN lines l ON l.doc_id = r.doc_id AND l.page_index = r.page_index
+        WHERE greatest(least(l.x1, r.x1) - greatest(l.x0, 40), 0) * greatest(least(l.y1, r.y1) - greatest(l.y0, 57), 0) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.6::DOUBLE GROUP BY ALL HAVING count(*) >= 2""",
     "document_labels": f"WITH {I.GEOMETRY_SQL}{_UNITS} SELECT doc_id, page_index, text, 1 AS line_count FROM kinds WHERE NOT furniture AND (on_image OR (on_shape AND n_shape = 1))",
     "document_lines": f"WITH {I.GEOMETRY_SQL}{_UNITS}, u AS (SELECT doc_id, 'body' AS unit FROM kinds WHERE furniture OR NOT (on_image OR on_shape) UNION ALL SELECT doc_id, 'table_cell' FROM kinds WHERE on_shape AND n_shape > 1 UNION ALL SELECT doc_id, 'figure_label' FROM kinds WHERE NOT furniture AND (on_image OR (on_shape AND n_shape = 1))) SELECT doc_id, unit, count(*) AS lines FROM u GROUP BY ALL",
     "erase_boxes": f"WITH {I.GEOMETRY_SQL} SELECT DISTINCT doc_id, page_index, x0 - 0.7::DOUBLE AS x0, y0::DOUBLE - 0.7::DOUBLE AS y0, x1 + 0.7::DOUBLE AS x1, y1::DOUBLE + 0.7::DOUBLE AS y1 FROM lines",
