@@ -107,17 +107,13 @@ def single_total_tokens(c: Column) -> Column:
     return single_input_tokens(c) + output_tokens(c)
 
 
-def input_budget(tpm: Column) -> Column:
-    """Tokens a batch may send; null without a limit."""
-    return F.when(tpm > 0, F.greatest(F.lit(1), F.floor(tpm * 0.8)))
+def input_budget(tpm: int | None) -> int | None:
+    """Tokens a batch may send; none without a limit."""
+    return max(1, int(tpm * 0.8)) if tpm and tpm > 0 else None
 
 
-def output_budget(most: Column) -> Column:
-    return F.when(most > 0, F.greatest(F.lit(1), F.floor(most * 0.9)))
-
-
-def exceeds(used: Column, item: Column, budget: Column) -> Column:
-    return F.coalesce(used + item > budget, F.lit(False))
+def output_budget(most: int | None) -> int | None:
+    return max(1, int(most * 0.9)) if most and most > 0 else None
 
 
 def mask_key(c: Column) -> Column:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
+from pagemill.operators.folds import fold
 
 PAGE = ["doc_id", "page_index"]
 LEFT, RIGHT, SPAN = 0, 1, 2
@@ -299,26 +301,25 @@ def link_blocks(blocks: DataFrame) -> DataFrame:
 
     A flowing block goes on in the next flowing one if that has its kind and its chain's style, starts in lower
     case after an open sentence, and stands in the next column after the foot of this one, or at the head of
-    the next page. What does not flow lies between without breaking it. The fold runs within a document."""
+    the next page. What does not flow lies between without breaking it. A document's blocks stream by in order."""
     flows = blocks.filter(F.col("kind").isin(*FLOWING))
-    row = F.struct("page_index", "block_no", "kind", F.col("style.size").alias("size"), F.col("style.color").alias("color"), X.ends_sentence(F.col("text")).alias("ends"), X.starts_lower(F.col("text")).alias("lower"), "rect", G.at_tail(F.col("rect"), F.col("page_height")).alias("tail"), G.at_head(F.col("rect"), F.col("page_height")).alias("top"))
-    g = flows.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("l"))
-    name = lambda x: F.struct(x["page_index"].alias("page_index"), x["block_no"].alias("block_no"))
-    kind = flows.select(row.alias("r")).schema["r"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(kind).alias("last"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("int").alias("color"), F.lit(None).cast("struct<page_index:int,block_no:bigint>").alias("head"), F.array().cast("array<struct<page_index:int,block_no:bigint>>").alias("heads"))
-
-    def step(s: Column, x: Column) -> Column:
-        p = s["last"]
-        same_page = x["page_index"] == p["page_index"]
-        place = F.when(same_page, x["rect"]["x0"] > p["rect"]["x1"] - 1.0).otherwise((x["page_index"] == p["page_index"] + 1) & x["top"])
-        goes_on = F.coalesce((p["kind"] == x["kind"]) & G.style_compatible(s["size"], s["color"], x["size"], x["color"]) & ~p["ends"] & x["lower"] & p["tail"] & place, F.lit(False))
-        head = F.when(goes_on, s["head"]).otherwise(name(x).cast("struct<page_index:int,block_no:bigint>"))
-        return F.struct(x.alias("last"), F.when(goes_on, s["size"]).otherwise(x["size"]).alias("size"), F.when(goes_on, s["color"]).otherwise(x["color"]).cast("int").alias("color"), head.alias("head"), F.concat(s["heads"], F.array(head)).alias("heads"))
-
-    folded = g.select("doc_id", F.explode(F.arrays_zip("l", F.aggregate("l", start, step, lambda s: s["heads"]).alias("h"))).alias("x"))
-    heads = folded.select("doc_id", F.col("x.l.page_index").alias("page_index"), F.col("x.l.block_no").alias("block_no"), F.col("x.h").alias("head"))
-    own = F.struct(F.col("page_index").cast("int").alias("page_index"), F.col("block_no").cast("bigint").alias("block_no"))
-    return blocks.join(heads, ["doc_id", "page_index", "block_no"], "left").withColumn("head", F.coalesce("head", own))
+    row = {"size": F.col("style.size"), "color": F.col("style.color"), "ends": X.ends_sentence(F.col("text")), "lower": X.starts_lower(F.col("text")), "x0": F.col("rect.x0"), "x1": F.col("rect.x1"), "tail": G.at_tail(F.col("rect"), F.col("page_height")), "top": G.at_head(F.col("rect"), F.col("page_height"))}
+
+    def step(state, page, kind, size, color, ends, lower, x0, x1, tail, top):
+        chain, last_page, last_kind, chain_size, chain_color, open_foot, last_x1 = state
+        goes_on = kind == last_kind and open_foot and lower and color == chain_color and size is not None and chain_size is not None and abs(chain_size - size) <= 0.6
+        if goes_on:
+            goes_on = x0 > last_x1 - 1.0 if page == last_page else page == last_page + 1 and top
+        if not goes_on:
+            chain, chain_size, chain_color = chain + 1, size, color
+        return (chain, page, kind, chain_size, chain_color, ends is False and tail, x1), chain
+
+    inputs = ["page_index", "kind", *row]
+    thin = flows.select("doc_id", "page_index", "block_no", "kind", *[c.alias(n) for n, c in row.items()])
+    chained = fold(thin, ["doc_id"], ["page_index", "block_no"], inputs, (0, None, None, None, None, False, None), step, T.StructField("_chain", T.LongType()))
+    place = F.struct(F.col("page_index").cast("int").alias("page_index"), F.col("block_no").cast("bigint").alias("block_no"))
+    heads = chained.select("doc_id", "page_index", "block_no", F.min(place).over(Window.partitionBy("doc_id", "_chain")).alias("head"))
+    return blocks.join(heads, ["doc_id", "page_index", "block_no"], "left").withColumn("head", F.coalesce("head", place))
 
 
 def merge_linked(linked: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import text as X
-from pagemill.operators.folds import fold
+from pagemill.operators.batching import numbered_batches
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -46,19 +46,9 @@ def with_tokens(units: DataFrame) -> DataFrame:
 
 def batches(items: DataFrame, keys: list[str], seq: str, tpm: int, max_output: int, max_items: int = 200) -> DataFrame:
     """batch_no (from 0) of each item: items of a job fill a batch in order until it has max_items or one of
-    its token budgets would be passed; an item beyond a budget goes alone. Jobs are independent; a job's items stream
-    through one task."""
-    budgets = items.withColumns({"_into": X.input_budget(F.lit(tpm)).cast("long"), "_out": X.output_budget(F.lit(max_output)).cast("long")})
-    overhead = X.BATCH_OVERHEAD
-
-    def step(state, i, o, into, out):
-        no, n, i_sum, o_sum = state
-        if n >= max_items or (into is not None and i_sum + i > into) or (out is not None and o_sum + o > out):
-            no, n, i_sum, o_sum = no + 1, 0, overhead, 0
-        return (no, n + 1, i_sum + i, o_sum + o), no
-
-    full = (-1, max_items, 0, 0)
-    return fold(budgets, keys, [seq, "input_tokens", "output_tokens"], ["input_tokens", "output_tokens", "_into", "_out"], full, step, T.StructField("batch_no", T.IntegerType())).drop("_into", "_out")
+    its token budgets would be passed; an item beyond a budget goes alone. Jobs are independent, and a job's items may be
+    spread over any number of tasks."""
+    return numbered_batches(items, keys, [seq, "input_tokens", "output_tokens"], X.input_budget(tpm), X.output_budget(max_output), max_items, X.BATCH_OVERHEAD)
 
 
 def batch_totals(batched: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,6 +65,14 @@ def linked_blocks(spark, d: str) -> DataFrame:
     return L.merge_linked(L.link_blocks(page_blocks(spark, d))).select("doc_id", "page_index", "block_no", "kind", F.size("areas").alias("parts"), "text", "line_count")
 
 
+def linked_lines(spark, d: str) -> DataFrame:
+    """The chain of each line taken as a block of its own, on pages of which columns reach the foot; a line in seven is a
+    heading, and most texts are cut so that they go on."""
+    text = F.when(F.length("text") % 3 == 0, F.col("text")).otherwise(F.lower(F.regexp_replace("text", "[.!?]+$", "")))
+    blocks = I.lines(spark, d).select(*L.PAGE, F.col("line_no").cast("long").alias("block_no"), F.when(F.col("line_no") % 7 == 3, "heading").otherwise("paragraph").alias("kind"), text.alias("text"), F.struct(*L.STYLE).alias("style"), L.box().alias("rect"), F.lit(400.0).alias("page_height"))
+    return L.link_blocks(blocks).select("doc_id", "page_index", F.col("block_no").alias("line_no"), "kind", F.col("head.page_index").alias("head_page"), F.col("head.block_no").alias("head_line"))
+
+
 def draw_plans(spark, d: str) -> DataFrame:
     """Sizes and boxes for texts that grew by a third."""
     m = L.merge_linked(L.link_blocks(page_blocks(spark, d))).withColumns({"size": F.col("style.size"), "line_height": F.lit(1.15), "text": F.concat_ws(" ", "text", F.expr("left(text, cast(length(text) / 3 as int))"))})
@@ -172,7 +180,7 @@ def erase_boxes(spark, d: str) -> DataFrame:
     return R.erase_boxes(_document(spark, d)).select("doc_id", "page_index", "rect.*").distinct()
 
 
-QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, ruled_tables, ruled_cells, ruled_regions, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
+QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, linked_lines, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, ruled_tables, ruled_cells, ruled_regions, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
 
 _W = I.WS
 _COLS = I.GEOMETRY_SQL + """,
@@ -218,6 +226,11 @@ ORACLES = {
         region AS (SELECT t.doc_id, t.page_index, t.x1, t.y1 + CASE WHEN k.n >= 2 THEN 0.5 ELSE 0 END AS y1 FROM tab t LEFT JOIN clustered k USING (doc_id, page_index))
         SELECT r.doc_id, r.page_index, 'p' || r.page_index || '_t0' AS shape, 40::DOUBLE AS x0, 57::DOUBLE AS y0, r.x1::DOUBLE AS x1, r.y1::DOUBLE AS y1 FROM region r JOIN lines l ON l.doc_id = r.doc_id AND l.page_index = r.page_index
         WHERE greatest(least(l.x1, r.x1) - greatest(l.x0, 40), 0) * greatest(least(l.y1, r.y1) - greatest(l.y0, 57), 0) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.6::DOUBLE GROUP BY ALL HAVING count(*) >= 2""",
+    "linked_lines": rf"""WITH {I.GEOMETRY_SQL}, b AS (SELECT doc_id, page_index, line_no::BIGINT AS line_no, line_no % 7 = 3 AS heading, CASE WHEN length(text) % 3 = 0 THEN text ELSE lower(regexp_replace(text, '[.!?]+$', '')) END AS text, x0, x1, y0, y1 FROM lines),
+        p AS (SELECT *, lag(page_index) OVER w AS pp, lag(x1) OVER w AS px, lag(y1) OVER w AS py, lag(text) OVER w AS pt FROM b WHERE NOT heading WINDOW w AS (PARTITION BY doc_id ORDER BY page_index, line_no)),
+        g AS (SELECT *, sum((NOT coalesce(py >= 300 AND NOT regexp_matches(pt, '[.!?]{_W}*[\x22''”’)\]}}»›]*{_W}*$') AND regexp_matches(text, '^\p{{Ll}}') AND CASE WHEN pp = page_index THEN x0 > px - 1 ELSE page_index = pp + 1 AND y0 <= 100 END, false))::INT) OVER (PARTITION BY doc_id ORDER BY page_index, line_no) AS chain FROM p)
+        SELECT doc_id, page_index, line_no, 'paragraph' AS kind, first_value(page_index) OVER c AS head_page, first_value(line_no) OVER c AS head_line FROM g WINDOW c AS (PARTITION BY doc_id, chain ORDER BY page_index, line_no)
+        UNION ALL SELECT doc_id, page_index, line_no, 'heading', page_index, line_no FROM b WHERE heading""",
     "document_labels": f"WITH {I.GEOMETRY_SQL}{_UNITS} SELECT doc_id, page_index, text, 1 AS line_count FROM kinds WHERE NOT furniture AND (on_image OR (on_shape AND n_shape = 1))",
     "document_lines": f"WITH {I.GEOMETRY_SQL}{_UNITS}, u AS (SELECT doc_id, 'body' AS unit FROM kinds WHERE furniture OR NOT (on_image OR on_shape) UNION ALL SELECT doc_id, 'table_cell' FROM kinds WHERE on_shape AND n_shape > 1 UNION ALL SELECT doc_id, 'figure_label' FROM kinds WHERE NOT furniture AND (on_image OR (on_shape AND n_shape = 1))) SELECT doc_id, unit, count(*) AS lines FROM u GROUP BY ALL",
     "erase_boxes": f"WITH {I.GEOMETRY_SQL} SELECT DISTINCT doc_id, page_index, x0 - 0.7::DOUBLE AS x0, y0::DOUBLE - 0.7::DOUBLE AS y0, x1 + 0.7::DOUBLE AS x1, y1::DOUBLE + 0.7::DOUBLE AS y1 FROM lines",
