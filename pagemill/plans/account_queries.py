@@ -196,7 +196,16 @@ def erase_strategies(spark, d: str) -> DataFrame:
     return R.erase_strategy(lines, lines.withColumns({"y0": F.col("y0") + down, "y1": F.col("y1") + down}))
 
 
-QUERIES = {f.__name__: f for f in (job_creation, job_paths, job_deletion, purge_report, cache_cleared, latest_events, sessions_created, sessions_deleted, admin_ensured, admin_counts, users_listed, password_set, key_updates, key_status, default_providers, rolling_sessions, user_names, password_checks, seal_round_trips, reply_texts, reply_errors, closed_items, table_regions, closed_boxes, footnote_rules, erase_strategies)}
+def nested_replies(spark, d: str) -> DataFrame:
+    """Texts of replies two to thirteen levels below their message, beside an empty one that comes first."""
+    t = table(spark, d, "conversations")
+    open_, close = F.lit('{"text":" ","answer":['), F.lit("]}")
+    deep = (F.col("turn") % 6 + 1).cast("int")
+    reply = F.concat(F.lit('{"choices":[{"message":{"content":'), F.repeat(open_, deep), F.to_json(F.array(F.coalesce("text", F.lit("")))), F.repeat(close, deep), F.lit("}}]}"))
+    return t.select("conv_id", "turn", N.any_text(reply).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (job_creation, job_paths, job_deletion, purge_report, cache_cleared, latest_events, sessions_created, sessions_deleted, admin_ensured, admin_counts, users_listed, password_set, key_updates, key_status, default_providers, rolling_sessions, user_names, password_checks, seal_round_trips, reply_texts, nested_replies, reply_errors, closed_items, table_regions, closed_boxes, footnote_rules, erase_strategies)}
 
 _JOBS = "j AS (SELECT o_orderkey::VARCHAR AS job_id, o_custkey::VARCHAR AS user_id, 'uploads/' || o_custkey || '/' || o_orderkey || '.pdf' AS input_path FROM orders)"
 _KEYS = "k AS (SELECT c_custkey AS n, c_custkey::VARCHAR AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'gem-' || c_custkey END AS gemini_key, CASE WHEN c_custkey % 3 = 0 THEN 'qwen-' || c_custkey END AS qwen_key, CASE WHEN c_custkey % 6 = 0 THEN 'http://base' END AS qwen_base_url FROM customer)"
@@ -223,6 +232,7 @@ ORACLES = {
     "user_names": "SELECT c_custkey, lower(c_name) || ' x' AS name FROM customer",
     "password_checks": "SELECT c_custkey, true AS named, true AS same, false AS other FROM customer",
     "seal_round_trips": "SELECT c_custkey, c_name AS opened, '' AS wrong FROM customer",
+    "nested_replies": "SELECT conv_id, turn, trim(coalesce(text, ''), ' \t\n\r') AS text FROM conversations",
     "reply_texts": "SELECT conv_id, turn, trim(text, ' \t\n\r') AS text FROM conversations",
     "reply_errors": """WITH e AS (SELECT event_id, event_type = 'error' AS spent, [200, 429, 503, 404, 400][event_id % 5 + 1] AS s FROM events)
         SELECT event_id, CASE WHEN s = 429 OR (s >= 400 AND spent) THEN 'quota' WHEN s < 400 THEN NULL WHEN s = 503 THEN 'transient' ELSE 'error' END AS class, CASE WHEN spent THEN 'm' ELSE 'g' END AS said, CASE WHEN spent THEN 'm' ELSE 'g' END AS message FROM e""",
