@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from pagemill.functions import geometry as G
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
+from pagemill.operators import rooms as RM
 from pagemill.operators import tables as TB
 from pagemill.operators.layout import PAGE
 from pagemill.session import kept
@@ -49,7 +50,7 @@ def loose_labels(lines: DataFrame, bounds: DataFrame, pages: DataFrame, sizes: D
     own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNull()).join(bounds.select(*PAGE, "column", "left", "right"), [*PAGE, "column"], "left")
     blocks = L.make_blocks(own.withColumns({"read_no": F.lit(1), "group_no": F.col("line_no").cast("long")}), pages, sizes, room)
     sided = own.select(*PAGE, F.col("line_no").cast("long").alias("block_no"), F.array(L.box()).alias("own")).join(pages.select(*PAGE, F.col("width").alias("page_width")), PAGE)
-    limits = L.horizontal_room(sided, room).select(*PAGE, "block_no", "right_limit")
+    limits = RM.horizontal_room(sided, room).select(*PAGE, "block_no", "right_limit")
     return blocks.join(limits, [*PAGE, "block_no"]).withColumn("rect", L.widened(F.col("rect"), F.col("right_limit")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
 from pagemill.operators.folds import fold
+from pagemill.operators.rooms import room
 
 PAGE = ["doc_id", "page_index"]
 LEFT, RIGHT, SPAN = 0, 1, 2
@@ -22,6 +23,9 @@ FLOWING = ("paragraph", "list_item", "footnote")
 BORROWING = ("paragraph", "list_item", "caption", "heading", "table_title", "table_cell", "footnote")
 NOT_BODY = ("table_cell", "figure_label")
 STYLE = ("size", "bold", "italic", "serif", "color")
+#: Height of the bands of a page in which lines and shapes look for each other.
+BAND = 128.0
+# Fixed values.
 SPAN_SHARE, BOX_SHARE, FIGURE_SHARE, TABLE_SHARE = 0.72, 0.75, 0.55, 0.6
 
 
@@ -60,9 +64,17 @@ def figures(images: DataFrame, least: float = 4000.0) -> DataFrame:
 
 def _inside(lines: DataFrame, shapes: DataFrame, share: float) -> DataFrame:
     """(page, line_no, shape, ord) of lines that lie in a shape (doc_id, page_index, shape, ord, rect) by at least share."""
-    r = shapes.select(*[F.col(c).alias(f"_{c}") for c in PAGE], "shape", "ord", "rect")
-    both = lines.select(*PAGE, "line_no", box().alias("_b")).join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")))
-    return both.filter(G.overlap_ratio(F.col("_b"), F.col("rect")) >= share).select(*PAGE, "line_no", "shape", "ord")
+    r = shapes.select(*[F.col(c).alias(f"_{c}") for c in PAGE], "shape", "ord", "rect", F.explode(_bands(F.col("rect"))).alias("_at"))
+    own = lines.select(*PAGE, "line_no", box().alias("_b")).select("*", F.explode(_bands(F.col("_b"))).alias("_band"))
+    both = own.join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (F.col("_band") == F.col("_at")))
+    once = F.col("_band") == F.floor(F.greatest("_b.y0", "rect.y0") / BAND)  # the band in which both have begun
+    return both.filter(once & (G.overlap_ratio(F.col("_b"), F.col("rect")) >= share)).select(*PAGE, "line_no", "shape", "ord")
+
+
+def _bands(r: Column) -> Column:
+    """The bands of a page that a rectangle reaches, so that it meets only what is at its height."""
+    first = F.floor(r["y0"] / BAND)
+    return F.sequence(first, F.greatest(first, F.floor(r["y1"] / BAND)))
 
 
 def first_containing(lines: DataFrame, shapes: DataFrame, share: float, name: str) -> DataFrame:
@@ -215,45 +227,6 @@ def alignment(kind: Column, lines: Column, left: Column, right: Column) -> Colum
     return F.when(kind.isin(*NOT_BODY), ALIGN_LEFT).when((n >= 2) & flush & kind.isin(*FLOWING), ALIGN_JUSTIFY).when(center, ALIGN_CENTER).otherwise(ALIGN_LEFT)
 
 
-def with_occupied(blocks: DataFrame, occupied: DataFrame) -> DataFrame:
-    """blocks with occ: what else stands on the page (owner, rect), as an array; one join for all that asks it."""
-    if "occ" in blocks.columns:
-        return blocks
-    page = occupied.groupBy(*PAGE).agg(F.collect_list(F.struct("owner", "rect")).alias("occ"))
-    none = F.array().cast(page.schema["occ"].dataType)
-    joined = blocks.join(page, PAGE, "left")
-    return joined.withColumn("occ", F.filter(F.coalesce("occ", none), lambda o: ~F.array_contains(F.col("own"), o["rect"])))
-
-
-def _edge(rects: Column, side: str, least: bool) -> Column:
-    values = F.transform(rects, lambda o: o["rect"][side])
-    return F.array_min(values) if least else F.array_max(values)
-
-
-def horizontal_room(blocks: DataFrame, occupied: DataFrame) -> DataFrame:
-    """left_limit and right_limit of blocks (…, block_no, own: the lines' rectangles, page_width): 3 from the
-    nearest text at the same height on each side."""
-    of = lambda c, least: F.array_min(F.transform("own", lambda r: r[c])) if least else F.array_max(F.transform("own", lambda r: r[c]))
-    b = with_occupied(blocks, occupied).withColumns({"_x0": of("x0", True), "_x1": of("x1", False), "_top": of("y0", True), "_bottom": of("y1", False)})
-    level = F.filter("occ", lambda o: o["owner"].startswith("line") & (o["rect"]["y1"] > F.col("_top")) & (o["rect"]["y0"] < F.col("_bottom")))
-    b = b.withColumn("_level", level)
-    left = _edge(F.filter("_level", lambda o: o["rect"]["x1"] <= F.col("_x0")), "x1", False) + 3.0
-    right = _edge(F.filter("_level", lambda o: (o["rect"]["x1"] > F.col("_x0")) & (o["rect"]["x0"] >= F.col("_x1"))), "x0", True) - 3.0
-    return b.withColumns({"left_limit": F.greatest(F.lit(0.0), left), "right_limit": F.least(F.col("page_width"), right)}).drop("_x0", "_x1", "_top", "_bottom", "_level")
-
-
-def free_space(blocks: DataFrame, occupied: DataFrame, least: float = 0.15, pad: float = 2.0) -> DataFrame:
-    """free_top and free_bottom of blocks (…, block_no, rect, own, page_height): up to what stands above and below
-    in at least 15 % of the narrower width, with 2 to spare."""
-    r = F.col("rect")
-    b = with_occupied(blocks, occupied)
-    b = b.withColumn("_near", F.filter("occ", lambda o: G.horizontal_share(F.col("rect"), o["rect"]) >= least))
-    below = _edge(F.filter("_near", lambda o: o["rect"]["y0"] >= F.col("rect.y1") - 1.0), "y0", True) - pad
-    above = _edge(F.filter("_near", lambda o: o["rect"]["y1"] <= F.col("rect.y0") + 1.0), "y1", False) + pad
-    limit = F.col("page_height") * 0.97
-    return b.withColumns({"free_bottom": F.greatest(F.least(limit, below), r["y1"]), "free_top": F.least(F.greatest(F.lit(0.0), above), r["y0"])}).drop("_near")
-
-
 def line_boxes(lines: DataFrame) -> DataFrame:
     """What lines occupy: owner and rect."""
     return lines.select(*PAGE, X.line_owner(F.col("page_index"), F.col("line_no")).alias("owner"), box().alias("rect"))
@@ -273,9 +246,7 @@ def make_blocks(grouped: DataFrame, pages: DataFrame, body_sizes: DataFrame, occ
     hi = lambda c: F.array_max(F.transform("own", lambda r: r[c]))
     x0 = F.when(F.col("kind").isin(*FLOWING), F.least(lo("x0"), F.col("left"))).otherwise(lo("x0"))
     b = b.withColumn("ink", F.struct(x0.alias("x0"), (lo("y0") - 1.0).alias("y0"), F.greatest(F.col("right"), hi("x1")).alias("x1"), (hi("y1") + 1.0).alias("y1")))
-    b = horizontal_room(b, occupied)
-    fit = F.struct(F.least(F.greatest(F.col("ink.x0"), F.col("left_limit")), lo("x0")).alias("x0"), F.col("ink.y0").alias("y0"), F.greatest(F.least(F.col("ink.x1"), F.col("right_limit")), hi("x1")).alias("x1"), F.col("ink.y1").alias("y1"))
-    b = free_space(b.withColumn("rect", fit), occupied)
+    b = room(b, occupied).withColumn("rect", F.struct(F.col("fit_x0").alias("x0"), F.col("ink.y0").alias("y0"), F.col("fit_x1").alias("x1"), F.col("ink.y1").alias("y1")))
     flow = G.flow_rect(F.col("rect"), F.col("n"), F.col("size0"), F.col("line_height"), F.col("free_top"), F.col("free_bottom"))
     ident = X.block_id(F.col("page_index"), first["rect"]["x0"], first["rect"]["y0"], F.col("n"))
     return b.select(*PAGE, "block_no", ident.alias("block_id"), "kind", "text", "style", flow.alias("rect"), F.col("free_bottom").alias("max_bottom"), "page_height", alignment(F.col("kind"), F.col("own"), F.col("left"), F.col("right")).alias("align"), F.col("n").alias("line_count"), "line_height", F.col("own").alias("line_rects"))

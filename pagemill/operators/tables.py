@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
-from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, free_space, main_style
+from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, main_style
+from pagemill.operators.rooms import free_space
 from pagemill.operators.ruled import ruled_tables
 
 THIN, COLUMN_GAP = 2.5, 18.0

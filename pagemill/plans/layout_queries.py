@@ -9,6 +9,7 @@ from pagemill.functions import geometry as G
 from pagemill.operators import document as D
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
+from pagemill.operators import rooms as RM
 from pagemill.operators import ruled as RU
 from pagemill.operators import tables as TB
 from pagemill.plans import inputs as I
@@ -115,7 +116,7 @@ def free_space(spark, d: str) -> DataFrame:
     """What is free above, below and beside each line."""
     lines = I.lines(spark, d)
     b = lines.select(*L.PAGE, F.col("line_no").alias("block_no"), L.box().alias("rect"), F.array(L.box()).alias("own"), F.lit(792.0).alias("page_height"), F.lit(600.0).alias("page_width"))
-    out = L.free_space(L.horizontal_room(b, L.line_boxes(lines)), L.line_boxes(lines))
+    out = RM.free_space(RM.horizontal_room(b, L.line_boxes(lines)), L.line_boxes(lines))
     return out.select("doc_id", F.col("block_no").alias("line_no"), "free_top", "free_bottom", "left_limit", "right_limit")
 
 
