@@ -135,11 +135,19 @@ def provider_of(registry: dict[str, Provider], name: str) -> Provider:
 RESULT = T.StructType([T.StructField("seq", T.LongType()), T.StructField("text", T.StringType()), T.StructField("translated_text", T.StringType()), T.StructField("requests", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("error", T.StringType())])
 
 
-def translate(batched: DataFrame, keys: list[str], provider: Provider) -> DataFrame:
+def translate(batched: DataFrame, keys: list[str], provider: Provider, starts: DataFrame | None = None, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Sends every batch (keys, batch_no) through provider on the executors. Finished halves of a failing
-    batch are kept: what can't be translated alone carries its error."""
+    batch are kept: what can't be translated alone carries its error.
+
+    starts (keys, batch_no, start: epoch seconds) are those of quota.schedule: a batch waits for its start, one whose start
+    is null is not sent, and one that starts names not at all goes at once."""
     gathered = batched.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct(F.col("first_seen").cast("long").alias("seq"), "text", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens")))).alias("items"))
     schema = T.StructType([*gathered.select(*keys, "batch_no").schema.fields, *RESULT.fields])
+    if starts is None:
+        timed = gathered.withColumn("_start", F.lit(0.0))
+    else:
+        told = starts.select(*keys, "batch_no", F.coalesce("start", F.lit(float("nan"))).alias("_start"))
+        timed = gathered.join(told, [*keys, "batch_no"], "left").withColumn("_start", F.coalesce("_start", F.lit(0.0))).sortWithinPartitions("_start")
 
     def settle(items: list[dict]) -> tuple[dict[int, tuple[str | None, str | None]], list[int]]:
         """place -> (translation, error), and the tokens of each request; ranges that fail are cut in two."""
@@ -172,11 +180,15 @@ def translate(batched: DataFrame, keys: list[str], provider: Provider) -> DataFr
             rows = []
             for r in pdf.to_dict("records"):
                 items = list(r["items"])
-                done, spent = settle(items)
+                if r["_start"] == r["_start"]:
+                    sleep(max(0.0, r["_start"] - clock()))
+                    done, spent = settle(items)
+                else:
+                    done, spent = dict.fromkeys(range(len(items)), (None, "the day's requests are used up")), []
                 rows += [(*(r[k] for k in keys), r["batch_no"], x["seq"], x["text"], done[i][0], len(spent), sum(spent), done[i][1]) for i, x in enumerate(items)]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return gathered.mapInPandas(run, schema)
+    return timed.mapInPandas(run, schema)
 
 
 def progress(done: Column, total: Column, base: Column, batch: Column) -> Column:

@@ -4,10 +4,15 @@ Events have scope, provider, ts (epoch seconds, double) and tokens; a bucket is
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagemill.operators.folds import fold
+
 # Hours from UTC at which a provider's day begins.
 DAY_OFFSETS = {"gemini": -8, "gemma": -8, "qwen": 8}
 BUCKET = ("scope", "provider")
@@ -89,6 +94,47 @@ def waits(events: DataFrame, requests: DataFrame, limits: DataFrame, seconds: fl
     return used.select("scope", "provider", "request_id", "now", "tokens", "rpd_used", F.size("w").cast("long").alias("rpm_used"), "tpm_used", wait.alias("wait_seconds"))
 
 
+def schedule(requests: DataFrame, limits: DataFrame, seconds: float = 60.0, offsets: dict[str, int] = DAY_OFFSETS) -> DataFrame:
+    """requests (scope, provider, seq, ready: epoch seconds, tokens) with start: when each may go, in order of seq within a
+    bucket, so that no window of the calls so scheduled passes a limit; null once the day's requests are used up.
+
+    A call starts at the latest of its own time, the start before it, and what its limits ask: `seconds` and a margin after
+    the start of the call that has to leave the window for it. What is kept of a bucket is its last window; a bucket's
+    calls are as many as its limits let through, so one task takes them as a stream."""
+    known = requests.join(F.broadcast(limits.select("provider", "rpm", "tpm", "rpd")), "provider")  # a row a provider
+    timed = known.withColumn("_ready", F.round(F.col("ready") * 1_000_000).cast("long"))
+    window, apart = int(seconds * 1_000_000), int((seconds + MARGIN) * 1_000_000)
+
+    def step(state, provider, ready, tokens, rpm, tpm, rpd):
+        calls, used, last, day, today = state or (deque(), 0, 0, None, 0)
+        at = max(ready, last)
+        while calls and at - calls[0][0] > window:
+            used -= calls.popleft()[1]
+        leaving = 0
+        if rpm > 0 and len(calls) >= rpm:
+            leaving = len(calls) - rpm + 1
+        need = max(0, int(tokens or 0))
+        free = used if need >= tpm else used + need - tpm
+        if tpm > 0 and free > 0:
+            freed = 0
+            for n, (_, t) in enumerate(calls, 1):
+                freed += t
+                if freed >= free:
+                    leaving = max(leaving, n)
+                    break
+        if leaving:
+            at = max(at, calls[leaving - 1][0] + apart)
+        now = (at // 1_000_000 + offsets.get(provider, 0) * 3600) // 86_400
+        today = today if now == day else 0
+        if rpd > 0 and today >= rpd:
+            return (calls, used, last, now, today), None
+        calls.append((at, need))
+        return (calls, used + need, at, now, today + 1), at
+
+    told = fold(timed, [*BUCKET], ["seq"], ["provider", "_ready", "tokens", "rpm", "tpm", "rpd"], (), step, T.StructField("_start", T.LongType()))
+    return told.select(*requests.columns, (F.col("_start") / 1_000_000).alias("start"))
+
+
 def record(events: DataFrame, more: DataFrame) -> DataFrame:
     """Events with the calls of more (scope, provider, ts, tokens_in, tokens_out) appended."""
     return events.unionByName(more.select("scope", "provider", "ts", (F.col("tokens_in") + F.col("tokens_out")).alias("tokens")))

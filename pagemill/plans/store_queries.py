@@ -57,6 +57,14 @@ def _users(spark, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("username"), F.lower("c_name").alias("username_norm"), F.lit("x").alias("password_hash"), (F.col("c_custkey") % 100 == 0).cast("int").alias("is_admin"), (F.col("c_custkey") * 1.0).alias("created_at"))
 
 
+def scheduled_calls(spark, d: str) -> DataFrame:
+    """When each event, as a call that is ready from the first on, may go by its provider's limits."""
+    e = table(spark, d, "events")
+    calls = e.select(F.lit("all").alias("scope"), F.col("event_type").alias("provider"), F.col("event_id").alias("seq"), F.lit(1_700_000_000.0).alias("ready"), (F.floor(F.coalesce("value", F.lit(0.0)) * 100) % 5000 + 1).cast("long").alias("tokens"))
+    limits = Q.limits_of(spark, [("click", 15, 20_000, 0, 0), ("view", 5, 0, 0, 0), ("purchase", 0, 12_000, 0, 0), ("signup", 3, 4_000, 40, 0), ("error", 0, 0, 0, 0)])
+    return Q.schedule(calls, limits).select("provider", "seq", "start")
+
+
 def _sessions(spark, d: str) -> DataFrame:
     e = table(spark, d, "events")
     ts = I.seconds(F.col("ts"))
@@ -185,7 +193,7 @@ def progress_percent(spark, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", N.percent(F.col("l_linenumber"), F.col("l_orderkey") % 13).alias("percent"))
 
 
-QUERIES = {f.__name__: f for f in (quota_sliding, quota_sliding_hour, quota_daily, quota_resets, quota_snapshot, quota_wait, login_lockout, sessions_join, session_renewal, cache_upsert, cache_counts, job_updates, job_counts, job_progress, user_cascade_delete, new_users, account_stats, json_batch_parse, json_usage, stream_replies, event_props, poll_backoff, progress_percent)}
+QUERIES = {f.__name__: f for f in (quota_sliding, quota_sliding_hour, quota_daily, quota_resets, quota_snapshot, quota_wait, scheduled_calls, login_lockout, sessions_join, session_renewal, cache_upsert, cache_counts, job_updates, job_counts, job_progress, user_cascade_delete, new_users, account_stats, json_batch_parse, json_usage, stream_replies, event_props, poll_backoff, progress_percent)}
 
 _LIMITS = "limits(provider, rpm, tpm, rpd) AS (VALUES ('click', 2, 20000, 3), ('view', 3, 9000, 0), ('purchase', 1, 0, 5), ('signup', 1, 5000, 2), ('error', 0, 3000, 4))"
 _HOURS = "(CASE provider WHEN 'click' THEN -8 WHEN 'view' THEN 8 WHEN 'purchase' THEN 7 ELSE 0 END)"
@@ -204,6 +212,17 @@ ORACLES = {
     "quota_resets": f"WITH {I.CALLS_SQL} SELECT event_id, (({_day('ts')} + 1) * 86400 - {_HOURS} * 3600)::BIGINT AS resets_at FROM calls",
     "quota_snapshot": f"""WITH {I.CALLS_SQL}, {_LIMITS}, u AS (SELECT scope, provider, count(*) FILTER (WHERE ts <= {NOW} AND {NOW} - ts <= 86400) AS rpm_used, coalesce(sum(tokens) FILTER (WHERE ts <= {NOW} AND {NOW} - ts <= 86400), 0)::BIGINT AS tpm_used, count(*) FILTER (WHERE ts <= {NOW} AND {_day('ts')} = {_day(str(NOW))}) AS rpd_used FROM calls GROUP BY ALL)
         SELECT scope, provider, rpm_used, tpm_used, rpd_used, greatest(0, rpm - rpm_used) AS rpm_left, greatest(0, tpm - tpm_used) AS tpm_left, greatest(0, rpd - rpd_used) AS rpd_left, (({_day(str(NOW))} + 1) * 86400 - {_HOURS} * 3600)::BIGINT AS resets_at FROM u JOIN limits USING (provider)""",
+    # Only calls of the last window are kept.
+    "scheduled_calls": """WITH RECURSIVE l(provider, rpm, tpm, rpd) AS (VALUES ('click', 15, 20000, 0), ('view', 5, 0, 0), ('purchase', 0, 12000, 0), ('signup', 3, 4000, 40), ('error', 0, 0, 0)),
+        c AS (SELECT event_type AS provider, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, (floor(coalesce(value, 0) * 100) % 5000 + 1)::BIGINT AS tokens FROM events),
+        s AS (SELECT provider, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BIGINT AS goes, 0::BIGINT AS last_one, 0::BIGINT AS sent, []::BIGINT[] AS starts, []::BIGINT[] AS toks FROM l
+          UNION ALL SELECT provider, rn, seq, goes, coalesce(goes, last_one), sent + (goes IS NOT NULL)::INT, list_filter(CASE WHEN goes IS NULL OR rpm + tpm = 0 THEN starts ELSE list_append(starts, goes) END, lambda x: goes - x <= 60000000),
+            list_slice(CASE WHEN goes IS NULL OR rpm + tpm = 0 THEN toks ELSE list_append(toks, tokens) END, -greatest(len(list_filter(CASE WHEN goes IS NULL OR rpm + tpm = 0 THEN starts ELSE list_append(starts, goes) END, lambda x: goes - x <= 60000000)), 1), -1) FROM (
+            SELECT *, CASE WHEN rpd > 0 AND sent >= rpd THEN NULL ELSE greatest(t, CASE WHEN t - starts[k] <= 60000000 THEN starts[k] + 60250000 ELSE t END) END AS goes FROM (
+              SELECT s.provider, c.rn, c.seq, c.tokens, l.rpm, l.tpm, l.rpd, s.starts, s.toks, s.sent, s.last_one, greatest(1700000000000000, s.last_one) AS t,
+                greatest(CASE WHEN l.rpm > 0 THEN len(s.starts) - l.rpm + 1 ELSE 0 END, CASE WHEN l.tpm = 0 THEN 0 WHEN c.tokens >= l.tpm THEN len(s.starts) ELSE coalesce(list_max(list_filter(range(1, len(s.starts) + 1), lambda j: list_sum(s.toks[j:]) + c.tokens > l.tpm)), 0) END, 0) AS k
+              FROM s JOIN c ON c.provider = s.provider AND c.rn = s.rn + 1 JOIN l ON l.provider = s.provider)))
+        SELECT provider, seq, goes / 1000000 AS start FROM s WHERE rn > 0""",
     "quota_wait": f"""WITH {I.CALLS_SQL}, {_LIMITS}, r AS (SELECT scope, provider, event_id AS request_id, ts + 60.0 AS now, tokens, rpm, tpm, rpd FROM calls JOIN limits USING (provider)),
         w AS (SELECT r.*, c.ts AS t, c.tokens AS k, r.now - c.ts <= 21600 AS recent, {_day('c.ts', _HOURS.replace('provider', 'r.provider'))} = {_day('r.now', _HOURS.replace('provider', 'r.provider'))} AS today FROM r LEFT JOIN calls c ON c.scope = r.scope AND c.provider = r.provider AND c.ts <= r.now),
         a AS (SELECT request_id, now, tokens, rpm, tpm, rpd, count(*) FILTER (WHERE today) AS rpd_used, count(*) FILTER (WHERE recent) AS rpm_used, coalesce(sum(k) FILTER (WHERE recent), 0)::BIGINT AS tpm_used, min(t) FILTER (WHERE recent) AS oldest FROM w GROUP BY ALL),
