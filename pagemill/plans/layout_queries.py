@@ -13,6 +13,22 @@ from pagemill.operators import rooms as RM
 from pagemill.operators import ruled as RU
 from pagemill.operators import tables as TB
 from pagemill.plans import inputs as I
+from pagemill.session import kept
+
+
+def span_lines(spark, d: str) -> DataFrame:
+    """Lines put together from two spans each, the first half bold by its flags, the second one italic by its font; the
+    longer one, the first of equals, gives the style. A span of the next line's number has no letter."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    place = [*L.PAGE, F.lit(0).alias("block_no"), "line_no", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]]
+
+    def span(no: int, text: F.Column, size: float, flags: int, font: str) -> F.Column:
+        return F.struct(F.lit(no).alias("span_no"), text.alias("text"), F.lit(size).alias("size"), F.lit(flags).alias("flags"), F.lit(font).alias("font"), F.lit(no).alias("color"))
+
+    both = F.array(span(0, F.substring(F.col("text"), F.lit(1), half), 10.04, 20, "Serif"), span(1, F.substring(F.col("text"), half + 1, F.length("text")), 9.96, 0, "Sans-Oblique"))
+    spans = I.lines(spark, d).select(*place, F.inline(both))
+    rules = spans.filter("span_no = 0").withColumns({"line_no": F.col("line_no") + 1_000_000, "text": F.lit("12 - 34")})
+    return L.make_lines(spans.unionByName(rules)).select("doc_id", "page_index", "line_no", "text", "size", "bold", "italic", "serif", "color")
 
 
 def dominant_size(spark, d: str) -> DataFrame:
@@ -155,7 +171,7 @@ def classified_lines(spark, d: str) -> DataFrame:
 
 
 def _document(spark, d: str) -> DataFrame:
-    lines = I.lines(spark, d)
+    lines = kept(I.lines(spark, d), "input")  # pages, drawings and images are made from them
     return D.analyze(lines.drop("kind"), I.pages_of(lines), I.drawings(lines), I.images(lines))
 
 
@@ -181,7 +197,7 @@ def erase_boxes(spark, d: str) -> DataFrame:
     return R.erase_boxes(_document(spark, d)).select("doc_id", "page_index", "rect.*").distinct()
 
 
-QUERIES = {f.__name__: f for f in (dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, linked_lines, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, ruled_tables, ruled_cells, ruled_regions, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
+QUERIES = {f.__name__: f for f in (span_lines, dominant_size, dominant_style, column_assign, repeated_edges, reading_order, paragraph_groups, block_texts, block_boxes, linked_blocks, linked_lines, draw_plans, table_columns, table_cells, spatial_containment, lines_inside, free_space, rect_merge, ruled_tables, ruled_cells, ruled_regions, classified_lines, document_blocks, document_lines, document_labels, erase_boxes)}
 
 _W = I.WS
 _COLS = I.GEOMETRY_SQL + """,
@@ -222,6 +238,16 @@ tab AS (SELECT doc_id, page_index, count(*) AS n, max(x1) AS x1, max(y1) AS y1,
 ORACLES = {
     "ruled_cells": f"WITH {I.GEOMETRY_SQL}{_GRID} SELECT doc_id, page_index, 0 AS table_no, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM cell",
     "ruled_tables": f"WITH {I.GEOMETRY_SQL}{_GRID} SELECT doc_id, page_index, 0 AS table_no, n::INTEGER AS cells, 40::DOUBLE AS x0, 57::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM tab",
+    "span_lines": f"""WITH {I.GEOMETRY_SQL}, n AS (SELECT *, length(text) % 2 = 0 AS even FROM lines)
+        SELECT doc_id, page_index, line_no, {I.sql_clean("text")} AS text, 10.0::DOUBLE AS size, even AS bold, NOT even AS italic, even AS serif, CASE WHEN even THEN 0 ELSE 1 END AS color FROM n""",
+    "rect_merge": f"""WITH RECURSIVE {I.GEOMETRY_SQL},
+        o AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y0, x0, x1) AS rn, {{'x0': x0::DOUBLE, 'y0': y0::DOUBLE, 'x1': x1::DOUBLE, 'y1': y1::DOUBLE + 10}} AS r FROM lines),
+        f AS (SELECT doc_id, page_index, rn, [r] AS kept FROM o WHERE rn = 1
+          UNION ALL SELECT doc_id, page_index, rn, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(kept, r) ELSE list_transform(kept, lambda k, i: CASE WHEN i = hit THEN {{'x0': least(k.x0, r.x0), 'y0': least(k.y0, r.y0), 'x1': greatest(k.x1, r.x1), 'y1': greatest(k.y1, r.y1)}} ELSE k END) END FROM (
+            SELECT o.doc_id, o.page_index, o.rn, o.r, f.kept, list_position(list_transform(f.kept, lambda k: greatest(least(k.x1, o.r.x1) - greatest(k.x0, o.r.x0), 0) * greatest(least(k.y1, o.r.y1) - greatest(k.y0, o.r.y0), 0) / least((k.x1 - k.x0) * (k.y1 - k.y0), (o.r.x1 - o.r.x0) * (o.r.y1 - o.r.y0)) > 0.15::DOUBLE), true) AS hit
+            FROM f JOIN o ON o.doc_id = f.doc_id AND o.page_index = f.page_index AND o.rn = f.rn + 1)),
+        e AS (SELECT doc_id, page_index, arg_max(kept, rn) AS kept FROM f GROUP BY ALL)
+        SELECT doc_id, page_index, (unnest(range(1, len(kept) + 1)) - 1)::INTEGER AS ord, unnest(kept).x0 AS x0, unnest(kept).y0 AS y0, unnest(kept).x1 AS x1, unnest(kept).y1 AS y1 FROM e""",
     "ruled_regions": f"""WITH {I.GEOMETRY_SQL}{_GRID},
         clustered AS (SELECT g.doc_id, g.page_index, count(*) AS n FROM grid g JOIN lines l ON l.doc_id = g.doc_id AND l.page_index = g.page_index WHERE r >= 2 AND greatest(least(l.x1, 40 + 90 * c) - greatest(l.x0, 86), 0) * greatest(least(l.y1, 57.5 + 16 * r) - greatest(l.y0, 57.5), 0) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.6::DOUBLE GROUP BY ALL),
         region AS (SELECT t.doc_id, t.page_index, t.x1, t.y1 + CASE WHEN k.n >= 2 THEN 0.5 ELSE 0 END AS y1 FROM tab t LEFT JOIN clustered k USING (doc_id, page_index))
