@@ -225,6 +225,24 @@ c AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id, page_index ORDER BY x0, l
 g AS (SELECT doc_id, page_index, col_no, min(x0) AS col_x0, max(x1) AS mx FROM c GROUP BY ALL),
 h AS (SELECT *, greatest(mx, coalesce(lead(col_x0) OVER (PARTITION BY doc_id, page_index ORDER BY col_no) - 4.0, mx)) AS col_x1 FROM g)"""
 
+_BOXES = _GROUPS + rf""",
+w AS (SELECT doc_id, page_index, size, sum(length(text)) AS n, min(line_no) AS s FROM lines GROUP BY ALL),
+body AS (SELECT doc_id, page_index, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n DESC, s) AS k FROM w) WHERE k = 1),
+boxed AS (SELECT doc_id, page_index, group_no, count(*) AS n, list({{'a': x0::DOUBLE, 'b': y0::DOUBLE, 'c': x1::DOUBLE, 'd': y1::DOUBLE}}) AS own, min(x0)::DOUBLE AS bx0, min(y0)::DOUBLE AS top, max(x1)::DOUBLE AS bx1, max(y1)::DOUBLE AS bottom,
+  arg_min("left", read_no)::DOUBLE AS l, arg_min("right", read_no)::DOUBLE AS r, arg_min(text, read_no) AS head, arg_min(size, read_no)::DOUBLE AS size, arg_min(x0, read_no)::DOUBLE AS fx, arg_min(y0, read_no)::DOUBLE AS fy, arg_max(y0, read_no)::DOUBLE AS ly FROM groups GROUP BY ALL),
+kinded AS (SELECT *, CASE WHEN n < 2 THEN 1.15::DOUBLE ELSE least(greatest((ly - fy) / (n - 1) / greatest(size, 1), 0.95::DOUBLE), 2) END AS line_height,
+  CASE WHEN NOT regexp_matches(head, '^{_W}*([•▪◦‣∙·–—*]|\p{{Nd}}{{1,2}}[.)]|[a-z][.)]){_W}+') AND size >= body_size * 1.12::DOUBLE AND n <= 3 THEN bx0 ELSE least(bx0, l) END AS ix0, top - 1 AS iy0, greatest(r, bx1) AS ix1, bottom + 1 AS iy1 FROM boxed JOIN body USING (doc_id, page_index)),
+beside AS (SELECT k.doc_id, k.page_index, k.group_no, greatest(0, coalesce(max(o.x1) FILTER (WHERE o.x1 <= bx0) + 3, 0))::DOUBLE AS ll, least(600, coalesce(min(o.x0) FILTER (WHERE o.x1 > bx0 AND o.x0 >= bx1) - 3, 600))::DOUBLE AS rl
+  FROM kinded k LEFT JOIN lines o ON o.doc_id = k.doc_id AND o.page_index = k.page_index AND o.y1 > top AND o.y0 < bottom AND NOT list_contains(own, {{'a': o.x0::DOUBLE, 'b': o.y0::DOUBLE, 'c': o.x1::DOUBLE, 'd': o.y1::DOUBLE}}) GROUP BY ALL),
+fitted AS (SELECT k.*, least(greatest(ix0, ll), bx0) AS x0, greatest(least(ix1, rl), bx1) AS x1 FROM kinded k JOIN beside USING (doc_id, page_index, group_no)),
+freed AS (SELECT k.doc_id, k.page_index, k.group_no, max(o.y1) FILTER (WHERE o.y1 <= iy0 + 1)::DOUBLE AS above, min(o.y0) FILTER (WHERE o.y0 >= iy1 - 1)::DOUBLE AS below
+  FROM fitted k LEFT JOIN lines o ON o.doc_id = k.doc_id AND o.page_index = k.page_index AND (least(k.x1, o.x1) - greatest(k.x0, o.x0)) / least(k.x1 - k.x0, o.x1 - o.x0) >= 0.15::DOUBLE AND NOT list_contains(own, {{'a': o.x0::DOUBLE, 'b': o.y0::DOUBLE, 'c': o.x1::DOUBLE, 'd': o.y1::DOUBLE}}) GROUP BY ALL),
+room AS (SELECT k.*, greatest(least(792 * 0.97::DOUBLE, coalesce(below - 2, 1e9)), iy1) AS free_bottom, least(greatest(0, coalesce(above + 2, 0)), iy0) AS free_top,
+  greatest(line_height, 1) * greatest(size, 1) AS pitch FROM fitted k JOIN freed USING (doc_id, page_index, group_no)),
+led AS (SELECT *, greatest(0, pitch - (iy1 - iy0) / n) / 2 AS lead FROM room),
+flows AS (SELECT *, greatest(iy0 - lead, free_top) AS y0 FROM led),
+boxes AS (SELECT doc_id, page_index, group_no::BIGINT AS block_no, 'p' || page_index || '_x' || fx::INT || '_y' || fy::INT || '_n' || n AS block_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, least(greatest(iy1 + lead, y0 + n * pitch), greatest(free_bottom, iy1))::DOUBLE AS y1, free_bottom::DOUBLE AS max_bottom, line_height::DOUBLE AS line_height FROM flows)"""
+
 _UNITS = rf""", spot AS (SELECT *, x0 = 310 AND line_no % 20 < 5 AS on_shape, x0 = 310 AND line_no % 20 >= 15 AS on_image,
     lower({I.sql_strip(f"regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '{I.WS}+', ' ', 'g')")}) AS key, y0 < 792 * 0.12::DOUBLE OR y1 > 792 * 0.88::DOUBLE AS margin FROM lines),
 often AS (SELECT doc_id, key FROM spot WHERE margin AND key <> '' GROUP BY ALL HAVING count(DISTINCT page_index) >= 3),
@@ -238,6 +256,15 @@ tab AS (SELECT doc_id, page_index, count(*) AS n, max(x1) AS x1, max(y1) AS y1,
 ORACLES = {
     "ruled_cells": f"WITH {I.GEOMETRY_SQL}{_GRID} SELECT doc_id, page_index, 0 AS table_no, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM cell",
     "ruled_tables": f"WITH {I.GEOMETRY_SQL}{_GRID} SELECT doc_id, page_index, 0 AS table_no, n::INTEGER AS cells, 40::DOUBLE AS x0, 57::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM tab",
+    "block_boxes": f"WITH {_BOXES} SELECT * FROM boxes",
+    "linked_blocks": rf"""WITH {_BOXES},
+        joined AS (SELECT doc_id, page_index, group_no, arg_min(text, read_no) AS head, arg_min(size, read_no) AS size, count(*) AS n, string_agg(text, ' ' ORDER BY read_no) AS text FROM groups GROUP BY ALL),
+        whole AS (SELECT t.doc_id, t.page_index, t.group_no::BIGINT AS block_no, t.size, t.n, t.text, b.x0, b.x1, b.y0, b.y1, CASE WHEN regexp_matches(head, '^{_W}*([•▪◦‣∙·–—*]|\p{{Nd}}{{1,2}}[.)]|[a-z][.)]){_W}+') THEN 'list_item' WHEN t.size >= body_size * 1.12::DOUBLE AND n <= 3 THEN 'heading' ELSE 'paragraph' END AS kind
+          FROM joined t JOIN body USING (doc_id, page_index) JOIN boxes b ON b.doc_id = t.doc_id AND b.page_index = t.page_index AND b.block_no = t.group_no),
+        before AS (SELECT *, lag(page_index) OVER w AS pp, lag(x1) OVER w AS px, lag(y1) OVER w AS py, lag(text) OVER w AS pt, lag(kind) OVER w AS pk, lag(size) OVER w AS ps FROM whole WHERE kind <> 'heading' WINDOW w AS (PARTITION BY doc_id ORDER BY page_index, block_no)),
+        chained AS (SELECT *, sum((NOT coalesce(pk = kind AND abs(ps - size) <= 0.6 AND py >= 594 AND NOT regexp_matches(pt, '[.!?]{_W}*[\x22\x27\x27”’)\]}}»›]*{_W}*$') AND regexp_matches(text, '^\p{{Ll}}') AND CASE WHEN pp = page_index THEN x0 > px - 1 ELSE page_index = pp + 1 AND y0 <= 198 END, false))::INT) OVER (PARTITION BY doc_id ORDER BY page_index, block_no) AS chain FROM before)
+        SELECT doc_id, arg_min(page_index, (page_index, block_no)) AS page_index, arg_min(block_no, (page_index, block_no)) AS block_no, any_value(kind) AS kind, count(*)::INTEGER AS parts, string_agg(text, ' ' ORDER BY page_index, block_no) AS text, sum(n)::INTEGER AS line_count FROM chained GROUP BY doc_id, chain
+        UNION ALL SELECT doc_id, page_index, block_no, kind, 1, text, n::INTEGER FROM whole WHERE kind = 'heading'""",
     "span_lines": f"""WITH {I.GEOMETRY_SQL}, n AS (SELECT *, length(text) % 2 = 0 AS even FROM lines)
         SELECT doc_id, page_index, line_no, {I.sql_clean("text")} AS text, 10.0::DOUBLE AS size, even AS bold, NOT even AS italic, even AS serif, CASE WHEN even THEN 0 ELSE 1 END AS color FROM n""",
     "rect_merge": f"""WITH RECURSIVE {I.GEOMETRY_SQL},
