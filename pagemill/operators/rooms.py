@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE = ["doc_id", "page_index"]
@@ -99,7 +100,9 @@ def _swept(blocks: DataFrame, occupied: DataFrame, names: list[str], around) ->
             out = out.append_column(n, pa.array(values, pa.float64()))
         return out
 
-    return blocks.groupBy(*PAGE).cogroup(occupied.select(*PAGE, "owner", "rect").groupBy(*PAGE)).applyInArrow(sweep, schema)
+    # Names of their own, as both sides may come from the same lines.
+    others = occupied.select(*[F.col(p).alias(f"_{p}") for p in PAGE], F.col("owner").alias("owner"), F.col("rect").alias("rect"))
+    return blocks.groupBy(*PAGE).cogroup(others.groupBy(*[f"_{p}" for p in PAGE])).applyInArrow(sweep, schema)
 
 
 def _sides(page: Occupied, own: list[Rect], width: float) -> tuple[float, float]:
