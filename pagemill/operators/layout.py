@@ -18,15 +18,15 @@ from pagemill.operators.rooms import room
 PAGE = ["doc_id", "page_index"]
 LEFT, RIGHT, SPAN = 0, 1, 2
 ALIGN_LEFT, ALIGN_CENTER, ALIGN_JUSTIFY = 0, 1, 3
+# Kinds of blocks, and shares.
 KINDS = ("paragraph", "heading", "list_item", "caption", "table_title", "table_cell", "footnote", "figure_label", "page_furniture")
 FLOWING = ("paragraph", "list_item", "footnote")
 BORROWING = ("paragraph", "list_item", "caption", "heading", "table_title", "table_cell", "footnote")
 NOT_BODY = ("table_cell", "figure_label")
 STYLE = ("size", "bold", "italic", "serif", "color")
+SPAN_SHARE, BOX_SHARE, FIGURE_SHARE, TABLE_SHARE = 0.72, 0.75, 0.55, 0.6
 #: Height of the bands of a page in which lines and shapes look for each other.
 BAND = 128.0
-# Fixed values.
-SPAN_SHARE, BOX_SHARE, FIGURE_SHARE, TABLE_SHARE = 0.72, 0.75, 0.55, 0.6
 
 
 def box(prefix: str = "") -> Column:

@@ -63,3 +63,15 @@ def test_a_stream_into_the_cache(spark, tmp_path):
         q = cache.upsert_stream(spark.readStream.schema(ROWS).parquet(str(tmp_path / "in")), str(tmp_path / "c"), 2.0)
         assert q.awaitTermination(120) and q.exception() is None
     assert sorted((r.source_text, r.translated_text, r.created_at) for r in cache.rows().collect()) == [("x", "b:x", 1.0), ("y", "b:y", 2.0)]
+
+
+def test_what_was_kept_can_be_removed(spark):
+    from pagemill import session
+
+    held, session._KEPT[:] = list(session._KEPT), []
+    df = session.kept(spark.range(3), "three")
+    path = session._KEPT[0]
+    assert df.count() == 3 and os.path.exists(path)
+    session.forget(spark)
+    assert not os.path.exists(path) and not session._KEPT
+    session._KEPT.extend(held)
