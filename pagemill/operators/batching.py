@@ -102,7 +102,8 @@ def numbered_batches(items: DataFrame, keys: list[str], order: list[str], into:
     if most > BLOCK:
         raise ValueError(f"a batch has at most {BLOCK} items")
     limits = (into, out, most, overhead)
-    placed = kept(numbered(items, keys, order, "_at").withColumn("_block", F.expr(f"_at div {BLOCK}")), "items")
+    # Ranges are drawn from a pass of their own, which would size every item once more.
+    placed = kept(numbered(kept(items, "sized"), keys, order, "_at").withColumn("_block", F.expr(f"_at div {BLOCK}")), "items")
     group = [*keys, "_block"]
     large = placed.filter(F.col("_at") >= BLOCK)
     if large.isEmpty():

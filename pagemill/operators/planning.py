@@ -15,9 +15,9 @@ from pagemill.operators.batching import numbered_batches
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and text of each line that holds a letter once cleaned."""
+    """doc_id, line_no (from 0) and text of each line that holds a letter, which cleaning neither takes nor adds."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", X.clean(F.col("raw")).alias("text")).filter(X.has_letter(F.col("text")))
+    return lines.filter(X.has_letter(F.col("raw"))).select("doc_id", "line_no", X.clean(F.col("raw")).alias("text"))
 
 
 def unique_texts(units: DataFrame, keys: list[str], seq: str = "line_no") -> DataFrame:
@@ -41,7 +41,9 @@ def cache_misses(units: DataFrame, cache: DataFrame, user: str = "global") -> Da
 
 
 def with_tokens(units: DataFrame) -> DataFrame:
-    return units.withColumns({"input_tokens": X.item_input_tokens(F.col("text")), "output_tokens": X.output_tokens(F.col("text"))})
+    """units with input_tokens and output_tokens; a text's own tokens are counted once for both."""
+    sized = units.withColumn("_source", X.source_tokens(F.col("text")))
+    return sized.withColumns({"input_tokens": X.item_input(F.col("_source")), "output_tokens": X.output(F.col("_source"))}).drop("_source")
 
 
 def batches(items: DataFrame, keys: list[str], seq: str, tpm: int, max_output: int, max_items: int = 200) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import secrets as S
 from pagemill.functions import text as X
+from pagemill.operators import planning as P
 
 
 def one(spark, fn, *values):
@@ -86,3 +87,18 @@ def test_secrets(spark):
     assert spark.createDataFrame([(old("y", own),)], "s string").select(S.unseal(F.col("s"), key, own)).first()[0] == "y"
     long = b"k" * 100
     assert spark.createDataFrame([(bytearray(b"m"),)], "m binary").select(S.keyed_digest(long, F.col("m"))).first()[0] == mac(long, b"m")
+
+
+def test_lines_are_cleaned_once_and_blank_runs_go_as_their_pattern_says(spark):
+    signs = [chr(c) for c in range(1, 0x3100)]
+    got = spark.createDataFrame([(f"{c}a{c}{c}b{c}",) for c in signs], "c string").select("c", X.strip(F.col("c")).alias("s"), F.regexp_replace("c", rf"^{X.SPACE}+|{X.SPACE}+$", "").alias("r")).collect()
+    assert [x["s"] for x in got] == [x["r"] for x in got]
+    # The filter and the text had five patterns each.
+    plan = P.explode_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
+def test_a_text_is_sized_once_for_both_of_its_token_counts(spark):
+    units = P.unique_texts(spark.createDataFrame([(1, 0, "a b")], "doc_id long, line_no int, text string"), ["doc_id"])
+    plan = P.with_tokens(units)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
