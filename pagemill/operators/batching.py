@@ -11,32 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.folds import fold, numbered, starts
+from pagemill.operators.folds import fold, numbered, starts, whole_groups
 from pagemill.session import kept
 
 #: Items of a job that one task takes at a time; more than a batch has.
 BLOCK = 1 << 14
 
 
-def _whole_groups(batches, names: list[str]):
-    """Tables of whole groups, equal in names, out of ordered batches: a group that ends with its batch waits for the
-    next one."""
-    import pyarrow as pa
-
-    held = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        table = pa.Table.from_batches(held).combine_chunks()
-        last = int(np.flatnonzero(starts(table, names))[-1])
-        if last:
-            yield table.slice(0, last).combine_chunks()
-        held = table.slice(last).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _numbers(table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
@@ -66,7 +47,7 @@ def _jumps(items: DataFrame, keys: list[str], limits: tuple) -> DataFrame:
     def jump(batches):
         import pyarrow as pa
 
-        for table in _whole_groups(batches, group):
+        for table in whole_groups(batches, group):
             first = np.flatnonzero(starts(table, group))
             sizes = np.diff(np.append(first, table.num_rows))
             to, inside = _ends(table, first, *limits), _numbers(table, "_at") // BLOCK == _numbers(table, "_block")
@@ -125,7 +106,7 @@ def numbered_batches(items: DataFrame, keys: list[str], order: list[str], into:
     def number(batches):
         import pyarrow as pa
 
-        for table in _whole_groups(batches, group):
+        for table in whole_groups(batches, group):
             first = np.flatnonzero(starts(table, group))
             sizes, to, entry = np.diff(np.append(first, table.num_rows)), _ends(table, first, *limits), _numbers(table, "_entry")[first]
             begins, at, end = np.zeros(table.num_rows, np.int64), first + (entry & ((1 << 20) - 1)), first + sizes

@@ -51,6 +51,25 @@ def starts(rows, names: list[str]) -> np.ndarray:
     return new
 
 
+def whole_groups(batches, names: list[str]):
+    """Tables of whole groups, equal in names, out of ordered batches: a group that ends with its batch waits for the
+    next one."""
+    import pyarrow as pa
+
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = int(np.flatnonzero(starts(table, names))[-1])
+        if last:
+            yield table.slice(0, last).combine_chunks()
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """df with `out`: the row's place within its group (keys), from 0, in order.
 

@@ -89,3 +89,18 @@ def test_shapes_that_cross_bands_hold_a_line_once(spark):
     shapes = spark.createDataFrame([(1, 0, "a", 0, (0.0, -300.0, 600.0, 900.0)), (1, 0, "b", 1, (0.0, 120.0, 600.0, 130.0))], f"doc_id long, page_index int, shape string, ord int, rect {RECT}")
     got = sorted((x.shape, x.line_no) for x in L._inside(lines, shapes, 0.2).collect())
     assert got == [("a", i) for i in range(20)] + [("b", 0), ("b", 1), ("b", 2)]
+
+
+def test_many_pages_stream_by_together_small_and_large(spark):
+    r = random.Random(2)
+    pages = []
+    for p in range(60):
+        occupied = made(r, 700 if p in (7, 8, 30) else r.randrange(0, 12))
+        blocks = [(1, p, i, q, q, [q], 600.0, 792.0) for i, (_, q) in enumerate(occupied[:15])]
+        pages.append((p, blocks, occupied))
+    blocks, occupied = frames(spark, pages)
+    out = R.free_space(R.horizontal_room(blocks, occupied), occupied)
+    # A grouping by page would call Python for every page.
+    assert "FlatMapCoGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(x.page_index, x.block_no): (x.left_limit, x.right_limit, x.free_top, x.free_bottom) for x in out.collect()}
+    assert got == {(p, b[2]): brute(b, rects) for p, bs, rects in pages for b in bs}
