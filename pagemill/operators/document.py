@@ -29,10 +29,10 @@ def occupied(lines: DataFrame, drawings: DataFrame, images: DataFrame) -> DataFr
 
 def classified(lines: DataFrame, pages: DataFrame, tables: DataFrame, boxes: DataFrame, drawings: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines with kind, table_id, box_id and column, before and after page furniture is marked. Body sizes and columns
-    are measured before."""
+    are measured before. The first ones are written, as the second ones look at them twice."""
     shapes = L.figures(images).select(*PAGE, F.lit("figure").alias("shape"), F.lit(0).alias("ord"), L.box().alias("rect"))
-    placed = L.assign_columns(L.classify(lines.drop("kind"), tables, boxes, shapes, L.footnote_rule(drawings, pages)))
-    return placed, L.mark_furniture(placed, pages)
+    placed = kept(L.assign_columns(L.classify(lines.drop("kind"), tables, boxes, shapes, L.footnote_rule(drawings, pages))), "classified")
+    return placed, kept(L.mark_furniture(placed, pages), "marked")
 
 
 def _area() -> Column:
@@ -62,7 +62,7 @@ def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: Dat
     it: cells of tables, loose labels, labels in boxes. found: tables found elsewhere (page, rect)."""
     lines, pages = kept(lines, "lines"), kept(pages, "pages")
     tables, boxes = kept(TB.regions(drawings, pages, lines, found), "tables"), kept(L.closed_boxes(drawings, pages, lines), "boxes")
-    placed, marked = (kept(x, "classified") for x in classified(lines, pages, tables, boxes, drawings, images))
+    placed, marked = classified(lines, pages, tables, boxes, drawings, images)
     sizes, bounds = kept(L.dominant_size(placed), "sizes"), kept(L.column_bounds(placed), "bounds")
     room = occupied(lines, drawings, images)
     body = L.reading_order(marked)

@@ -117,8 +117,8 @@ def mark_furniture(lines: DataFrame, pages: DataFrame, least: int = 3) -> DataFr
     whatever they were, in documents of that many pages. table_id stays as it was."""
     n_pages = pages.groupBy("doc_id").agg(F.countDistinct("page_index").alias("_pages"))
     sized = lines.join(pages.select(*PAGE, F.col("height").alias("_height")), PAGE).join(n_pages, "doc_id")
-    keyed = sized.withColumn("_key", F.when(G.in_margin(F.col("y0"), F.col("y1"), F.col("_height")), F.nullif(X.furniture_key(F.col("text")), F.lit(""))))
-    often = keyed.filter("_key IS NOT NULL").groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_often")).agg(F.countDistinct("page_index").alias("_n")).filter(F.col("_n") >= least)
+    keyed = sized.withColumn("_key", F.when(G.in_margin(F.col("y0"), F.col("y1"), F.col("_height")), X.furniture_key(F.col("text"))))
+    often = keyed.filter("_key <> ''").groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_often")).agg(F.countDistinct("page_index").alias("_n")).filter(F.col("_n") >= least)
     hit = keyed.join(often, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_often")), "left")
     return hit.withColumn("kind", F.when(F.col("_often").isNotNull() & (F.col("_pages") >= least), "page_furniture").otherwise(F.col("kind"))).select(*lines.columns)
 

@@ -171,3 +171,13 @@ def test_a_document_from_blocks_to_pages(spark):
     assert len(erased) == 10 and all(r["rect"]["x1"] > r["rect"]["x0"] for r in erased)
     none = blocks.filter("false")
     assert D.drawn(none, t).count() == 0 and R.erase_boxes(none).count() == 0
+
+
+def test_furniture_keys_are_reckoned_from_written_lines(spark, tmp_path):
+    ls, ps = lines(spark, [("Title", 50, 60, 200, 74, 14), ("more text", 50, 100, 290, 110)]), pages(spark)
+    none = spark.createDataFrame([], "doc_id long, page_index int, shape string, ord int, rect struct<x0:double,y0:double,x1:double,y1:double>")
+    drawings = spark.createDataFrame([], "doc_id long, page_index int, drawing_no int, x0 double, y0 double, x1 double, y1 double, type string, fill int")
+    images = spark.createDataFrame([], "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    placed, marked = D.classified(ls, ps, none, none, drawings, images)
+    for df in (placed, marked):
+        assert df.count() == 2 and "Join" not in df._jdf.queryExecution().executedPlan().toString()
