@@ -19,19 +19,27 @@ NARROW, WIDE = "iljtf.,:;'|!()[] ", "mwMW@%"
 PLAN = T.StructType([T.StructField("size", T.DoubleType()), T.StructField("line_height", T.DoubleType()), T.StructField("borrowed", T.BooleanType()), T.StructField("chunks", T.ArrayType(T.StringType())), T.StructField("overflow", T.BooleanType())])
 
 
+def ems(s: str) -> float:
+    """The width of a text in ems."""
+    return sum(0.3 if c in NARROW else 0.85 if c in WIDE else 0.62 if c.isupper() else 0.5 for c in s)
+
+
 def text_width(s: str, size: float) -> float:
-    return size * sum(0.3 if c in NARROW else 0.85 if c in WIDE else 0.62 if c.isupper() else 0.5 for c in s)
+    return size * ems(s)
 
 
-def pour(words: list[str], rects: list[tuple[float, float]], size: float, pitch: float) -> tuple[list[str], int]:
-    """Words set line by line into boxes (width, height) in turn; the text of each box and how many words fit."""
+def pour(words: list[str], rects: list[tuple[float, float]], size: float, pitch: float, wide: list[float] | None = None) -> tuple[list[str], int]:
+    """Words (of ems wide) set line by line into boxes (width, height) in turn; the text of each box and how many words
+    fit."""
+    wide = [ems(w) for w in words] if wide is None else wide
+    blank = text_width(" ", size)
     out, at = [], 0
     for w, h in rects:
         start, rows = at, max(int((h + 1e-6) // (pitch * size)), 0)
         for _ in range(rows):
             x, first = 0.0, True
             while at < len(words):
-                more = text_width(words[at], size) + (0 if first else text_width(" ", size))
+                more = size * wide[at] + (0 if first else blank)
                 if x + more > w + 1e-6:
                     break
                 x, first, at = x + more, False, at + 1
@@ -41,6 +49,14 @@ def pour(words: list[str], rects: list[tuple[float, float]], size: float, pitch:
     return out, at
 
 
+def too_much(n: int, total: float, rects: list[tuple[float, float]], size: float, pitch: float) -> bool:
+    """Whether n words of total ems can't fit into boxes however their lines fall: every word and, but for one a line,
+    every blank is wider than all lines together."""
+    rows = [max(int((h + 1e-6) // (pitch * size)), 0) for _, h in rects]
+    most = sum(k * (max(w, 0.0) + 1e-6) for k, (w, _) in zip(rows, rects, strict=True))
+    return size * total + text_width(" ", size) * max(n - sum(rows), 0) > most * (1 + 1e-9) + 1e-6
+
+
 def settings(size: float, line: float, borrows: bool) -> list[tuple[float, float, float, bool]]:
     """What is tried in turn: font size, line pitch it is set at, line height it is drawn at, and whether room below is
     borrowed. Sizes down to 85 % come first, within the boxes and then with what may be borrowed; then half a point
@@ -54,12 +70,18 @@ def settings(size: float, line: float, borrows: bool) -> list[tuple[float, float
     return table + [(s, tight(s / max(size, 1.0)), LEAST_LINE, borrows) for s in small]
 
 
-def fit(text: str, size: float, line: float, areas: list[tuple[float, float, float]], borrows: bool) -> tuple:
+def fit(text: str, size: float, line: float, areas: list[tuple[float, float, float]], borrows: bool, known: dict[str, float] | None = None) -> tuple:
     """The first of settings() that holds all words; the last one, with the rest in the last box, if none does.
-    areas: width, height, height with what may be borrowed."""
-    words = text.split()
-    for s, pitch, drawn, way in settings(size, line, borrows):
-        chunks, n = pour(words, [(w, more if way else h) for w, h, more in areas], s, pitch)
+    areas: width, height, height with what may be borrowed. known: ems of words so far, as a word is measured once."""
+    words, known = text.split(), {} if known is None else known
+    known.update((w, ems(w)) for w in words if w not in known)
+    wide = [known[w] for w in words]
+    total, tried = sum(wide), settings(size, line, borrows)
+    for k, (s, pitch, drawn, way) in enumerate(tried, 1):
+        rects = [(w, more if way else h) for w, h, more in areas]
+        if k < len(tried) and too_much(len(words), total, rects, s, pitch):
+            continue
+        chunks, n = pour(words, rects, s, pitch, wide)
         if n == len(words):
             return s, drawn, way, chunks, False
     return s, drawn, way, [*chunks[:-1], " ".join([chunks[-1], *words[n:]]).strip()], True
@@ -73,7 +95,8 @@ def draw_plan(blocks: DataFrame) -> DataFrame:
     def plan(text, size, line, areas, borrows):
         import pandas as pd
 
-        rows = [fit(t or "", float(s), float(h), [(x["w"], x["h"], x["more"]) for x in a], bool(b)) for t, s, h, a, b in zip(text, size, line, areas, borrows, strict=True)]
+        known: dict[str, float] = {}
+        rows = [fit(t or "", float(s), float(h), [(x["w"], x["h"], x["more"]) for x in a], bool(b), known) for t, s, h, a, b in zip(text, size, line, areas, borrows, strict=True)]
         return pd.DataFrame(rows, columns=PLAN.names)
 
     return blocks.withColumn("plan", plan("text", "size", "line_height", areas, F.col("kind").isin(*BORROWING)))

@@ -173,6 +173,30 @@ def test_a_document_from_blocks_to_pages(spark):
     assert D.drawn(none, t).count() == 0 and R.erase_boxes(none).count() == 0
 
 
+def test_plans_pour_no_text_that_cannot_fit(spark, monkeypatch):
+    import random
+
+    r, poured = random.Random(4), []
+    real = R.pour
+    monkeypatch.setattr(R, "pour", lambda words, *a: poured.append(len(words)) or real(words, *a))
+    tried = 0
+    for _ in range(400):
+        words = ["".join(r.choices("iWm aBc.", k=r.randint(1, 9))) for _ in range(r.randint(0, 60))]
+        areas = [(r.uniform(-5, 250), h := r.uniform(0, 90), h + r.uniform(0, 60)) for _ in range(r.randint(1, 3))]
+        text, size, line, borrows = " ".join(words), r.choice([5.0, 8.0, 10.0, 14.0]), 1.15, r.random() < 0.5
+        got = R.fit(text, size, line, areas, borrows)
+        for s, pitch, drawn, way in R.settings(size, line, borrows):
+            tried += 1
+            rects = [(w, more if way else h) for w, h, more in areas]
+            chunks, n = real(text.split(), rects, s, pitch)
+            if n == len(text.split()):
+                assert got == (s, drawn, way, chunks, False)
+                break
+        else:
+            assert got[4] and got[:3] == (s, drawn, way)
+    assert len(poured) < tried / 2
+
+
 def test_furniture_keys_are_reckoned_from_written_lines(spark, tmp_path):
     ls, ps = lines(spark, [("Title", 50, 60, 200, 74, 14), ("more text", 50, 100, 290, 110)]), pages(spark)
     none = spark.createDataFrame([], "doc_id long, page_index int, shape string, ord int, rect struct<x0:double,y0:double,x1:double,y1:double>")
