@@ -7,11 +7,13 @@ than 2.5 is an edge; any other one stands for the four sides of its rectangle.""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pagemill.operators.folds import starts, whole_groups
 from pagemill.operators.layout import PAGE
 
 # How far apart edges are one, ends are joined and lines meet, and how long an edge is at least.
@@ -91,9 +93,7 @@ def cells_of_tables(found: DataFrame) -> DataFrame:
     names = ("x0", "y0", "x1", "y1")
     schema = T.StructType([*[T.StructField(p, kinds[p]) for p in PAGE], T.StructField("table_no", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names]])
 
-    def number(key, table):
-        import pyarrow as pa
-
+    def numbered(table):
         boxes = sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True), key=lambda b: (b[1], b[0]))
         root = list(range(len(boxes)))
 
@@ -110,10 +110,21 @@ def cells_of_tables(found: DataFrame) -> DataFrame:
                 root[max(a, b)] = min(a, b)
         numbers: dict = {}
         of = [numbers.setdefault(top(i), len(numbers)) for i in range(len(boxes))]
-        page = {p: pa.array([k.as_py()] * len(boxes), table.schema.field(p).type) for p, k in zip(PAGE, key, strict=True)}
-        return pa.table(page | {"table_no": pa.array(of, pa.int32())} | {c: pa.array([b[i] for b in boxes], pa.float64()) for i, c in enumerate(names)})
+        return of, boxes
+
+    def number(batches):
+        import pyarrow as pa
+
+        for table in whole_groups(batches, PAGE):
+            first = np.flatnonzero(starts(table, PAGE))
+            sizes = np.diff(np.append(first, table.num_rows))
+            pages = [numbered(table.slice(f, n)) for f, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+            boxes = [b for _, of in pages for b in of]
+            columns = [pa.array([n for of, _ in pages for n in of], pa.int32()), *[pa.array([b[i] for b in boxes], pa.float64()) for i in range(len(names))]]
+            # A page's cells are as many as before, so its rows' keys stand where they stood.
+            yield pa.RecordBatch.from_arrays([*[table.column(p).combine_chunks() for p in PAGE], *columns], names=schema.names)
 
-    return found.select(*PAGE, *names).groupBy(*PAGE).applyInArrow(number, schema)
+    return found.select(*PAGE, *names).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(number, schema)
 
 
 def ruled_tables(drawings: DataFrame) -> DataFrame:

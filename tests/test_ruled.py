@@ -82,3 +82,12 @@ def test_a_dense_page(spark):
     xs, ys = list(range(0, 620, 20)), list(range(0, 2020, 10))
     got = R.ruled_tables(drawn(spark, grid(xs, ys))).collect()
     assert [t.cells for t in got] == [(len(xs) - 1) * (len(ys) - 1)]
+
+
+def test_tables_of_many_pages_are_numbered_in_a_stream(spark):
+    from pagemill.operators.ruled import cells_of_tables
+
+    found = spark.createDataFrame([(1, p, 0.0 + 20 * k, 0.0, 10.0 + 20 * k, 10.0) for p in range(40) for k in range(p % 4 + 1)], "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    out = cells_of_tables(found)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.page_index, x.table_no, x.x0) for x in out.collect()) == sorted((p, k, 20.0 * k) for p in range(40) for k in range(p % 4 + 1))
