@@ -52,8 +52,10 @@ def translation_fallback(spark, d: str) -> DataFrame:
     return P.with_fallback(I.units(spark, d), known).select("doc_id", "line_no", "translation")
 
 
-def _batched(spark, d: str) -> DataFrame:
-    return P.batches(P.with_tokens(P.unique_texts(I.units(spark, d), ["doc_id"])).drop("uses"), ["doc_id"], "first_seen", TPM, MOST, ITEMS)
+def _batched(spark, d: str, *beside: str) -> DataFrame:
+    """Batches of items by their tokens; the texts themselves only go along where they are asked for."""
+    sized = P.with_tokens(P.unique_texts(I.units(spark, d), ["doc_id"]))
+    return P.batches(sized.select("doc_id", "first_seen", "input_tokens", "output_tokens", *beside), ["doc_id"], "first_seen", TPM, MOST, ITEMS)
 
 
 def batch_packing(spark, d: str) -> DataFrame:
@@ -66,14 +68,14 @@ def batch_totals(spark, d: str) -> DataFrame:
 
 def translated_batches(spark, d: str) -> DataFrame:
     """Batches sent through a stand-in provider that fails for large ones, so these are halved."""
-    t = P.translate(_batched(spark, d), ["doc_id"], P.stand_in(most=3))
+    t = P.translate(_batched(spark, d, "text"), ["doc_id"], P.stand_in(most=3))
     return t.select("doc_id", F.col("seq").cast("int").alias("first_seen"), "batch_no", "translated_text")
 
 
 def translation_plan(spark, d: str) -> DataFrame:
     """Of each document: units, texts, those cached, and batches and tokens for the rest."""
     texts = kept(P.cache_lookup(_hashed(spark, d), I.cache(spark, d)), "texts")
-    missing = P.with_tokens(texts.filter("translated_text IS NULL")).drop("uses", "hash", "translated_text")
+    missing = P.with_tokens(texts.filter("translated_text IS NULL")).select("doc_id", "first_seen", "input_tokens", "output_tokens")
     batched = P.batch_totals(P.batches(missing, ["doc_id"], "first_seen", TPM, MOST, ITEMS), ["doc_id"])
     sums = batched.groupBy("doc_id").agg(F.count("*").alias("batches"), F.sum("total_tokens").alias("total_tokens"))
     counts = texts.groupBy("doc_id").agg(F.sum("uses").alias("units"), F.count("*").alias("texts"), F.count("translated_text").alias("cached"))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,19 @@ def test_a_text_is_sized_once_for_both_of_its_token_counts(spark):
     units = P.unique_texts(spark.createDataFrame([(1, 0, "a b")], "doc_id long, line_no int, text string"), ["doc_id"])
     plan = P.with_tokens(units)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_words_are_counted_alike_with_and_without_a_pattern(spark):
+    texts = ["", " ", "a", "one two", " one", "one ", "one  two", "one\ttwo", "a\nb", "a b\n", "a\u00a0b c", "a\u2003b", "a\u1680b", "a\x1cb", "a\x85b", "\u3000a", "\u201cgr\u00fc\u00df dich\u201d \u2013 ja", "\u4f60 \u597d", "a\u200bb", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = {r["i"]: r["n"] for r in rows.select("i", X.word_count(F.col("x")).alias("n")).collect()}
+    assert got == {i: None if x is None else len([w for w in re.split(f"[{X.SPACES}]+", x) if w]) for i, x in enumerate(texts)}
+
+
+def test_queries_of_batches_keep_texts_out_of_the_sorting(spark, tmp_path):
+    from pagemill.plans import text_queries as Q
+
+    spark.createDataFrame([(1, "one two\nthree four\none two"), (2, "five")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert "text" not in Q._batched(spark, str(tmp_path)).columns
+    assert {(r["doc_id"], r["items"]) for r in Q.batch_totals(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+    assert {r["translated_text"] for r in Q.translated_batches(spark, str(tmp_path)).collect()} == {"vi:one two", "vi:three four", "vi:five"}
