@@ -5,6 +5,8 @@ line_no (their order on the page), text, x0, y0, x1, y1, size, bold, italic, ser
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,9 +64,10 @@ def figures(images: DataFrame, least: float = 4000.0) -> DataFrame:
 # ---- kinds --------------------------------------------------------------------------------------
 
 
-def _inside(lines: DataFrame, shapes: DataFrame, share: float) -> DataFrame:
-    """(page, line_no, shape, ord) of lines that lie in a shape (doc_id, page_index, shape, ord, rect) by at least share."""
-    r = shapes.select(*[F.col(c).alias(f"_{c}") for c in PAGE], "shape", "ord", "rect", F.explode(_bands(F.col("rect"))).alias("_at"))
+def _inside(lines: DataFrame, shapes: DataFrame, share: float | Column) -> DataFrame:
+    """(page, line_no, shape, ord) of lines that lie in a shape (doc_id, page_index, shape, ord, rect) by at least share,
+    a column of the shapes if they differ in it."""
+    r = shapes.select(*[F.col(c).alias(f"_{c}") for c in PAGE], "shape", "ord", "rect", *[c for c in shapes.columns if c == "share"], F.explode(_bands(F.col("rect"))).alias("_at"))
     own = lines.select(*PAGE, "line_no", box().alias("_b")).select("*", F.explode(_bands(F.col("_b"))).alias("_band"))
     both = own.join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (F.col("_band") == F.col("_at")))
     once = F.col("_band") == F.floor(F.greatest("_b.y0", "rect.y0") / BAND)  # the band in which both have begun
@@ -102,25 +105,36 @@ def footnote_rule(drawings: DataFrame, pages: DataFrame) -> DataFrame:
     return d.filter(thin).groupBy(*PAGE).agg(F.min("y1").alias("footnote_top"))
 
 
+def text_kinds(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """lines with what their kinds ask of the text: text_kind, and furniture_key of those in a margin. After that the text
+    need not go along."""
+    sized = lines.join(pages.select(*PAGE, F.col("height").alias("_height")).hint("shuffle_hash"), PAGE)
+    key = F.when(G.in_margin(F.col("y0"), F.col("y1"), F.col("_height")), X.furniture_key(F.col("text")))
+    return sized.select(*[c for c in lines.columns if c not in ("text_kind", "furniture_key")], X.text_kind(F.col("text")).alias("text_kind"), key.alias("furniture_key"))
+
+
 def classify(lines: DataFrame, tables: DataFrame, boxes: DataFrame, images: DataFrame, footnotes: DataFrame) -> DataFrame:
     """kind, table_id and box_id of each line; the first that holds: in a table, in a box, on a figure, below the
-    footnote rule, a table's title, a caption, a paragraph."""
-    out = first_containing(lines, tables, TABLE_SHARE, "table_id")
-    out = first_containing(out, boxes, BOX_SHARE, "box_id")
-    out = first_containing(out, images, FIGURE_SHARE, "_figure").join(footnotes, PAGE, "left")
-    kind = F.when(F.col("table_id").isNotNull(), "table_cell").when(F.col("box_id").isNotNull() | F.col("_figure").isNotNull(), "figure_label").when(F.col("y0") >= F.col("footnote_top"), "footnote").otherwise(X.text_kind(F.col("text")))
+    footnote rule, a table's title, a caption, a paragraph. Where lines have a text_kind, their text is not asked."""
+    sorts = (("table_id", tables, TABLE_SHARE), ("box_id", boxes, BOX_SHARE), ("_figure", images, FIGURE_SHARE))
+    every = reduce(DataFrame.unionByName, [s.select(*PAGE, F.struct(F.lit(n).alias("sort"), F.col("shape").cast("string").alias("shape")).alias("shape"), F.col("ord").cast("long").alias("ord"), "rect", F.lit(share).alias("share")) for n, s, share in sorts])
+    first = [F.min_by("shape.shape", F.when(F.col("shape.sort") == n, F.col("ord"))).alias(n) for n, _, _ in sorts]
+    hit = _inside(lines, every, F.col("share")).groupBy(*PAGE, "line_no").agg(*first)
+    out = lines.join(hit, [*PAGE, "line_no"], "left").join(footnotes, PAGE, "left")
+    by_text = F.col("text_kind") if "text_kind" in lines.columns else X.text_kind(F.col("text"))
+    kind = F.when(F.col("table_id").isNotNull(), "table_cell").when(F.col("box_id").isNotNull() | F.col("_figure").isNotNull(), "figure_label").when(F.col("y0") >= F.col("footnote_top"), "footnote").otherwise(by_text)
     return out.withColumns({"kind": kind, "box_id": F.when(F.col("table_id").isNull(), F.col("box_id"))}).drop("_figure", "footnote_top")
 
 
 def mark_furniture(lines: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame:
     """Lines in the margin whose text, without digits, recurs in margins of `least` pages become page furniture,
     whatever they were, in documents of that many pages. table_id stays as it was."""
-    n_pages = pages.groupBy("doc_id").agg(F.countDistinct("page_index").alias("_pages"))
-    sized = lines.join(pages.select(*PAGE, F.col("height").alias("_height")), PAGE).join(n_pages, "doc_id")
-    keyed = sized.withColumn("_key", F.when(G.in_margin(F.col("y0"), F.col("y1"), F.col("_height")), X.furniture_key(F.col("text"))))
+    n_pages = pages.groupBy("doc_id").agg(F.countDistinct("page_index").alias("_pages")).filter(F.col("_pages") >= least)
+    keyed = (lines if "furniture_key" in lines.columns else text_kinds(lines, pages)).withColumnRenamed("furniture_key", "_key")
     often = keyed.filter("_key <> ''").groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_often")).agg(F.countDistinct("page_index").alias("_n")).filter(F.col("_n") >= least)
-    hit = keyed.join(often, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_often")), "left")
-    return hit.withColumn("kind", F.when(F.col("_often").isNotNull() & (F.col("_pages") >= least), "page_furniture").otherwise(F.col("kind"))).select(*lines.columns)
+    often = often.join(n_pages, F.col("_doc") == F.col("doc_id"), "left_semi")
+    hit = keyed.join(often, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_often")), "left").withColumnRenamed("_key", "furniture_key")
+    return hit.withColumn("kind", F.when(F.col("_often").isNotNull(), "page_furniture").otherwise(F.col("kind"))).select(*lines.columns)
 
 
 def dominant_size(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:

@@ -114,18 +114,20 @@ def table_cells(spark, d: str) -> DataFrame:
     return c.select("doc_id", "page_index", "cell_no", "col_no", "line_count", F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"), F.col("rect.x1").alias("x1"), F.col("rect.y1").alias("y1"))
 
 
-def _shapes(spark, d: str) -> DataFrame:
-    p = I.pages_of(I.lines(spark, d)).select("doc_id", "page_index")
+def _shapes(lines: DataFrame) -> DataFrame:
+    p = I.pages_of(lines).select("doc_id", "page_index")
     four = F.array(*[F.struct(F.lit(n).alias("shape"), F.lit(i).alias("ord"), G.rect(*r).alias("rect")) for i, (n, r) in enumerate((("head", (0, 0, 600, 100)), ("left", (0, 90, 200, 300)), ("right", (300, 0, 600, 400)), ("page", (0, 0, 600, 792))))])
     return p.select("*", F.explode(four).alias("s")).select("doc_id", "page_index", "s.*")
 
 
 def spatial_containment(spark, d: str) -> DataFrame:
-    return L.first_containing(I.lines(spark, d), _shapes(spark, d), L.TABLE_SHARE, "shape").select("doc_id", "line_no", "shape")
+    lines = I.lines(spark, d)
+    return L.first_containing(lines, _shapes(lines), L.TABLE_SHARE, "shape").select("doc_id", "line_no", "shape")
 
 
 def lines_inside(spark, d: str) -> DataFrame:
-    return TB.count_inside(I.lines(spark, d), _shapes(spark, d)).select("doc_id", "page_index", "shape", "lines")
+    lines = I.lines(spark, d)
+    return TB.count_inside(lines, _shapes(lines)).select("doc_id", "page_index", "shape", "lines")
 
 
 def free_space(spark, d: str) -> DataFrame:
@@ -162,9 +164,9 @@ def ruled_regions(spark, d: str) -> DataFrame:
 
 def classified_lines(spark, d: str) -> DataFrame:
     """Kinds by tables, boxes, figures and footnotes as well as by text, then page furniture."""
-    lines = I.lines(spark, d)
-    pages = I.pages_of(lines)
-    s = _shapes(spark, d)
+    read = I.lines(spark, d)
+    lines = kept(L.text_kinds(read, I.pages_of(read)).drop("text"), "kinds")
+    pages, s = I.pages_of(lines), _shapes(lines)
     feet = pages.filter("page_index = 0").select(*L.PAGE, F.lit(300.0).alias("footnote_top"))
     c = L.classify(lines.drop("kind"), s.filter("shape = 'head'"), s.filter("shape = 'left'"), s.filter("shape = 'right'"), feet)
     return L.mark_furniture(c.select(*lines.columns, "table_id", "box_id"), pages).select("doc_id", "line_no", "kind", "table_id", "box_id")
