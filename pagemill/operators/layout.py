@@ -145,10 +145,10 @@ def dominant_size(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return best.select(*keys, F.when(F.col("n").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("body_size"))
 
 
-def main_style(lines: Column) -> Column:
+def main_style(lines: Column, chars=lambda x: F.length(x["text"])) -> Column:
     """Of an array of lines (style, text, ...) the style that most text has, the first seen of equals."""
     styles = F.array_distinct(F.transform(lines, lambda x: x["style"]))
-    weight = lambda s: F.aggregate(F.filter(lines, lambda x: x["style"] == s), F.lit(0), lambda a, x: a + F.length(x["text"]))
+    weight = lambda s: F.aggregate(F.filter(lines, lambda x: x["style"] == s), F.lit(0), lambda a, x: a + chars(x))
     return F.array_max(F.transform(styles, lambda s, i: F.struct(weight(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
 
 

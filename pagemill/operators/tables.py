@@ -102,11 +102,10 @@ def table_columns(lines: DataFrame, region: str = "table_id") -> DataFrame:
     keys = [*PAGE, region]
     w = Window.partitionBy(*keys).orderBy("x0", "line_no")
     new = F.coalesce(F.col("x0") - F.lag("x0").over(w) > COLUMN_GAP, F.lit(False)).cast("int")
-    numbered = lines.withColumn("_new", new).withColumn("col_no", F.sum("_new").over(w)).drop("_new")
-    edges = numbered.groupBy(*keys, "col_no").agg(F.min("x0").alias("col_x0"), F.max("x1").alias("_x1"))
-    follows = F.lead("col_x0").over(Window.partitionBy(*keys).orderBy("col_no"))
-    edges = edges.withColumn("col_x1", F.greatest("_x1", follows - 4.0)).drop("_x1")
-    return numbered.join(edges, [*keys, "col_no"])
+    numbered = lines.dropna(subset=keys).withColumn("_new", new).withColumn("col_no", F.sum("_new").over(w)).drop("_new")
+    by_column = Window.partitionBy(*keys).orderBy("col_no")
+    own, following = by_column.rangeBetween(0, 0), by_column.rangeBetween(1, 1)
+    return numbered.withColumns({"col_x0": F.min("x0").over(own), "col_x1": F.greatest(F.max("x1").over(own), F.min("x0").over(following) - 4.0)})
 
 
 def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") -> DataFrame:
@@ -114,7 +113,8 @@ def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") ->
     gap passes 1.8 sizes, the style changes or a rule lies between."""
     keys = [*PAGE, region]
     rules = found.select(*PAGE, F.col("shape").alias(region), "row_rules", F.col("rect").alias("region_rect"))
-    c = table_columns(lines, region).join(rules, keys, "left")
+    # A line's text is gathered by itself: where it is not asked for, it does not go along.
+    c = table_columns(lines.withColumn("_chars", F.length("text")), region).join(rules, keys, "left")
     w = Window.partitionBy(*keys, "col_no").orderBy("y0", "x0", "line_no")
     prev = lambda x: F.lag(x).over(w)
     style = F.struct(*STYLE)
@@ -122,14 +122,15 @@ def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") ->
     between = F.exists(F.coalesce("row_rules", F.array().cast("array<double>")), lambda y: (y >= F.col("_py1")) & (y <= F.col("y0")))
     ends = (F.col("y0") - F.col("_py1") > 1.8 * F.greatest(F.col("_psize"), F.lit(1.0))) | ~G.style_matches(F.col("_pstyle"), F.col("_style")) | between
     c = c.withColumn("_new", F.when(F.col("_py1").isNull(), 0).otherwise(ends.cast("int"))).withColumn("_cell", F.sum("_new").over(w))
-    row = F.struct("y0", "x0", "line_no", "text", box().alias("rect"), "size", F.struct(*STYLE).alias("style"))
+    row = F.struct("y0", "x0", "line_no", F.col("_chars").alias("chars"), box().alias("rect"), "size", F.struct(*STYLE).alias("style"))
+    said = F.struct("y0", "x0", "line_no", "text")
     own = [*keys, "col_no", "_cell"]
-    g = c.groupBy(*own).agg(F.array_sort(F.collect_list(row)).alias("l"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("col_x0").alias("col_x0"), F.first("col_x1").alias("col_x1"), F.first("row_rules").alias("row_rules"), F.first("region_rect").alias("region_rect"))
-    g = g.withColumn("style", main_style(F.col("l")))
+    g = c.groupBy(*own).agg(F.array_sort(F.collect_list(row)).alias("l"), F.array_sort(F.collect_list(said)).alias("t"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("col_x0").alias("col_x0"), F.first("col_x1").alias("col_x1"), F.first("row_rules").alias("row_rules"), F.first("region_rect").alias("region_rect"))
+    g = g.withColumn("style", main_style(F.col("l"), lambda x: x["chars"]))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.bround("top", 1), "col_x0", "_cell")) - 1
     first, last = F.element_at("l", 1), F.element_at("l", -1)
     rect = F.struct(F.col("col_x0").alias("x0"), F.col("top").alias("y0"), F.col("col_x1").alias("x1"), F.col("bottom").alias("y1"))
-    return g.select(*keys, number.alias("cell_no"), "col_no", rect.alias("rect"), X.join_lines(F.transform("l", lambda x: x["text"])).alias("text"), F.size("l").alias("line_count"), G.line_height(first["y0"], last["y0"], F.size("l"), first["size"]).alias("line_height"), first["size"].alias("size0"), "style", F.transform("l", lambda x: x["rect"]).alias("own"), "row_rules", "region_rect")
+    return g.select(*keys, number.alias("cell_no"), "col_no", rect.alias("rect"), X.join_lines(F.transform("t", lambda x: x["text"])).alias("text"), F.size("l").alias("line_count"), G.line_height(first["y0"], last["y0"], F.size("l"), first["size"]).alias("line_height"), first["size"].alias("size0"), "style", F.transform("l", lambda x: x["rect"]).alias("own"), "row_rules", "region_rect")
 
 
 def cell_bottom(free_bottom: Column, bottom: Column, rules: Column, region_bottom: Column) -> Column:
