@@ -199,8 +199,13 @@ def reading_order(lines: DataFrame) -> DataFrame:
 # ---- blocks -------------------------------------------------------------------------------------
 
 
-def breaks(w, bounds: str = "") -> Column:
-    """Whether a line (with its column's bounds as left and right) starts a new group after the line before."""
+def signs(lines: DataFrame) -> DataFrame:
+    """lines with bullet and ends (a sentence): what their grouping asks of the text, which need not go along then."""
+    return lines.withColumns({"bullet": X.is_bullet(F.col("text")), "ends": X.ends_sentence(F.col("text"))})
+
+
+def breaks(w) -> Column:
+    """Whether a line (with its signs, and its column's bounds as left and right) starts a new group after the line before."""
     prev = lambda c: F.lag(c).over(w)
     gap = F.col("y0") - prev("y1")
     short = prev("x1") < F.coalesce(prev("right"), prev("x1")) - 2.5
@@ -211,19 +216,22 @@ def breaks(w, bounds: str = "") -> Column:
         | prev("kind").isin("page_furniture", "figure_label")
         | (prev("column") != F.col("column"))
         | ~G.style_compatible(prev("size"), prev("color"), F.col("size"), F.col("color"))
-        | X.is_bullet(F.col("text"))
+        | F.col("bullet")
         | (gap > 0.85 * F.greatest(prev("size"), F.lit(1.0)))
         | (gap < -prev("size"))
-        | (X.ends_sentence(prev("text")) & (short | indented))
+        | (prev("ends") & (short | indented))
     )
 
 
 def group_lines(lines: DataFrame, bounds: DataFrame) -> DataFrame:
-    """group_no (from 1) of each body line (with read_no and column): lines in reading order until a break."""
+    """group_no (from 1) of each body line (with read_no and column): lines in reading order until a break. The signs of
+    lines are taken as they are, if they have them."""
+    columns = [c for c in lines.columns if c not in PAGE and c != "column"]
+    lines = lines if {"bullet", "ends"} <= set(lines.columns) else signs(lines)
     b = bounds.select(*PAGE, "column", "left", "right")
     placed = lines.filter(~F.col("kind").isin(*NOT_BODY)).join(b, [*PAGE, "column"], "left")
     w = Window.partitionBy(*PAGE).orderBy("read_no")
-    return placed.withColumn("_new", F.coalesce(breaks(w), F.lit(True)).cast("int")).withColumn("group_no", F.sum("_new").over(w)).drop("_new")
+    return placed.withColumn("_new", F.coalesce(breaks(w), F.lit(True)).cast("int")).withColumn("group_no", F.sum("_new").over(w)).select(*PAGE, "column", *columns, "left", "right", "group_no")
 
 
 def refine_kind(kind: Column, first_text: Column, last_text: Column, size: Column, bold: Column, body_size: Column, n: Column) -> Column:

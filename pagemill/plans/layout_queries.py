@@ -52,19 +52,20 @@ def reading_order(spark, d: str) -> DataFrame:
     return L.reading_order(L.assign_columns(I.lines(spark, d))).select("doc_id", "line_no", "read_no")
 
 
-def _grouped(spark, d: str) -> DataFrame:
-    placed = L.assign_columns(I.lines(spark, d))
+def _grouped(lines: DataFrame) -> DataFrame:
+    placed = L.assign_columns(lines)
     return L.group_lines(L.reading_order(placed), L.column_bounds(placed))
 
 
 def paragraph_groups(spark, d: str) -> DataFrame:
-    return _grouped(spark, d).select("doc_id", "line_no", "group_no")
+    lines = kept(L.signs(I.lines(spark, d)).drop("text"), "signs")
+    return _grouped(lines).select("doc_id", "line_no", "group_no")
 
 
 def page_blocks(spark, d: str) -> DataFrame:
     """Blocks with flow rectangles."""
     lines = I.lines(spark, d)
-    return L.make_blocks(_grouped(spark, d), I.pages_of(lines), L.dominant_size(lines), L.line_boxes(lines))
+    return L.make_blocks(_grouped(lines), I.pages_of(lines), L.dominant_size(lines), L.line_boxes(lines))
 
 
 def block_texts(spark, d: str) -> DataFrame:
