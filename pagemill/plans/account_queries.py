@@ -15,7 +15,7 @@ from pagemill.operators import tables as TB
 from pagemill.plans import inputs as I
 from pagemill.plans import layout_queries as LQ
 from pagemill.plans import store_queries as SQ
-from pagemill.session import table
+from pagemill.session import kept, table
 
 SECRET = b"a secret of thirty-two bytes....."
 
@@ -178,7 +178,7 @@ def table_regions(spark, d: str) -> DataFrame:
 
 
 def closed_boxes(spark, d: str) -> DataFrame:
-    lines = I.lines(spark, d)
+    lines = kept(I.lines(spark, d).select("doc_id", "page_index", "line_no", "x0", "y0", "x1", "y1"), "boxes")
     return L.closed_boxes(I.drawings(lines), I.pages_of(lines), lines).select("doc_id", "page_index", "shape")
 
 
