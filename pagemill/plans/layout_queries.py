@@ -20,15 +20,14 @@ def span_lines(spark, d: str) -> DataFrame:
     """Lines put together from two spans each, the first half bold by its flags, the second one italic by its font; the
     longer one, the first of equals, gives the style. A span of the next line's number has no letter."""
     half = F.floor(F.length("text") / 2).cast("int")
-    place = [*L.PAGE, F.lit(0).alias("block_no"), "line_no", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]]
+    place = [*L.PAGE, F.lit(0).alias("block_no"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]]
 
-    def span(no: int, text: F.Column, size: float, flags: int, font: str) -> F.Column:
-        return F.struct(F.lit(no).alias("span_no"), text.alias("text"), F.lit(size).alias("size"), F.lit(flags).alias("flags"), F.lit(font).alias("font"), F.lit(no).alias("color"))
+    def span(no: int, text: F.Column, size: float, flags: int, font: str, below: int = 0) -> F.Column:
+        return F.struct((F.col("line_no") + below).alias("line_no"), F.lit(no).alias("span_no"), text.alias("text"), F.lit(size).alias("size"), F.lit(flags).alias("flags"), F.lit(font).alias("font"), F.lit(no).alias("color"))
 
-    both = F.array(span(0, F.substring(F.col("text"), F.lit(1), half), 10.04, 20, "Serif"), span(1, F.substring(F.col("text"), half + 1, F.length("text")), 9.96, 0, "Sans-Oblique"))
-    spans = I.lines(spark, d).select(*place, F.inline(both))
-    rules = spans.filter("span_no = 0").withColumns({"line_no": F.col("line_no") + 1_000_000, "text": F.lit("12 - 34")})
-    return L.make_lines(spans.unionByName(rules)).select("doc_id", "page_index", "line_no", "text", "size", "bold", "italic", "serif", "color")
+    every = F.array(span(0, F.substring(F.col("text"), F.lit(1), half), 10.04, 20, "Serif"), span(1, F.substring(F.col("text"), half + 1, F.length("text")), 9.96, 0, "Sans-Oblique"), span(0, F.lit("12 - 34"), 10.04, 20, "Serif", 1_000_000))
+    spans = I.lines(spark, d).select(*place, F.inline(every))
+    return L.make_lines(spans).select("doc_id", "page_index", "line_no", "text", "size", "bold", "italic", "serif", "color")
 
 
 def dominant_size(spark, d: str) -> DataFrame:

@@ -268,9 +268,9 @@ def test_queries_read_the_documents_once(spark, tmp_path):
     from pagemill.plans import layout_queries as LQ
 
     d = documents(spark, tmp_path)
-    for name, most in ((AQ.closed_boxes, 0), (LQ.classified_lines, 0), (LQ.paragraph_groups, 0)):
+    for name, most in ((AQ.closed_boxes, 0), (LQ.classified_lines, 0), (LQ.paragraph_groups, 0), (LQ.span_lines, 1)):
         assert name(spark, d)._jdf.queryExecution().optimizedPlan().toString().count("split(text") == most, name
-    assert LQ.classified_lines(spark, d).count() == 50
+    assert LQ.span_lines(spark, d).count() == 50 and LQ.classified_lines(spark, d).count() == 50
     grouped = {(r["doc_id"], r["line_no"]): r["group_no"] for r in LQ.paragraph_groups(spark, d).collect()}
     assert len(grouped) == 50 and grouped[1, 0] == 1
 
