@@ -47,11 +47,11 @@ def _unit(blocks: DataFrame, part: int, order: Column) -> DataFrame:
 
 def loose_labels(lines: DataFrame, bounds: DataFrame, pages: DataFrame, sizes: DataFrame, room: DataFrame) -> DataFrame:
     """A block for each line on a figure that no box holds, wider to the right where nothing stands."""
-    own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNull()).join(bounds.select(*PAGE, "column", "left", "right"), [*PAGE, "column"], "left")
+    own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNull()).join(L.paged(bounds.select(*PAGE, "column", "left", "right")), [*PAGE, "column"], "left")
     blocks = L.make_blocks(own.withColumns({"read_no": F.lit(1), "group_no": F.col("line_no").cast("long")}), pages, sizes, room)
-    sided = own.select(*PAGE, F.col("line_no").cast("long").alias("block_no"), F.array(L.box()).alias("own")).join(pages.select(*PAGE, F.col("width").alias("page_width")), PAGE)
+    sided = own.select(*PAGE, F.col("line_no").cast("long").alias("block_no"), F.array(L.box()).alias("own")).join(L.paged(pages.select(*PAGE, F.col("width").alias("page_width"))), PAGE)
     limits = RM.horizontal_room(sided, room).select(*PAGE, "block_no", "right_limit")
-    return blocks.join(limits, [*PAGE, "block_no"]).withColumn("rect", L.widened(F.col("rect"), F.col("right_limit")))
+    return blocks.join(L.paged(limits), [*PAGE, "block_no"]).withColumn("rect", L.widened(F.col("rect"), F.col("right_limit")))
 
 
 def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: DataFrame, found: DataFrame | None = None) -> DataFrame:

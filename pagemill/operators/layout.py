@@ -35,6 +35,12 @@ def box(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{n}").cast("double").alias(n) for n in ("x0", "y0", "x1", "y1")])
 
 
+def paged(df: DataFrame) -> DataFrame:
+    """df, of which each page has a few rows, for a join that deals both sides out by their keys. Such rows take 2 bytes each
+    in a file, by which Spark would hold millions of them for small and send them whole through the driver to every task."""
+    return df.hint("merge")
+
+
 def order_y(c: Column | None = None) -> Column:
     return F.bround(F.col("y0") if c is None else c, 1)
 
@@ -69,7 +75,7 @@ def _inside(lines: DataFrame, shapes: DataFrame, share: float | Column) -> DataF
     a column of the shapes if they differ in it."""
     r = shapes.select(*[F.col(c).alias(f"_{c}") for c in PAGE], "shape", "ord", "rect", *[c for c in shapes.columns if c == "share"], F.explode(_bands(F.col("rect"))).alias("_at"))
     own = lines.select(*PAGE, "line_no", box().alias("_b")).select("*", F.explode(_bands(F.col("_b"))).alias("_band"))
-    both = own.join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (F.col("_band") == F.col("_at")))
+    both = own.join(paged(r), (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (F.col("_band") == F.col("_at")))
     once = F.col("_band") == F.floor(F.greatest("_b.y0", "rect.y0") / BAND)  # the band in which both have begun
     return both.filter(once & (G.overlap_ratio(F.col("_b"), F.col("rect")) >= share)).select(*PAGE, "line_no", "shape", "ord")
 
@@ -83,23 +89,23 @@ def _bands(r: Column) -> Column:
 def first_containing(lines: DataFrame, shapes: DataFrame, share: float, name: str) -> DataFrame:
     """lines with `name`: the first shape, in the page's order, that holds each."""
     hit = _inside(lines, shapes, share).groupBy(*PAGE, "line_no").agg(F.min_by("shape", "ord").alias(name))
-    return lines.join(hit, [*PAGE, "line_no"], "left")
+    return lines.join(paged(hit), [*PAGE, "line_no"], "left")
 
 
 def closed_boxes(drawings: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
     """Small filled shapes that hold one to three lines: shape, ord, rect."""
-    d = drawings.join(pages.select(*PAGE, "width", "height"), PAGE)
+    d = drawings.join(paged(pages.select(*PAGE, "width", "height")), PAGE)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     fits = F.col("type").isin("f", "fs") & w.between(12, F.col("width") * 0.45) & h.between(8, F.col("height") * 0.15)
     on_page = (F.col("x0") >= -2) & (F.col("y0") >= -2) & (F.col("x1") <= F.col("width") + 2) & (F.col("y1") <= F.col("height") + 2)
     shapes = d.filter(fits & on_page).select(*PAGE, F.format_string("p%d_box%d", F.col("page_index").cast("int"), F.col("drawing_no").cast("int")).alias("shape"), F.col("drawing_no").alias("ord"), box().alias("rect"))
     n = _inside(lines, shapes, BOX_SHARE).groupBy(*PAGE, "shape").count().filter(F.col("count").between(1, 3))
-    return shapes.join(n.drop("count"), [*PAGE, "shape"], "left_semi")
+    return shapes.join(paged(n.drop("count")), [*PAGE, "shape"], "left_semi")
 
 
 def footnote_rule(drawings: DataFrame, pages: DataFrame) -> DataFrame:
     """The bottom of the highest thin line, a tenth to a half of the page wide, in the page's lower part."""
-    d = drawings.join(pages.select(*PAGE, "width", "height"), PAGE)
+    d = drawings.join(paged(pages.select(*PAGE, "width", "height")), PAGE)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     thin = (h <= 2.5) & (h > 0) & (w > 0) & (w / F.col("width")).between(0.10, 0.50) & (F.col("y0") >= F.col("height") * 0.55)
     return d.filter(thin).groupBy(*PAGE).agg(F.min("y1").alias("footnote_top"))
@@ -120,7 +126,7 @@ def classify(lines: DataFrame, tables: DataFrame, boxes: DataFrame, images: Data
     every = reduce(DataFrame.unionByName, [s.select(*PAGE, F.struct(F.lit(n).alias("sort"), F.col("shape").cast("string").alias("shape")).alias("shape"), F.col("ord").cast("long").alias("ord"), "rect", F.lit(share).alias("share")) for n, s, share in sorts])
     first = [F.min_by("shape.shape", F.when(F.col("shape.sort") == n, F.col("ord"))).alias(n) for n, _, _ in sorts]
     hit = _inside(lines, every, F.col("share")).groupBy(*PAGE, "line_no").agg(*first)
-    out = lines.join(hit, [*PAGE, "line_no"], "left").join(footnotes, PAGE, "left")
+    out = lines.join(paged(hit), [*PAGE, "line_no"], "left").join(paged(footnotes), PAGE, "left")
     by_text = F.col("text_kind") if "text_kind" in lines.columns else X.text_kind(F.col("text"))
     kind = F.when(F.col("table_id").isNotNull(), "table_cell").when(F.col("box_id").isNotNull() | F.col("_figure").isNotNull(), "figure_label").when(F.col("y0") >= F.col("footnote_top"), "footnote").otherwise(by_text)
     return out.withColumns({"kind": kind, "box_id": F.when(F.col("table_id").isNull(), F.col("box_id"))}).drop("_figure", "footnote_top")
@@ -132,8 +138,8 @@ def mark_furniture(lines: DataFrame, pages: DataFrame, least: int = 3) -> DataFr
     n_pages = pages.groupBy("doc_id").agg(F.countDistinct("page_index").alias("_pages")).filter(F.col("_pages") >= least)
     keyed = (lines if "furniture_key" in lines.columns else text_kinds(lines, pages)).withColumnRenamed("furniture_key", "_key")
     often = keyed.filter("_key <> ''").groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_often")).agg(F.countDistinct("page_index").alias("_n")).filter(F.col("_n") >= least)
-    often = often.join(n_pages, F.col("_doc") == F.col("doc_id"), "left_semi")
-    hit = keyed.join(often, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_often")), "left").withColumnRenamed("_key", "furniture_key")
+    often = often.join(paged(n_pages), F.col("_doc") == F.col("doc_id"), "left_semi")
+    hit = keyed.join(paged(often), (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_often")), "left").withColumnRenamed("_key", "furniture_key")
     return hit.withColumn("kind", F.when(F.col("_often").isNotNull(), "page_furniture").otherwise(F.col("kind"))).select(*lines.columns)
 
 
@@ -229,7 +235,7 @@ def group_lines(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     columns = [c for c in lines.columns if c not in PAGE and c != "column"]
     lines = lines if {"bullet", "ends"} <= set(lines.columns) else signs(lines)
     b = bounds.select(*PAGE, "column", "left", "right")
-    placed = lines.filter(~F.col("kind").isin(*NOT_BODY)).join(b, [*PAGE, "column"], "left")
+    placed = lines.filter(~F.col("kind").isin(*NOT_BODY)).join(paged(b), [*PAGE, "column"], "left")
     w = Window.partitionBy(*PAGE).orderBy("read_no")
     return placed.withColumn("_new", F.coalesce(breaks(w), F.lit(True)).cast("int")).withColumn("group_no", F.sum("_new").over(w)).select(*PAGE, "column", *columns, "left", "right", "group_no")
 
@@ -259,7 +265,7 @@ def make_blocks(grouped: DataFrame, pages: DataFrame, body_sizes: DataFrame, occ
     row = F.struct("read_no", "text", box().alias("rect"), "size", "bold", F.struct(*STYLE).alias("style"))
     keys = [*PAGE, "group_no"]
     g = grouped.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("l"), F.min_by("kind", "read_no").alias("kind0"), F.min_by("left", "read_no").alias("left"), F.min_by("right", "read_no").alias("right"))
-    g = g.withColumn("style", main_style(F.col("l"))).join(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height")), PAGE).join(body_sizes, PAGE, "left")
+    g = g.withColumn("style", main_style(F.col("l"))).join(paged(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height"))), PAGE).join(paged(body_sizes), PAGE, "left")
     rects = F.transform("l", lambda x: x["rect"])
     first, last = F.element_at("l", 1), F.element_at("l", -1)
     b = g.withColumns({"block_no": F.col("group_no"), "own": rects, "n": F.size("l"), "text": X.join_lines(F.transform("l", lambda x: x["text"])), "size0": first["size"], "left": F.coalesce("left", first["rect"]["x0"]), "right": F.coalesce("right", first["rect"]["x1"])})
@@ -278,7 +284,7 @@ def boxed_labels(lines: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFr
     """One label for each box: its lines' text, set within the box; centred if the gaps on both sides are alike."""
     own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNotNull())
     g = own.groupBy(*PAGE, "box_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_no", "text", "size", box().alias("rect"), F.struct(*STYLE).alias("style")))).alias("l"), F.min("x0").alias("lx0"), F.max("x1").alias("lx1"), F.max("y0").alias("last_y0"), F.min("y0").alias("first_y0"))
-    j = g.join(boxes.select(*PAGE, F.col("shape").alias("box_id"), F.col("rect").alias("b")), [*PAGE, "box_id"]).join(pages.select(*PAGE, F.col("height").alias("page_height")), PAGE)
+    j = g.join(paged(boxes.select(*PAGE, F.col("shape").alias("box_id"), F.col("rect").alias("b"))), [*PAGE, "box_id"]).join(paged(pages.select(*PAGE, F.col("height").alias("page_height"))), PAGE)
     centered = F.abs((F.col("lx0") - F.col("b.x0")) - (F.col("b.x1") - F.col("lx1"))) <= 4.0
     rect = F.struct(F.when(centered, F.col("b.x0") + 1.5).otherwise(F.col("lx0") - 1.0).alias("x0"), (F.col("b.y0") + 1.0).alias("y0"), (F.col("b.x1") - 1.5).alias("x1"), (F.col("b.y1") - 1.0).alias("y1"))
     return j.select(*PAGE, F.col("box_id").alias("block_id"), F.lit("figure_label").alias("kind"), X.join_lines(F.transform("l", lambda x: x["text"])).alias("text"), main_style(F.col("l")).alias("style"), rect.alias("rect"), (F.col("b.y1") - 1.0).alias("max_bottom"), "page_height", F.transform("l", lambda x: x["rect"]).alias("line_rects"), F.when(centered, ALIGN_CENTER).otherwise(ALIGN_LEFT).alias("align"), F.size("l").alias("line_count"), G.line_height(F.col("first_y0"), F.col("last_y0"), F.size("l"), F.element_at("l", 1)["size"]).alias("line_height"))
@@ -312,7 +318,7 @@ def link_blocks(blocks: DataFrame) -> DataFrame:
     chained = fold(thin, ["doc_id"], ["page_index", "block_no"], inputs, (0, None, None, None, None, False, None), step, T.StructField("_chain", T.LongType()))
     place = F.struct(F.col("page_index").cast("int").alias("page_index"), F.col("block_no").cast("bigint").alias("block_no"))
     heads = chained.select("doc_id", "page_index", "block_no", F.min(place).over(Window.partitionBy("doc_id", "_chain")).alias("head"))
-    return blocks.join(heads, ["doc_id", "page_index", "block_no"], "left").withColumn("head", F.coalesce("head", place))
+    return blocks.join(paged(heads), ["doc_id", "page_index", "block_no"], "left").withColumn("head", F.coalesce("head", place))
 
 
 def merge_linked(linked: DataFrame) -> DataFrame:

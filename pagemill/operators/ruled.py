@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.operators.folds import starts, whole_groups
-from pagemill.operators.layout import PAGE
+from pagemill.operators.layout import PAGE, paged
 
 # How far apart edges are one, ends are joined and lines meet, and how long an edge is at least.
 SNAP, JOIN, MEET, SHORTEST = 3.0, 3.0, 3.0, 3.0
@@ -60,7 +60,7 @@ def points(found: DataFrame) -> DataFrame:
     band = lambda c: F.floor(c / BAND)
     flat = found.filter("flat").select(*PAGE, F.col("edge").alias("h"), F.col("at").alias("y"), F.col("lo").alias("_x0"), F.col("hi").alias("_x1"), band(F.col("at")).alias("_band"))
     upright = found.filter("NOT flat").select(*PAGE, F.col("edge").alias("v"), F.col("at").alias("x"), F.col("lo").alias("_y0"), F.col("hi").alias("_y1"), F.explode(F.sequence(band(F.col("lo") - MEET), band(F.col("hi") + MEET))).alias("_band"))
-    both = flat.join(upright, [*PAGE, "_band"])
+    both = flat.join(paged(upright), [*PAGE, "_band"])
     return both.filter(F.col("y").between(F.col("_y0") - MEET, F.col("_y1") + MEET) & F.col("x").between(F.col("_x0") - MEET, F.col("_x1") + MEET)).select(*PAGE, "h", "v", "x", "y")
 
 
@@ -70,18 +70,18 @@ def cells(meet: DataFrame) -> DataFrame:
     The flat edge below is the first one on the point's upright edge that shares another upright edge further right with
     the point's own flat edge. Mostly that is the next one; only points for which it is not look at all below them."""
     rows = meet.groupBy(*PAGE, "h").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("_of"))
-    own = meet.join(rows, [*PAGE, "h"]).filter(F.col("x") < F.element_at("_of", -1)["x"])
+    own = meet.join(paged(rows), [*PAGE, "h"]).filter(F.col("x") < F.element_at("_of", -1)["x"])
     down = Window.partitionBy(*PAGE, "v").orderBy("y", "h")
     below = meet.withColumns({"_h2": F.lead("h").over(down), "_y2": F.lead("y").over(down)}).filter("_h2 IS NOT NULL").select(*PAGE, "h", "v", "_h2", "_y2")
     other = rows.withColumnsRenamed({"h": "_h2", "_of": "_of2"})
     first = F.array_min(F.filter(F.array_intersect("_of", "_of2"), lambda p: p["x"] > F.col("x")))["x"]
     corner = F.struct(F.col("_y2").alias("y1"), first.alias("x1"))
 
-    nearest = own.join(below, [*PAGE, "h", "v"]).join(other, [*PAGE, "_h2"]).withColumn("_c", corner)
+    nearest = own.join(paged(below), [*PAGE, "h", "v"]).join(paged(other), [*PAGE, "_h2"]).withColumn("_c", corner)
     done = nearest.filter("_c.x1 IS NOT NULL").select(*PAGE, "h", "v", "x", "y", "_c")
     left = nearest.filter("_c.x1 IS NULL").select(*PAGE, "h", "v", "x", "y", "_of")
     lower = meet.select(*PAGE, "v", F.col("h").alias("_h2"), F.col("y").alias("_y2"))
-    far = left.join(lower, [*PAGE, "v"]).filter("_y2 > y").join(other, [*PAGE, "_h2"]).withColumn("_c", corner).filter("_c.x1 IS NOT NULL")
+    far = left.join(paged(lower), [*PAGE, "v"]).filter("_y2 > y").join(paged(other), [*PAGE, "_h2"]).withColumn("_c", corner).filter("_c.x1 IS NOT NULL")
     rest = far.groupBy(*PAGE, "h", "v", "x", "y").agg(F.min("_c").alias("_c"))
     return done.unionByName(rest).select(*PAGE, "h", "v", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("_c.x1").alias("x1"), F.col("_c.y1").alias("y1"))
 

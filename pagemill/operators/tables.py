@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
-from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, main_style
+from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, main_style, paged
 from pagemill.operators.rooms import free_space
 from pagemill.operators.ruled import ruled_tables
 
@@ -22,7 +22,7 @@ RECTS = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 def drawing_features(drawings: DataFrame, pages: DataFrame) -> DataFrame:
     """Drawings with feature: fill or rule, those that bleed off the page left out. A rule is no higher than 2.5,
     and may have no height at all."""
-    d = drawings.join(pages.select(*PAGE, F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1")).alias("_page")), PAGE)
+    d = drawings.join(paged(pages.select(*PAGE, F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1")).alias("_page"))), PAGE)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     filled = F.col("fill").isNotNull() & F.col("type").isin("f", "fs")
     feature = F.when(filled, F.when(h <= THIN, "rule").otherwise("fill")).when((h <= THIN) & (w > THIN), "rule")
@@ -32,7 +32,7 @@ def drawing_features(drawings: DataFrame, pages: DataFrame) -> DataFrame:
 def count_inside(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     """shapes (page, shape, ord, rect) with lines: how many lines lie in each by 60 %."""
     n = _inside(lines, shapes, TABLE_SHARE).groupBy(*PAGE, "shape").agg(F.count("*").alias("lines"))
-    return shapes.join(n, [*PAGE, "shape"], "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    return shapes.join(paged(n), [*PAGE, "shape"], "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
 def _union(a: Column, b: Column) -> Column:
@@ -81,7 +81,7 @@ def regions(drawings: DataFrame, pages: DataFrame, lines: DataFrame, found: Data
     """Table regions: shape (its number counts all merged candidates), ord, rect and row_rules. Candidates are
     large fills and clusters of rules with two lines in them, tables that are drawn as grids, and tables found elsewhere
     (page, rect)."""
-    f = drawing_features(drawings, pages).withColumn("rect", box()).join(pages.select(*PAGE, F.col("width").alias("_w")), PAGE)
+    f = drawing_features(drawings, pages).withColumn("rect", box()).join(paged(pages.select(*PAGE, F.col("width").alias("_w"))), PAGE)
     big = (F.col("feature") == "fill") & (F.col("x1") - F.col("x0") >= F.greatest(F.col("_w"), F.lit(1.0)) * 0.22) & (F.col("y1") - F.col("y0") >= 22.0)
     fills = f.filter(big).select(*PAGE, F.col("rect"))
     ruled = f.filter("feature = 'rule'").groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("drawing_no", "rect"))), lambda x: x["rect"]).alias("rules"), F.first("_w").alias("_w"))
@@ -92,7 +92,7 @@ def regions(drawings: DataFrame, pages: DataFrame, lines: DataFrame, found: Data
     every = every.unionByName(found.select(*PAGE, "rect")) if found is not None else every
     merged = every.groupBy(*PAGE).agg(merged_rects(F.collect_list("rect")).alias("m")).select(*PAGE, F.posexplode("m").alias("ord", "rect"))
     named = merged.withColumn("shape", F.format_string("p%d_t%d", F.col("page_index").cast("int"), F.col("ord")))
-    full = count_inside(lines, named).filter("lines >= 2").drop("lines").join(ruled.drop("_w"), PAGE, "left")
+    full = count_inside(lines, named).filter("lines >= 2").drop("lines").join(paged(ruled.drop("_w")), PAGE, "left")
     return full.withColumn("row_rules", row_rules(F.col("rect"), F.coalesce("rules", F.array().cast(RECTS)))).drop("rules")
 
 
@@ -114,7 +114,7 @@ def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") ->
     keys = [*PAGE, region]
     rules = found.select(*PAGE, F.col("shape").alias(region), "row_rules", F.col("rect").alias("region_rect"))
     # A line's text is gathered by itself: where it is not asked for, it does not go along.
-    c = table_columns(lines.withColumn("_chars", F.length("text")), region).join(rules, keys, "left")
+    c = table_columns(lines.withColumn("_chars", F.length("text")), region).join(paged(rules), keys, "left")
     w = Window.partitionBy(*keys, "col_no").orderBy("y0", "x0", "line_no")
     prev = lambda x: F.lag(x).over(w)
     style = F.struct(*STYLE)
@@ -142,7 +142,7 @@ def cell_bottom(free_bottom: Column, bottom: Column, rules: Column, region_botto
 def cell_blocks(cells: DataFrame, pages: DataFrame, occupied: DataFrame, region: str = "table_id") -> DataFrame:
     """Blocks of cells, within what is free above and below them."""
     ink = F.struct(F.col("rect.x0").alias("x0"), (F.col("rect.y0") - 1.0).alias("y0"), F.col("rect.x1").alias("x1"), (F.col("rect.y1") + 1.0).alias("y1"))
-    b = cells.withColumns({"rect": ink, "block_no": F.concat_ws("_c", F.col(region), F.col("cell_no").cast("string"))}).join(pages.select(*PAGE, F.col("height").alias("page_height")), PAGE)
+    b = cells.withColumns({"rect": ink, "block_no": F.concat_ws("_c", F.col(region), F.col("cell_no").cast("string"))}).join(paged(pages.select(*PAGE, F.col("height").alias("page_height"))), PAGE)
     b = free_space(b, occupied)
     bottom = cell_bottom(F.col("free_bottom"), F.col("rect.y1"), F.col("row_rules"), F.col("region_rect.y1"))
     b = b.withColumn("max_bottom", bottom)
