@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 from pagemill.functions import geometry as G
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
-from pagemill.operators import rooms as RM
 from pagemill.operators import tables as TB
 from pagemill.operators.layout import PAGE
 from pagemill.session import kept
@@ -32,7 +31,7 @@ def classified(lines: DataFrame, pages: DataFrame, tables: DataFrame, boxes: Dat
     are measured before. The first ones are written, as the second ones look at them twice."""
     shapes = L.figures(images).select(*PAGE, F.lit("figure").alias("shape"), F.lit(0).alias("ord"), L.box().alias("rect"))
     placed = kept(L.assign_columns(L.classify(lines.drop("kind"), tables, boxes, shapes, L.footnote_rule(drawings, pages))), "classified")
-    return placed, kept(L.mark_furniture(placed, pages), "marked")
+    return placed, kept(L.mark_furniture(placed, pages).drop("text_kind", "furniture_key"), "marked")
 
 
 def _area() -> Column:
@@ -42,16 +41,18 @@ def _area() -> Column:
 def _unit(blocks: DataFrame, part: int, order: Column) -> DataFrame:
     """A block that stands on one page, as a unit of the document."""
     rects = F.transform("line_rects", lambda r: F.struct(F.col("page_index").alias("page_index"), r.alias("rect")))
-    return blocks.select(*PAGE, "block_id", "kind", "text", "style", F.array(_area()).alias("areas"), rects.alias("line_rects"), "align", "line_count", "line_height", F.lit(part).alias("_part"), order.alias("_order"))
+    return blocks.select(*PAGE, "block_id", "kind", "said", "style", F.array(_area()).alias("areas"), rects.alias("line_rects"), "align", "line_count", "line_height", F.lit(part).alias("_part"), order.alias("_order"))
 
 
-def loose_labels(lines: DataFrame, bounds: DataFrame, pages: DataFrame, sizes: DataFrame, room: DataFrame) -> DataFrame:
-    """A block for each line on a figure that no box holds, wider to the right where nothing stands."""
-    own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNull()).join(L.paged(bounds.select(*PAGE, "column", "left", "right")), [*PAGE, "column"], "left")
-    blocks = L.make_blocks(own.withColumns({"read_no": F.lit(1), "group_no": F.col("line_no").cast("long")}), pages, sizes, room)
-    sided = own.select(*PAGE, F.col("line_no").cast("long").alias("block_no"), F.array(L.box()).alias("own")).join(L.paged(pages.select(*PAGE, F.col("width").alias("page_width"))), PAGE)
-    limits = RM.horizontal_room(sided, room).select(*PAGE, "block_no", "right_limit")
-    return blocks.join(L.paged(limits), [*PAGE, "block_no"]).withColumn("rect", L.widened(F.col("rect"), F.col("right_limit")))
+def loose_lines(lines: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Lines on figures that no box holds, as groups of their own: group_no goes down from -1."""
+    own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNull())
+    return own.join(L.paged(bounds.select(*PAGE, "column", "left", "right")), [*PAGE, "column"], "left").withColumns({"read_no": F.lit(1), "group_no": -1 - F.col("line_no").cast("long")})
+
+
+def loose_labels(blocks: DataFrame) -> DataFrame:
+    """The blocks of loose lines, wider to the right where nothing stands."""
+    return blocks.filter("block_no < 0").withColumns({"block_no": -1 - F.col("block_no"), "rect": L.widened(F.col("rect"), F.col("right_limit"))})
 
 
 def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -59,16 +60,21 @@ def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: Dat
     max_bottom, page_height of each part), line_rects (page_index, rect), align, line_count and line_height.
 
     Body text comes first, in reading order, linked across columns and pages; then, page by page, what stands outside
-    it: cells of tables, loose labels, labels in boxes. found: tables found elsewhere (page, rect)."""
-    lines, pages = kept(lines, "lines"), kept(pages, "pages")
+    it: cells of tables, loose labels, labels in boxes. found: tables found elsewhere (page, rect).
+
+    Texts are read for their signs and stay behind; they come to the finished blocks, where they are asked for."""
+    pages, drawings, images = kept(pages, "pages"), kept(drawings, "drawings"), kept(images, "images")
+    texts = kept(L.all_signs(lines, pages), "lines")
+    lines = texts.drop("text")
     tables, boxes = kept(TB.regions(drawings, pages, lines, found), "tables"), kept(L.closed_boxes(drawings, pages, lines), "boxes")
     placed, marked = classified(lines, pages, tables, boxes, drawings, images)
     sizes, bounds = kept(L.dominant_size(placed), "sizes"), kept(L.column_bounds(placed), "bounds")
     room = occupied(lines, drawings, images)
-    body = L.reading_order(marked)
-    linked = L.link_blocks(kept(L.make_blocks(L.group_lines(body, bounds), pages, sizes, room), "body"))
+    grouped = L.group_lines(L.reading_order(marked), bounds).unionByName(loose_lines(marked, bounds))
+    blocks = kept(L.make_blocks(grouped, pages, sizes, room), "blocks")  # both look around on the same pages
+    linked = L.link_blocks(blocks.filter("block_no > 0"))
     cells = TB.cell_blocks(TB.table_cells(marked.filter("table_id IS NOT NULL"), tables), pages, room)
-    loose = loose_labels(marked, bounds, pages, sizes, room)
+    loose = loose_labels(blocks)
     boxed = L.boxed_labels(marked, boxes, pages)
     number = lambda c: F.struct(F.col(c).cast("long").alias("n"), F.lit("").alias("s"))
     name = lambda c: F.struct(F.lit(0).cast("long").alias("n"), F.col(c).alias("s"))
@@ -79,9 +85,9 @@ def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame, images: Dat
         _unit(boxed, 3, name("block_id")),
     ]
     every = reduce(DataFrame.unionByName, parts)
-    every = kept(every, "units")
     order = Window.partitionBy("doc_id").orderBy(F.least("_part", F.lit(1)), "page_index", "_part", F.when(F.col("_part") == 1, F.col("_order.s")), "_order.n", "_order.s")
-    return every.withColumn("seq", F.row_number().over(order)).drop("_part", "_order")
+    every = kept(every.withColumn("seq", F.row_number().over(order)).drop("_part", "_order"), "units")
+    return L.with_texts(every, texts).select(*PAGE, "block_id", "kind", "text", "style", "areas", "line_rects", "align", "line_count", "line_height", "seq")
 
 
 def drawn(blocks: DataFrame, translations: DataFrame) -> DataFrame:

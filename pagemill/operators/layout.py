@@ -41,6 +41,16 @@ def paged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def chars(lines: DataFrame) -> Column:
+    """The length of each line's text, which is taken from `chars` where the text stays behind."""
+    return F.col("chars") if "chars" in lines.columns else F.length("text")
+
+
+def told(blocks: DataFrame) -> str:
+    """What tells a block's text: `text`, or `said`, the lines (line_id) whose texts it is, in order."""
+    return "text" if "text" in blocks.columns else "said"
+
+
 def order_y(c: Column | None = None) -> Column:
     return F.bround(F.col("y0") if c is None else c, 1)
 
@@ -146,7 +156,8 @@ def mark_furniture(lines: DataFrame, pages: DataFrame, least: int = 3) -> DataFr
 def dominant_size(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """The size that most text of each page has (the first seen of equals), of body text if there is any."""
     body = F.col("kind").isin("paragraph", "list_item", "heading")
-    w = lines.groupBy(*keys, "size").agg(F.sum(F.length("text")).alias("all"), F.sum(F.when(body, F.length("text"))).alias("body"), F.min("line_no").alias("seq"), F.min(F.when(body, F.col("line_no"))).alias("body_seq"))
+    n = chars(lines)
+    w = lines.groupBy(*keys, "size").agg(F.sum(n).alias("all"), F.sum(F.when(body, n)).alias("body"), F.min("line_no").alias("seq"), F.min(F.when(body, F.col("line_no"))).alias("body_seq"))
     best = w.groupBy(*keys).agg(F.max_by("size", F.struct("body", -F.col("body_seq"))).alias("b"), F.max("body").alias("n"), F.max_by("size", F.struct("all", -F.col("seq"))).alias("a"))
     return best.select(*keys, F.when(F.col("n").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("body_size"))
 
@@ -210,6 +221,22 @@ def signs(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"bullet": X.is_bullet(F.col("text")), "ends": X.ends_sentence(F.col("text"))})
 
 
+def all_signs(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """lines with all that kinds, groups, blocks and links ask of the text, and line_id, a number by which it is found again,
+    once it is written. Each line has a letter, as make_lines leaves them, so a block starts as its first line does and ends
+    as its last one."""
+    asked = {"lower": X.starts_lower(F.col("text")), "chars": F.length("text"), "line_id": F.monotonically_increasing_id()}
+    return signs(text_kinds(lines, pages)).withColumns(asked)
+
+
+def with_texts(units: DataFrame, lines: DataFrame) -> DataFrame:
+    """units (doc_id, seq, said) with text: their lines' as running text. Where it is not asked for, lines are not read."""
+    places = units.select("doc_id", "seq", F.posexplode("said").alias("_n", "line_id"))
+    each = lines.select("doc_id", "line_id", "text").join(paged(places), ["doc_id", "line_id"])
+    texts = each.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_t"))
+    return units.join(paged(texts), ["doc_id", "seq"], "left").withColumn("text", X.join_lines(F.transform("_t", lambda x: x["text"]))).drop("said", "_t")
+
+
 def breaks(w) -> Column:
     """Whether a line (with its signs, and its column's bounds as left and right) starts a new group after the line before."""
     prev = lambda c: F.lag(c).over(w)
@@ -240,10 +267,11 @@ def group_lines(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     return placed.withColumn("_new", F.coalesce(breaks(w), F.lit(True)).cast("int")).withColumn("group_no", F.sum("_new").over(w)).select(*PAGE, "column", *columns, "left", "right", "group_no")
 
 
-def refine_kind(kind: Column, first_text: Column, last_text: Column, size: Column, bold: Column, body_size: Column, n: Column) -> Column:
+def refine_kind(kind: Column, bullet: Column, ends: Column, size: Column, bold: Column, body_size: Column, n: Column) -> Column:
+    """bullet of the block's first line, ends (a sentence) of its last one."""
     big = size >= body_size * 1.12
-    head = (big | (bold & (n <= 3))) & (n <= 3) & (~X.ends_sentence(last_text) | big)
-    return F.when(kind != "paragraph", kind).when(X.is_bullet(first_text), "list_item").when(head, "heading").otherwise("paragraph")
+    head = (big | (bold & (n <= 3))) & (n <= 3) & (~ends | big)
+    return F.when(kind != "paragraph", kind).when(bullet, "list_item").when(head, "heading").otherwise("paragraph")
 
 
 def alignment(kind: Column, lines: Column, left: Column, right: Column) -> Column:
@@ -261,33 +289,43 @@ def line_boxes(lines: DataFrame) -> DataFrame:
 
 
 def make_blocks(grouped: DataFrame, pages: DataFrame, body_sizes: DataFrame, occupied: DataFrame) -> DataFrame:
-    """Blocks of grouped lines (group_no, left, right): kind, text, style, flow rectangle, alignment, free bottom."""
-    row = F.struct("read_no", "text", box().alias("rect"), "size", "bold", F.struct(*STYLE).alias("style"))
+    """Blocks of grouped lines (group_no, left, right): kind, text, style, flow rectangle, alignment, free bottom, and how
+    far the right is free. Lines
+    without text, but with all its signs, make blocks with `said`, and with the signs that their links ask for."""
+    whole = "text" in grouped.columns
+    asked = ["text"] if whole else ["line_id", "chars", "bullet", "ends", "lower"]
+    row = F.struct("read_no", *asked, box().alias("rect"), "size", "bold", F.struct(*STYLE).alias("style"))
     keys = [*PAGE, "group_no"]
     g = grouped.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("l"), F.min_by("kind", "read_no").alias("kind0"), F.min_by("left", "read_no").alias("left"), F.min_by("right", "read_no").alias("right"))
-    g = g.withColumn("style", main_style(F.col("l"))).join(paged(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height"))), PAGE).join(paged(body_sizes), PAGE, "left")
+    g = g.withColumn("style", main_style(F.col("l")) if whole else main_style(F.col("l"), lambda x: x["chars"])).join(paged(pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height"))), PAGE).join(paged(body_sizes), PAGE, "left")
     rects = F.transform("l", lambda x: x["rect"])
     first, last = F.element_at("l", 1), F.element_at("l", -1)
-    b = g.withColumns({"block_no": F.col("group_no"), "own": rects, "n": F.size("l"), "text": X.join_lines(F.transform("l", lambda x: x["text"])), "size0": first["size"], "left": F.coalesce("left", first["rect"]["x0"]), "right": F.coalesce("right", first["rect"]["x1"])})
-    b = b.withColumns({"kind": refine_kind(F.col("kind0"), first["text"], last["text"], first["size"], first["bold"], F.coalesce("body_size", F.lit(10.0)), F.col("n")), "line_height": G.line_height(first["rect"]["y0"], last["rect"]["y0"], F.col("n"), first["size"])})
+    said = {"text": X.join_lines(F.transform("l", lambda x: x["text"]))} if whole else {"said": F.transform("l", lambda x: x["line_id"]), "ends": last["ends"], "lower": first["lower"]}
+    bullet, ends = (X.is_bullet(first["text"]), X.ends_sentence(last["text"])) if whole else (first["bullet"], last["ends"])
+    b = g.withColumns({"block_no": F.col("group_no"), "own": rects, "n": F.size("l"), **said, "size0": first["size"], "left": F.coalesce("left", first["rect"]["x0"]), "right": F.coalesce("right", first["rect"]["x1"])})
+    b = b.withColumns({"kind": refine_kind(F.col("kind0"), bullet, ends, first["size"], first["bold"], F.coalesce("body_size", F.lit(10.0)), F.col("n")), "line_height": G.line_height(first["rect"]["y0"], last["rect"]["y0"], F.col("n"), first["size"])})
     lo = lambda c: F.array_min(F.transform("own", lambda r: r[c]))
     hi = lambda c: F.array_max(F.transform("own", lambda r: r[c]))
     x0 = F.when(F.col("kind").isin(*FLOWING), F.least(lo("x0"), F.col("left"))).otherwise(lo("x0"))
     b = b.withColumn("ink", F.struct(x0.alias("x0"), (lo("y0") - 1.0).alias("y0"), F.greatest(F.col("right"), hi("x1")).alias("x1"), (hi("y1") + 1.0).alias("y1")))
+    # What goes on is what is asked for, as all of it passes through Python.
+    b = b.withColumn("block_id", X.block_id(F.col("page_index"), first["rect"]["x0"], first["rect"]["y0"], F.col("n"))).drop("l", "kind0", "body_size")
     b = room(b, occupied).withColumn("rect", F.struct(F.col("fit_x0").alias("x0"), F.col("ink.y0").alias("y0"), F.col("fit_x1").alias("x1"), F.col("ink.y1").alias("y1")))
     flow = G.flow_rect(F.col("rect"), F.col("n"), F.col("size0"), F.col("line_height"), F.col("free_top"), F.col("free_bottom"))
-    ident = X.block_id(F.col("page_index"), first["rect"]["x0"], first["rect"]["y0"], F.col("n"))
-    return b.select(*PAGE, "block_no", ident.alias("block_id"), "kind", "text", "style", flow.alias("rect"), F.col("free_bottom").alias("max_bottom"), "page_height", alignment(F.col("kind"), F.col("own"), F.col("left"), F.col("right")).alias("align"), F.col("n").alias("line_count"), "line_height", F.col("own").alias("line_rects"))
+    return b.select(*PAGE, "block_no", "block_id", "kind", *said, "style", flow.alias("rect"), F.col("free_bottom").alias("max_bottom"), "page_height", alignment(F.col("kind"), F.col("own"), F.col("left"), F.col("right")).alias("align"), F.col("n").alias("line_count"), "line_height", F.col("own").alias("line_rects"), "right_limit")
 
 
 def boxed_labels(lines: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
     """One label for each box: its lines' text, set within the box; centred if the gaps on both sides are alike."""
     own = lines.filter((F.col("kind") == "figure_label") & F.col("box_id").isNotNull())
-    g = own.groupBy(*PAGE, "box_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_no", "text", "size", box().alias("rect"), F.struct(*STYLE).alias("style")))).alias("l"), F.min("x0").alias("lx0"), F.max("x1").alias("lx1"), F.max("y0").alias("last_y0"), F.min("y0").alias("first_y0"))
+    whole = "text" in own.columns
+    g = own.groupBy(*PAGE, "box_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_no", *(["text"] if whole else ["line_id", "chars"]), "size", box().alias("rect"), F.struct(*STYLE).alias("style")))).alias("l"), F.min("x0").alias("lx0"), F.max("x1").alias("lx1"), F.max("y0").alias("last_y0"), F.min("y0").alias("first_y0"))
     j = g.join(paged(boxes.select(*PAGE, F.col("shape").alias("box_id"), F.col("rect").alias("b"))), [*PAGE, "box_id"]).join(paged(pages.select(*PAGE, F.col("height").alias("page_height"))), PAGE)
     centered = F.abs((F.col("lx0") - F.col("b.x0")) - (F.col("b.x1") - F.col("lx1"))) <= 4.0
     rect = F.struct(F.when(centered, F.col("b.x0") + 1.5).otherwise(F.col("lx0") - 1.0).alias("x0"), (F.col("b.y0") + 1.0).alias("y0"), (F.col("b.x1") - 1.5).alias("x1"), (F.col("b.y1") - 1.0).alias("y1"))
-    return j.select(*PAGE, F.col("box_id").alias("block_id"), F.lit("figure_label").alias("kind"), X.join_lines(F.transform("l", lambda x: x["text"])).alias("text"), main_style(F.col("l")).alias("style"), rect.alias("rect"), (F.col("b.y1") - 1.0).alias("max_bottom"), "page_height", F.transform("l", lambda x: x["rect"]).alias("line_rects"), F.when(centered, ALIGN_CENTER).otherwise(ALIGN_LEFT).alias("align"), F.size("l").alias("line_count"), G.line_height(F.col("first_y0"), F.col("last_y0"), F.size("l"), F.element_at("l", 1)["size"]).alias("line_height"))
+    said = X.join_lines(F.transform("l", lambda x: x["text"])).alias("text") if whole else F.transform("l", lambda x: x["line_id"]).alias("said")
+    style = main_style(F.col("l")) if whole else main_style(F.col("l"), lambda x: x["chars"])
+    return j.select(*PAGE, F.col("box_id").alias("block_id"), F.lit("figure_label").alias("kind"), said, style.alias("style"), rect.alias("rect"), (F.col("b.y1") - 1.0).alias("max_bottom"), "page_height", F.transform("l", lambda x: x["rect"]).alias("line_rects"), F.when(centered, ALIGN_CENTER).otherwise(ALIGN_LEFT).alias("align"), F.size("l").alias("line_count"), G.line_height(F.col("first_y0"), F.col("last_y0"), F.size("l"), F.element_at("l", 1)["size"]).alias("line_height"))
 
 
 def widened(rect: Column, right_limit: Column) -> Column:
@@ -302,7 +340,8 @@ def link_blocks(blocks: DataFrame) -> DataFrame:
     case after an open sentence, and stands in the next column after the foot of this one, or at the head of
     the next page. What does not flow lies between without breaking it. A document's blocks stream by in order."""
     flows = blocks.filter(F.col("kind").isin(*FLOWING))
-    row = {"size": F.col("style.size"), "color": F.col("style.color"), "ends": X.ends_sentence(F.col("text")), "lower": X.starts_lower(F.col("text")), "x0": F.col("rect.x0"), "x1": F.col("rect.x1"), "tail": G.at_tail(F.col("rect"), F.col("page_height")), "top": G.at_head(F.col("rect"), F.col("page_height"))}
+    signs = {"ends": F.col("ends"), "lower": F.col("lower")} if told(blocks) == "said" else {"ends": X.ends_sentence(F.col("text")), "lower": X.starts_lower(F.col("text"))}
+    row = {"size": F.col("style.size"), "color": F.col("style.color"), **signs, "x0": F.col("rect.x0"), "x1": F.col("rect.x1"), "tail": G.at_tail(F.col("rect"), F.col("page_height")), "top": G.at_head(F.col("rect"), F.col("page_height"))}
 
     def step(state, page, kind, size, color, ends, lower, x0, x1, tail, top):
         chain, last_page, last_kind, chain_size, chain_color, open_foot, last_x1 = state
@@ -324,9 +363,11 @@ def link_blocks(blocks: DataFrame) -> DataFrame:
 def merge_linked(linked: DataFrame) -> DataFrame:
     """One row for each chain: text joined across its parts, areas, line_rects and line count; id, kind, style, alignment
     and line height are the first part's. block_no is the first part's on its page."""
-    part = F.struct("page_index", "block_no", "text", "rect", "max_bottom", "page_height", "line_count", "line_rects", "block_id", "kind", "style", "align", "line_height")
+    part = F.struct("page_index", "block_no", told(linked), "rect", "max_bottom", "page_height", "line_count", "line_rects", "block_id", "kind", "style", "align", "line_height")
     g = linked.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(part)).alias("p"))
     first = lambda c: F.element_at("p", 1)[c].alias(c)
     areas = F.transform("p", lambda x: F.struct(x["page_index"].alias("page_index"), x["rect"].alias("rect"), x["max_bottom"].alias("max_bottom"), x["page_height"].alias("page_height")))
     rects = F.flatten(F.transform("p", lambda x: F.transform(x["line_rects"], lambda r: F.struct(x["page_index"].alias("page_index"), r.alias("rect")))))
-    return g.select("doc_id", F.col("head.page_index").alias("page_index"), F.col("head.block_no").alias("block_no"), *map(first, ("block_id", "kind")), X.join_lines(F.transform("p", lambda x: x["text"])).alias("text"), first("style"), areas.alias("areas"), rects.alias("line_rects"), first("align"), F.aggregate("p", F.lit(0), lambda a, x: a + x["line_count"]).alias("line_count"), first("line_height"))
+    each = F.transform("p", lambda x: x[told(linked)])
+    said = X.join_lines(each).alias("text") if told(linked) == "text" else F.flatten(each).alias("said")
+    return g.select("doc_id", F.col("head.page_index").alias("page_index"), F.col("head.block_no").alias("block_no"), *map(first, ("block_id", "kind")), said, first("style"), areas.alias("areas"), rects.alias("line_rects"), first("align"), F.aggregate("p", F.lit(0), lambda a, x: a + x["line_count"]).alias("line_count"), first("line_height"))

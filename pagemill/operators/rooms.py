@@ -236,12 +236,13 @@ def free_space(blocks: DataFrame, occupied: DataFrame, least: float = 0.15, pad:
 
 def room(blocks: DataFrame, occupied: DataFrame, least: float = 0.15, pad: float = 2.0) -> DataFrame:
     """Both for blocks (…, ink, own, page_width, page_height) in one grouping: what is free above and below is that of the
-    block's ink once it is fitted between its sides, fit_x0 to fit_x1, though never narrower than its lines."""
+    block's ink once it is fitted between its sides, fit_x0 to fit_x1, though never narrower than its lines. right_limit is
+    as of horizontal_room."""
 
     def around(crowd, table):
         ink, (left, right) = _boxes(table.column("ink")), _sides(crowd, _doubles(table, "page_width"))
         x0 = np.minimum(np.maximum(ink[:, 0], left), crowd.boxes[:, 0])
         x1 = np.maximum(np.minimum(ink[:, 2], right), crowd.boxes[:, 2])
-        return x0, x1, *_heights(crowd, np.stack([x0, ink[:, 1], x1, ink[:, 3]], axis=1), _doubles(table, "page_height"), least, pad)
+        return x0, x1, *_heights(crowd, np.stack([x0, ink[:, 1], x1, ink[:, 3]], axis=1), _doubles(table, "page_height"), least, pad), right
 
-    return _swept(blocks, occupied, ["fit_x0", "fit_x1", "free_bottom", "free_top"], around)
+    return _swept(blocks, occupied, ["fit_x0", "fit_x1", "free_bottom", "free_top", "right_limit"], around)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as X
-from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, main_style, paged
+from pagemill.operators.layout import ALIGN_LEFT, PAGE, STYLE, TABLE_SHARE, _inside, box, chars, main_style, paged, told
 from pagemill.operators.rooms import free_space
 from pagemill.operators.ruled import ruled_tables
 
@@ -114,7 +114,8 @@ def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") ->
     keys = [*PAGE, region]
     rules = found.select(*PAGE, F.col("shape").alias(region), "row_rules", F.col("rect").alias("region_rect"))
     # A line's text is gathered by itself: where it is not asked for, it does not go along.
-    c = table_columns(lines.withColumn("_chars", F.length("text")), region).join(paged(rules), keys, "left")
+    whole = "text" in lines.columns
+    c = table_columns(lines.withColumn("_chars", chars(lines)), region).join(paged(rules), keys, "left")
     w = Window.partitionBy(*keys, "col_no").orderBy("y0", "x0", "line_no")
     prev = lambda x: F.lag(x).over(w)
     style = F.struct(*STYLE)
@@ -122,15 +123,16 @@ def table_cells(lines: DataFrame, found: DataFrame, region: str = "table_id") ->
     between = F.exists(F.coalesce("row_rules", F.array().cast("array<double>")), lambda y: (y >= F.col("_py1")) & (y <= F.col("y0")))
     ends = (F.col("y0") - F.col("_py1") > 1.8 * F.greatest(F.col("_psize"), F.lit(1.0))) | ~G.style_matches(F.col("_pstyle"), F.col("_style")) | between
     c = c.withColumn("_new", F.when(F.col("_py1").isNull(), 0).otherwise(ends.cast("int"))).withColumn("_cell", F.sum("_new").over(w))
-    row = F.struct("y0", "x0", "line_no", F.col("_chars").alias("chars"), box().alias("rect"), "size", F.struct(*STYLE).alias("style"))
-    said = F.struct("y0", "x0", "line_no", "text")
+    row = F.struct("y0", "x0", "line_no", *([] if whole else ["line_id"]), F.col("_chars").alias("chars"), box().alias("rect"), "size", F.struct(*STYLE).alias("style"))
+    texts = [F.array_sort(F.collect_list(F.struct("y0", "x0", "line_no", "text"))).alias("t")] if whole else []
     own = [*keys, "col_no", "_cell"]
-    g = c.groupBy(*own).agg(F.array_sort(F.collect_list(row)).alias("l"), F.array_sort(F.collect_list(said)).alias("t"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("col_x0").alias("col_x0"), F.first("col_x1").alias("col_x1"), F.first("row_rules").alias("row_rules"), F.first("region_rect").alias("region_rect"))
+    g = c.groupBy(*own).agg(F.array_sort(F.collect_list(row)).alias("l"), *texts, F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("col_x0").alias("col_x0"), F.first("col_x1").alias("col_x1"), F.first("row_rules").alias("row_rules"), F.first("region_rect").alias("region_rect"))
     g = g.withColumn("style", main_style(F.col("l"), lambda x: x["chars"]))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.bround("top", 1), "col_x0", "_cell")) - 1
     first, last = F.element_at("l", 1), F.element_at("l", -1)
     rect = F.struct(F.col("col_x0").alias("x0"), F.col("top").alias("y0"), F.col("col_x1").alias("x1"), F.col("bottom").alias("y1"))
-    return g.select(*keys, number.alias("cell_no"), "col_no", rect.alias("rect"), X.join_lines(F.transform("t", lambda x: x["text"])).alias("text"), F.size("l").alias("line_count"), G.line_height(first["y0"], last["y0"], F.size("l"), first["size"]).alias("line_height"), first["size"].alias("size0"), "style", F.transform("l", lambda x: x["rect"]).alias("own"), "row_rules", "region_rect")
+    said = X.join_lines(F.transform("t", lambda x: x["text"])).alias("text") if whole else F.transform("l", lambda x: x["line_id"]).alias("said")
+    return g.select(*keys, number.alias("cell_no"), "col_no", rect.alias("rect"), said, F.size("l").alias("line_count"), G.line_height(first["y0"], last["y0"], F.size("l"), first["size"]).alias("line_height"), first["size"].alias("size0"), "style", F.transform("l", lambda x: x["rect"]).alias("own"), "row_rules", "region_rect")
 
 
 def cell_bottom(free_bottom: Column, bottom: Column, rules: Column, region_bottom: Column) -> Column:
@@ -147,4 +149,4 @@ def cell_blocks(cells: DataFrame, pages: DataFrame, occupied: DataFrame, region:
     bottom = cell_bottom(F.col("free_bottom"), F.col("rect.y1"), F.col("row_rules"), F.col("region_rect.y1"))
     b = b.withColumn("max_bottom", bottom)
     flow = G.flow_rect(F.col("rect"), F.col("line_count"), F.col("size0"), F.col("line_height"), F.col("free_top"), F.col("max_bottom"))
-    return b.select(*PAGE, F.col("block_no").alias("block_id"), region, "cell_no", F.lit("table_cell").alias("kind"), "text", "style", flow.alias("rect"), "max_bottom", "page_height", F.lit(ALIGN_LEFT).alias("align"), "line_count", "line_height", F.col("own").alias("line_rects"))
+    return b.select(*PAGE, F.col("block_no").alias("block_id"), region, "cell_no", F.lit("table_cell").alias("kind"), told(b), "style", flow.alias("rect"), "max_bottom", "page_height", F.lit(ALIGN_LEFT).alias("align"), "line_count", "line_height", F.col("own").alias("line_rects"))
